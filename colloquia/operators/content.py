@@ -27,7 +27,7 @@ def exploded_tokens(messages: DataFrame, by: Sequence[str], text: str = "text")
     Sorting the tokens inside the row makes repeats neighbours, so distinct messages are
     counted without shuffling (message, token) pairs.
     """
-    ordered = messages.select(*by, F.array_sort(tokens(text)).alias("_t"))
+    ordered = messages.select(*by, F.sort_array(tokens(text)).alias("_t"))
     pairs = F.transform("_t", lambda t, i: F.struct(t.alias("token"), ((i == 0) | (F.get("_t", i - 1) != t)).cast("long").alias("first_here")))
     return ordered.select(*by, F.inline(pairs))
 

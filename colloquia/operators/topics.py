@@ -18,20 +18,23 @@ def important_tokens(messages: DataFrame) -> DataFrame:
     return top_tokens(messages, IMPORTANT_TOKENS).select("group_id", "token", "token_rank")
 
 
-def incidence(messages: DataFrame, important: DataFrame) -> DataFrame:
-    """Distinct (message, important token) pairs."""
-    each = messages.select("group_id", "row_id", "sent_at", "input_order", F.length("text").alias("text_length"),
-                           F.explode(F.array_distinct(tokens("text"))).alias("token"))
-    return each.join(important.select("group_id", "token"), ["group_id", "token"])
+def marked(messages: DataFrame, important: DataFrame) -> DataFrame:
+    """Messages holding important tokens, with those tokens (at most 80 per group) as an array."""
+    listed = important.groupBy("group_id").agg(F.collect_set("token").alias("_important"))
+    kept = F.array_intersect(tokens("text"), F.col("_important"))
+    return messages.join(listed, "group_id").select(
+        "group_id", "row_id", "sent_at", "input_order", F.length("text").alias("text_length"), kept.alias("tokens")).filter(F.size("tokens") > 0)
 
 
-def seed_order(pairs: DataFrame) -> DataFrame:
-    """Seeds with their order key: most tokens, longest text, input order."""
-    return pairs.groupBy("group_id", "row_id", "sent_at", "input_order", "text_length").agg(F.count(F.lit(1)).alias("token_count"))
+def incidence(messages: DataFrame, important: DataFrame) -> DataFrame:
+    """Distinct (message, important token) pairs."""
+    return marked(messages, important).select("group_id", "row_id", F.explode("tokens").alias("token"))
 
 
-def _seed_key() -> Column:
-    return F.struct((-F.col("token_count")).alias("a"), (-F.col("text_length")).alias("b"), F.col("input_order").alias("c"))
+def seed_order(rows: DataFrame) -> DataFrame:
+    """Seed key of every marked message: most tokens, longest text, input order."""
+    key = F.struct((-F.size("tokens")).alias("a"), (-F.col("text_length")).alias("b"), F.col("input_order").alias("c"))
+    return rows.withColumn("token_count", F.size("tokens").cast("long")).withColumn("seed_key", key)
 
 
 def time_score(distance: Column) -> Column:
@@ -39,43 +42,43 @@ def time_score(distance: Column) -> Column:
     return F.when(distance <= 3 * 3600, 10).when(distance <= 12 * 3600, 4).otherwise(0)
 
 
-def score(seed_tokens: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Score of every message that shares a token with its group's seed (tenths of a point)."""
-    hits = pairs.join(seed_tokens.select("group_id", "token", F.col("sent_at").alias("seed_at")), ["group_id", "token"])
-    return hits.groupBy("group_id", "row_id", "sent_at", "input_order", "seed_at").agg(F.count(F.lit(1)).alias("overlap")).withColumn(
-        "score", F.col("overlap") * 30 + time_score(F.abs(F.col("sent_at") - F.col("seed_at")))).drop("seed_at")
+def score(seeds: DataFrame, rows: DataFrame) -> DataFrame:
+    """Score (tenths of a point) of every message sharing a token with its group's seed.
+    ``seeds``: group_id, seed_tokens, seed_at; one row per group."""
+    overlap = F.size(F.array_intersect("tokens", "seed_tokens"))
+    scored = rows.join(seeds, "group_id").withColumn("overlap", overlap).filter("overlap > 0")
+    return scored.select("group_id", "row_id", "sent_at", "input_order",
+                         (F.col("overlap") * 30 + time_score(F.abs(F.col("sent_at") - F.col("seed_at")))).cast("long").alias("score"))
 
 
 def assign_topics(messages: DataFrame, rounds: int = MAX_TOPICS) -> DataFrame:
     """(group_id, topic, row_id): members of every group's greedy topics.
 
     A seed can found a topic exactly when it is unused and shares a token with another
-    unused message. Each round therefore finds every group's next such seed, takes its
-    best-scored unused messages, and removes them. State between rounds is the pair list
-    minus the used messages, cut by a checkpoint; nothing is collected.
+    unused message. Each round finds every group's next such seed and takes its best-scored
+    unused messages. Per group only small rows travel: the token counts (80 at most), the
+    chosen seed, the members (80 at most). State is cut by checkpoints; nothing is collected.
     """
-    pairs = durable(incidence(messages, important_tokens(messages)))
-    seeds = durable(seed_order(pairs).withColumn("seed_key", _seed_key()))
+    rows = durable(seed_order(marked(messages, important_tokens(messages))))
     topics: DataFrame | None = None
-    last_seed: DataFrame | None = None
+    tried: DataFrame | None = None
     for number in range(1, rounds + 1):
-        shared = pairs.groupBy("group_id", "token").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2").select("group_id", "token")
-        able = pairs.join(shared, ["group_id", "token"], "left_semi").select("group_id", "row_id").distinct()
-        open_seeds = seeds.join(able, ["group_id", "row_id"], "left_semi")
-        if last_seed is not None:
-            open_seeds = open_seeds.join(last_seed, "group_id", "left").filter(F.col("tried").isNull() | (F.col("seed_key") > F.col("tried"))).drop("tried")
-        chosen = open_seeds.groupBy("group_id").agg(F.min_by(F.struct("row_id", "seed_key"), "seed_key").alias("s")).select("group_id", "s.row_id", "s.seed_key")
-        seed_tokens = pairs.join(chosen.select("group_id", "row_id"), ["group_id", "row_id"], "left_semi")
-        ranked = top_per_key(score(seed_tokens, pairs), ["group_id"], [F.col("score").desc(), F.col("sent_at").asc(), F.col("input_order").asc()], TOPIC_SIZE)
-        members = durable(ranked.select("group_id", F.lit(number).cast("long").alias("topic"), "row_id"))
-        if members.isEmpty():
+        unused = rows if topics is None else rows.join(topics.select("group_id", "row_id"), ["group_id", "row_id"], "left_anti")
+        shared = unused.select("group_id", F.explode("tokens").alias("token")).groupBy("group_id", "token").agg(
+            F.count(F.lit(1)).alias("n")).filter("n >= 2").groupBy("group_id").agg(F.collect_set("token").alias("shared"))
+        able = unused.join(shared, "group_id").filter(F.arrays_overlap("tokens", "shared"))
+        if tried is not None:
+            last = tried.groupBy("group_id").agg(F.max("seed_key").alias("last"))
+            able = able.join(last, "group_id").filter(F.col("seed_key") > F.col("last"))
+        chosen = durable(able.groupBy("group_id").agg(
+            F.min_by(F.struct("tokens", "sent_at"), "seed_key").alias("s"), F.min("seed_key").alias("seed_key")))
+        if chosen.isEmpty():
             break
-        tried = chosen.select("group_id", F.col("seed_key").alias("tried"))
-        last_seed = durable(tried if last_seed is None else tried.unionByName(last_seed.join(tried, "group_id", "left_anti")))
+        seeds = chosen.select("group_id", F.col("s.tokens").alias("seed_tokens"), F.col("s.sent_at").alias("seed_at"))
+        ranked = top_per_key(score(seeds, unused), ["group_id"], [F.col("score").desc(), F.col("sent_at").asc(), F.col("input_order").asc()], TOPIC_SIZE)
+        members = durable(ranked.select("group_id", F.lit(number).cast("long").alias("topic"), "row_id"))
+        tried = chosen if tried is None else tried.unionByName(chosen)
         topics = members if topics is None else topics.unionByName(members)
-        used = members.select("group_id", "row_id")
-        pairs = durable(pairs.join(used, ["group_id", "row_id"], "left_anti"))
-        seeds = durable(seeds.join(used, ["group_id", "row_id"], "left_anti"))
     if topics is None:
         return messages.select("group_id", F.lit(1).cast("long").alias("topic"), "row_id").limit(0)
     return topics

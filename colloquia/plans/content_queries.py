@@ -39,7 +39,7 @@ IMPORTANT = f"""SELECT group_id, token, token_rank FROM (SELECT *, row_number()
 
 
 def docs(s, d):
-    return v.table(s, d, "documents")
+    return v.texts(s, d, "documents", "doc_id")
 
 
 query("speaker", duck("", "SELECT n_nationkey, coalesce(nullif(CASE WHEN n_regionkey=0 THEN '' ELSE n_name END,''), nullif(CASE WHEN n_nationkey%2=0 THEN '' ELSE 'card' END,''), 'Unknown') AS speaker FROM nation"))(
@@ -62,7 +62,7 @@ def page_text(s, d):
     """Every page as one message body with its link and cached-file mentions."""
     key = F.col("page_id").cast("string")
     body = F.concat(F.col("html"), F.lit(" "), F.col("url"), F.lit("/a.png?x=1 D:\\chat\\Emoji\\"), F.md5(key), F.lit(".gif "), F.md5(F.col("url")), F.lit(".mp4 (see "), F.col("url"), F.lit(")"))
-    return v.table(s, d, "pages").select("page_id", body.alias("body"))
+    return v.texts(s, d, "pages", "page_id").select("page_id", body.alias("body"))
 
 
 PAGE_TEXT = r"SELECT page_id, html || ' ' || url || '/a.png?x=1 D:\chat\Emoji\' || md5(CAST(page_id AS VARCHAR)) || '.gif ' || md5(url) || '.mp4 (see ' || url || ')' AS body FROM pages"
@@ -134,25 +134,25 @@ query("type_samples", duck("heads", "SELECT group_id, row_id, sample FROM (SELEC
 _PAIRS = f"SELECT DISTINCT m.group_id, m.row_id, m.sent_at, m.input_order, m.text_length, m.token FROM (SELECT group_id, row_id, sent_at, input_order, length(text) AS text_length, unnest({TOKENS}) AS token FROM messages) m JOIN imp i ON i.group_id=m.group_id AND i.token=m.token"
 
 
-def pairs(s, d):
+def rows(s, d):
     m = v.messages(s, d)
-    return tp.incidence(m, tp.important_tokens(m))
+    return tp.marked(m, tp.important_tokens(m))
 
 
 query("important_tokens", duck("messages", IMPORTANT))(lambda s, d: tp.important_tokens(v.messages(s, d)))
-query("incidence", duck("messages", "SELECT group_id, row_id, token FROM pairs", imp=IMPORTANT, pairs=_PAIRS))(lambda s, d: pairs(s, d).select("group_id", "row_id", "token"))
+query("incidence", duck("messages", "SELECT group_id, row_id, token FROM pairs", imp=IMPORTANT, pairs=_PAIRS))(lambda s, d: tp.incidence(v.messages(s, d), tp.important_tokens(v.messages(s, d))))
 _SEEDS = "SELECT group_id, row_id, sent_at, input_order, text_length, count(*) AS token_count FROM pairs GROUP BY ALL"
 query("seed_order", duck("messages", f"SELECT group_id, row_id, token_count, text_length FROM ({_SEEDS})", imp=IMPORTANT, pairs=_PAIRS))(
-    lambda s, d: tp.seed_order(pairs(s, d)).select("group_id", "row_id", "token_count", F.col("text_length").cast("long")))
+    lambda s, d: tp.seed_order(rows(s, d)).select("group_id", "row_id", "token_count", F.col("text_length").cast("long")))
 
 
 @query("topic_score", duck("messages", """SELECT p.group_id, p.row_id, CAST(count(*)*30 + CASE WHEN abs(p.sent_at-s.sent_at)<=10800 THEN 10 WHEN abs(p.sent_at-s.sent_at)<=43200 THEN 4 ELSE 0 END AS BIGINT) AS score
   FROM pairs p JOIN pairs s ON s.group_id=p.group_id AND s.token=p.token JOIN (SELECT group_id, row_id FROM (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY token_count DESC, text_length DESC, input_order) AS r FROM seeds) WHERE r=1) f
   ON f.group_id=s.group_id AND f.row_id=s.row_id GROUP BY p.group_id, p.row_id, p.sent_at, s.sent_at""", imp=IMPORTANT, pairs=_PAIRS, seeds=_SEEDS))
 def _topic_score(s, d):
-    p = pairs(s, d)
-    first = tp.seed_order(p).withColumn("k", tp._seed_key()).groupBy("group_id").agg(F.min_by("row_id", "k").alias("row_id"))
-    return tp.score(p.join(first, ["group_id", "row_id"], "left_semi"), p).select("group_id", "row_id", F.col("score").cast("long"))
+    seeds = tp.seed_order(rows(s, d)).groupBy("group_id").agg(F.min_by(F.struct("tokens", "sent_at"), "seed_key").alias("x")).select(
+        "group_id", F.col("x.tokens").alias("seed_tokens"), F.col("x.sent_at").alias("seed_at"))
+    return tp.score(seeds, rows(s, d)).select("group_id", "row_id", "score")
 
 
 @query("topics")
@@ -201,8 +201,8 @@ query("pack_chunks")(lambda s, d: ch.pack_chunks(lines(s, d), 50, 40000, 40))
 
 @query("chunk_coverage")
 def _chunk_coverage(s, d):
-    rows = lines(s, d)
-    return ch.chunk_coverage(rows, ch.pack_chunks(rows, 50, 40000, 40))
+    all_lines = lines(s, d)
+    return ch.chunk_coverage(all_lines, ch.pack_chunks(all_lines, 50, 40000, 40))
 
 
 query("cap_tail", duck("messages group_names", """SELECT group_id, row_id, from_end FROM (SELECT *, min(CASE WHEN from_end>1 AND before+line_length>20000 THEN from_end END) OVER (PARTITION BY group_id) AS stop FROM (
@@ -216,16 +216,16 @@ query("cap_head", duck("messages group_names", """SELECT group_id, row_id, from_
 
 @query("summary_requests")
 def _requests(s, d):
-    rows = lines(s, d)
+    all_lines = lines(s, d)
     m = members(s, d)
     named = tp.topic_summary(m).join(tp.topic_names(m), ["group_id", "topic"])
     header = ct.analysis_header(v.heads(s, d), v.chat_media(s, d), v.group_names(s, d))
-    return ch.summary_requests(rows, ch.pack_chunks(rows, 50, 40000, 40), header, named, ct.time_blocks(v.heads(s, d))).withColumn("request", F.md5("request"))
+    return ch.summary_requests(all_lines, ch.pack_chunks(all_lines, 50, 40000, 40), header, named, ct.time_blocks(v.heads(s, d))).withColumn("request", F.md5("request"))
 
 
 def partial_answers(s, d):
     """Partial summaries shaped from the conversations: one part per (conversation, turn)."""
-    rows = v.table(s, d, "conversations").filter("text is not null")
+    rows = v.texts(s, d, "conversations", "conv_id").filter("text is not null")
     words = F.split("text", " ")
     title = F.concat_ws(" ", F.get(words, F.lit(0)), F.get(words, F.lit(1)))
     topic = F.struct(title.alias("title"), F.substring("text", 1, 200).alias("summary"), F.when(F.col("turn") % 3 == 0, "high").otherwise("low").alias("importance"),

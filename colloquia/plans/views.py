@@ -20,6 +20,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return tune(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Give text-heavy work all cores when the input is one small file.
+
+    Looks only at the planned scan; inputs that already split into enough partitions (any
+    large table) pass through without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
+def texts(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+    return spread(table(spark, sf_dir, name), key)
+
+
 def _group(column: str):
     return (F.lit(1001) + F.col(column) % 25).cast("string").alias("group_id")
 
@@ -39,8 +53,8 @@ def heads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return heads(spark, sf_dir).join(texts, "doc_id", "left").withColumn("text", F.coalesce("text", F.lit("")))
+    bodies = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spread(heads(spark, sf_dir), "row_id").join(bodies, "doc_id", "left").withColumn("text", F.coalesce("text", F.lit("")))
 
 
 def scan_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
