@@ -6,38 +6,43 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from colloquia import fixed_values as fv
-from colloquia.functions.text import clean_extracted, trim_space
+from colloquia.functions.text import bind, clean_extracted, trim_space
+
+
+def _first_rule(rules: list[Column]) -> Column:
+    """First non-null verdict of a rule list."""
+    return F.get(F.array_compact(F.array(*rules)), F.lit(0))
 
 
 def classify_ask(text: str | Column, has_quote: Column) -> Column:
     """(intent, rule) of a request message, null for anything else. First rule wins."""
-    message = clean_extracted(text)
-    size = F.length(message)
-    letter = F.lower(F.regexp_extract(message, fv.SHORT_ASK, 1))
-    verdict = lambda intent, rule: F.struct(F.lit(intent).alias("intent"), rule.alias("rule"))
-    short = F.lit(None).cast("struct<intent:string,rule:string>")
-    for code, intent in fv.SHORT_ASK_INTENT.items():
-        short = F.when(letter == code, verdict(intent, F.lit(f"kk:{code}"))).otherwise(short)
-    rest = F.lit(None).cast("struct<intent:string,rule:string>")
-    comment = F.lit(False)
-    for pattern in fv.NOT_AN_ASK:
-        comment = comment | message.rlike(pattern)
-    open_ask = has_quote & (size <= fv.CONTEXTUAL_ASK_CHARS) & ~comment
-    for pattern, intent in reversed(fv.CONTEXTUAL_ASKS):
-        rest = F.when(open_ask & message.rlike(pattern), verdict(intent, F.lit("contextual"))).otherwise(rest)
-    for pattern, intent in reversed(fv.EXACT_ASKS):
-        rest = F.when((size <= fv.EXACT_ASK_CHARS) & message.rlike(pattern), verdict(intent, F.lit("exact"))).otherwise(rest)
-    return F.when(letter != "", F.when(~message.rlike(fv.ASK_MEANING), short)).otherwise(rest)
+    def verdict(intent: Column, rule: Column) -> Column:
+        return F.struct(intent.alias("intent"), rule.alias("rule"))
+
+    def judge(message: Column) -> Column:
+        size = F.length(message)
+        letter = F.lower(F.regexp_extract(message, fv.SHORT_ASK, 1))
+        intents = F.create_map(*[F.lit(x) for pair in fv.SHORT_ASK_INTENT.items() for x in pair])
+        comment = message.rlike("|".join(fv.NOT_AN_ASK))
+        exact = [F.when((size <= fv.EXACT_ASK_CHARS) & message.rlike(p), verdict(F.lit(i), F.lit("exact"))) for p, i in fv.EXACT_ASKS]
+        open_ask = has_quote & (size <= fv.CONTEXTUAL_ASK_CHARS) & ~comment
+        contextual = [F.when(open_ask & message.rlike(p), verdict(F.lit(i), F.lit("contextual"))) for p, i in fv.CONTEXTUAL_ASKS]
+        short = F.when(~message.rlike(fv.ASK_MEANING), verdict(F.try_element_at(intents, letter), F.concat(F.lit("kk:"), letter)))
+        return F.when(letter != "", short).otherwise(_first_rule([*exact, *contextual]))
+
+    return bind(clean_extracted(text), judge)
 
 
 def looks_like_prompt(text: str | Column) -> Column:
     """Whether a message is a pasted generation prompt rather than chat."""
-    message = trim_space(text)
-    size = F.length(message)
-    han = F.length(F.regexp_replace(message, r"[^\p{IsHan}]", ""))
-    prose = message.rlike(fv.PROSE_MARK) & (han / size > fv.PROSE_HAN_SHARE)
-    hits = sum((message.rlike(p).cast("int") for p in fv.PROMPT_VOCABULARY), F.lit(0))
-    segments = F.filter(F.transform(F.split(message, "[,，\n]"), lambda p: trim_space(p)), lambda p: p != "")
-    short = F.size(F.filter(segments, lambda p: F.length(p) <= fv.MAX_SEGMENT_CHARS))
-    shaped = (hits >= fv.MIN_VOCABULARY_HITS) & (F.size(segments) >= fv.MIN_PROMPT_SEGMENTS) & (short >= fv.MIN_PROMPT_SEGMENTS)
-    return (size >= fv.MIN_PROMPT_CHARS) & (message.rlike(fv.PARAMETER_MARKERS) | (~prose & shaped))
+    def judge(message: Column) -> Column:
+        size = F.length(message)
+        han = F.length(F.regexp_replace(message, r"[^\p{IsHan}]", ""))
+        prose = message.rlike(fv.PROSE_MARK) & (han / size > fv.PROSE_HAN_SHARE)
+        hits = F.size(F.array_compact(F.array(*[F.when(message.rlike(p), 1) for p in fv.PROMPT_VOCABULARY])))
+        segments = F.filter(F.transform(F.split(message, "[,，\n]"), lambda p: trim_space(p)), lambda p: p != "")
+        short = F.size(F.filter(segments, lambda p: F.length(p) <= fv.MAX_SEGMENT_CHARS))
+        shaped = (hits >= fv.MIN_VOCABULARY_HITS) & (short >= fv.MIN_PROMPT_SEGMENTS)
+        return (size >= fv.MIN_PROMPT_CHARS) & (message.rlike(fv.PARAMETER_MARKERS) | (~prose & shaped))
+
+    return bind(trim_space(text), judge)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +14,14 @@ def _c(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, however often ``body`` uses it.
+
+    Plain column reuse repeats the expression, and pushing a filter down repeats it again.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def trim_space(c: str | Column) -> Column:
     """Trim every kind of white space, not only blanks."""
     return F.regexp_replace(_c(c), f"^{fv.JS_SPACE}+|{fv.JS_SPACE}+$", "")

@@ -97,7 +97,7 @@ query("message_media", duck("heads media_index", """SELECT m.group_id, m.row_id
   LEFT JOIN ff a ON a.group_id=w.group_id AND a.sent_at=w.sent_at AND a.n=w.n JOIN ff b ON b.group_id=w.group_id AND b.sent_at=w.sent_at AND b.n=1""",
                             fi="SELECT * REPLACE (CASE WHEN input_order%3=0 THEN '' ELSE row_id END AS row_id) FROM media_index", ff="SELECT *, row_number() OVER (PARTITION BY group_id, sent_at ORDER BY input_order) AS n FROM media_index"))(
     lambda s, d: md.message_media(v.heads(s, d), partial_index(s, d)))
-query("media_names", duck("media_index group_names", f"""SELECT run_id, run_index, lpad(CAST(run_index AS VARCHAR),greatest(4,length(CAST(run_index AS VARCHAR))),'0') || '_' || regexp_replace({local_sql('sent_at')},'[-: ]','','g') || '_' || substr(regexp_replace(coalesce(nullif(n.name,''),m.group_id),'[^A-Za-z0-9_.-]+','_','g'),1,120)
+query("media_names", duck("media_index group_names", f"""SELECT run_id, run_index, lpad(CAST(run_index AS VARCHAR),CAST(greatest(4,length(CAST(run_index AS VARCHAR))) AS INTEGER),'0') || '_' || regexp_replace({local_sql('sent_at')},'[-: ]','','g') || '_' || substr(regexp_replace(coalesce(nullif(n.name,''),m.group_id),'[^A-Za-z0-9_.-]+','_','g'),1,120)
   || '_' || speaker || regexp_extract(web_path,'(\\.[^.]+)$',1) AS target_name FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY sent_at, input_order) AS run_index FROM media_index) m LEFT JOIN group_names n ON n.group_id=m.group_id"""))(
     lambda s, d: md.media_names(v.media_index(s, d).withColumnRenamed("web_path", "file_name"), v.group_names(s, d)))
 
