@@ -126,13 +126,13 @@ def detect_metadata(chunks: Column, graph: Column | None = None) -> Column:
     workflow graph (``graph``: an already resolved struct, see operators.graph)."""
     at = lambda k: F.try_element_at(chunks, F.lit(k))
     block = F.coalesce(at("parameters"), at("UserComment"), at("ImageDescription"))
-    comment = F.when(F.contains(F.coalesce(at("Software"), F.lit("")), F.lit("NovelAI")) | at("Comment").isNotNull(), parse_comment_json(chunks))
-    params = F.when(trim_space(block) != "", parse_params_block(block))
-    usable = [F.when(comment["prompt"] != "", comment), F.when((params["prompt"] != "") | (F.size(params["params"]) > 0), params)]
+    told = F.contains(F.coalesce(at("Software"), F.lit("")), F.lit("NovelAI")) | at("Comment").isNotNull()
+    usable = [F.when(told, bind(parse_comment_json(chunks), lambda c: F.when(c["prompt"] != "", c))),
+              F.when(trim_space(block) != "", bind(parse_params_block(block), lambda p: F.when((p["prompt"] != "") | (F.size(p["params"]) > 0), p)))]
     if graph is not None:
         usable.append(F.when((graph["prompt"] != "") | (F.size(graph["loras"]) > 0), graph))
-    found = F.coalesce(*usable)
-    return F.when(found.isNotNull(), bind(found, lambda f: f.withField("negative_prompt", F.when(f["negative_prompt"] == f["prompt"], "").otherwise(f["negative_prompt"])).withField("loras", unique_loras(f["loras"]))))
+    return bind(F.coalesce(*usable), lambda f: F.when(f.isNotNull(), f.withField(
+        "negative_prompt", F.when(f["negative_prompt"] == f["prompt"], "").otherwise(f["negative_prompt"])).withField("loras", unique_loras(f["loras"]))))
 
 
 def raw_chunks(chunks: Column) -> Column:
