@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colloquia.operators.intervals import gaps, merge_batches, overlap_seconds, slot_coverage, slot_gaps, slot_grid
-from colloquia.operators.ordered import points_in_windows, top_per_key
+from colloquia.operators.ordered import ordinal, points_in_windows, top_per_key
+from colloquia.session import durable
 
 COMPLETE_RATIO = 0.999
 
@@ -33,20 +34,32 @@ def speaker_slots(messages: DataFrame, start: int, end: int, slot: int) -> DataF
 
 
 def slot_activity(messages: DataFrame, start: int, end: int, slot: int) -> DataFrame:
-    return speaker_slots(messages, start, end, slot).groupBy("group_id", "slot_index").agg(
+    return _activity_of(speaker_slots(messages, start, end, slot))
+
+
+def _activity_of(people: DataFrame) -> DataFrame:
+    return people.groupBy("group_id", "slot_index").agg(
         F.sum("message_count").alias("message_count"),
         (F.sum("message_count") - F.sum("media_count")).alias("text_count"), F.sum("media_count").alias("media_count"),
         F.count(F.lit(1)).alias("speaker_count"), F.min("first_unix").alias("first_unix"), F.max("last_unix").alias("last_unix"))
 
 
 def top_speakers(messages: DataFrame, start: int, end: int, slot: int, k: int = 3) -> DataFrame:
-    counts = speaker_slots(messages, start, end, slot).select("group_id", "slot_index", "speaker", "message_count")
+    return _top_of(speaker_slots(messages, start, end, slot), k)
+
+
+def _top_of(people: DataFrame, k: int = 3) -> DataFrame:
+    counts = people.select("group_id", "slot_index", "speaker", "message_count")
     return top_per_key(counts, ["group_id", "slot_index"], [F.col("message_count").desc(), F.col("speaker").asc()], k, "speaker_rank")
 
 
 def busiest_hour(messages: DataFrame, start: int, end: int, slot: int) -> DataFrame:
     hours = _slotted(messages, start, end, slot).withColumn("hour_index", F.floor((F.col("sent_at") - start) / 3600).cast("long")).groupBy(
         "group_id", "slot_index", "hour_index").agg(F.count(F.lit(1)).alias("n"))
+    return _busiest_of(hours, start)
+
+
+def _busiest_of(hours: DataFrame, start: int) -> DataFrame:
     best = hours.groupBy("group_id", "slot_index").agg(F.max(F.struct("n", (-F.col("hour_index")).alias("h"))).alias("b"))
     return best.select("group_id", "slot_index", (F.lit(start) - F.col("b.h") * 3600).alias("busiest_hour_unix"), F.col("b.n").alias("busiest_hour_count"))
 
@@ -56,13 +69,19 @@ def coverage_timeline(messages: DataFrame, ranges: DataFrame, groups: DataFrame,
     key = ["group_id", "slot_index"]
     wanted = groups.select("group_id").distinct()
     mine = messages.join(wanted, "group_id", "left_semi")
-    top = top_speakers(mine, start, end, slot).groupBy(*key).agg(
+    # one pass over the messages; the three statistics derive from these counts
+    counts = durable(_slotted(mine, start, end, slot).withColumn("hour_index", F.floor((F.col("sent_at") - start) / 3600).cast("long")).groupBy(
+        "group_id", "slot_index", "hour_index", "speaker").agg(
+        F.count(F.lit(1)).alias("message_count"), F.sum("is_media").alias("media_count"), F.min("sent_at").alias("first_unix"), F.max("sent_at").alias("last_unix")))
+    people = counts.groupBy("group_id", "slot_index", "speaker").agg(
+        F.sum("message_count").alias("message_count"), F.sum("media_count").alias("media_count"), F.min("first_unix").alias("first_unix"), F.max("last_unix").alias("last_unix"))
+    hours = counts.groupBy("group_id", "slot_index", "hour_index").agg(F.sum("message_count").alias("n"))
+    top = _top_of(people).groupBy(*key).agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("speaker_rank", "speaker", "message_count"))),
                                  lambda s: F.concat(s["speaker"], F.lit(":"), s["message_count"].cast("string"))), ",").alias("top_speakers"))
     grid = slot_grid(wanted, start, end, slot).join(names, "group_id", "left")
     joined = (grid.join(slot_coverage(ranges.join(wanted, "group_id", "left_semi"), start, end, slot), key, "left")
-              .join(slot_activity(mine, start, end, slot), key, "left")
-              .join(busiest_hour(mine, start, end, slot), key, "left").join(top, key, "left"))
+              .join(_activity_of(people), key, "left").join(_busiest_of(hours, start), key, "left").join(top, key, "left"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
     return joined.select(
         "group_id", F.coalesce("name", F.lit("")).alias("name"), "slot_index", "start_unix", "end_unix", zero("covered_seconds"),
@@ -142,8 +161,8 @@ def timeline_sort(slots: DataFrame, mode: str) -> DataFrame:
     missing = F.sum(F.greatest(F.lit(0), F.col("end_unix") - F.col("start_unix") - F.col("covered_seconds")))
     metric = {"gaps": missing, "messages": F.sum("message_count"), "recent": F.max("last_unix"), "default": F.lit(0)}[mode]
     per_group = slots.groupBy("group_id").agg(metric.cast("long").alias("metric"))
-    return per_group.withColumn("rank", F.row_number().over(
-        Window.orderBy(F.col("metric").desc_nulls_last(), F.col("group_id"))).cast("long"))
+    placed = per_group.withColumn("_o", F.struct(F.col("metric").isNull().alias("n"), (-F.col("metric")).alias("m")))
+    return ordinal(placed, [], ["_o", "group_id"], "rank").drop("_o")
 
 
 def fleet_timeline(slots: DataFrame) -> DataFrame:

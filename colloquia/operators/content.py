@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquia import fixed_values as fv
 from colloquia.functions.text import extract_urls, message_line, tokens
 from colloquia.functions.values import local_day, to_local
-from colloquia.operators.ordered import split_window, time_bucket, top_per_key
+from colloquia.operators.ordered import time_bucket, top_per_key
+from colloquia.session import durable
 
 BLOCK_GAP_SECONDS = 1800
 
@@ -51,11 +52,24 @@ def top_tokens(messages: DataFrame, n: int = 80, by: Sequence[str] = ("group_id"
 
 def block_starts(seconds: DataFrame, keys: Sequence[str], gap: int) -> DataFrame:
     """Start of the run each distinct (keys, sent_at) belongs to: a run breaks when the
-    pause to the previous second is longer than ``gap``."""
-    daily = seconds.withColumn("_day", time_bucket("sent_at"))
-    paused = split_window(daily, keys, "_day", ["sent_at"], prev_at=("prev", F.col("sent_at")))
-    opened = paused.withColumn("_open", F.when(F.col("prev_at").isNull() | (F.col("sent_at") - F.col("prev_at") > gap), F.col("sent_at")))
-    return split_window(opened, keys, "_day", ["sent_at"], block_start=("max_through", F.col("_open"))).select(*keys, "sent_at", "block_start")
+    pause to the previous second is longer than ``gap``.
+
+    Days of a key are scanned apart. Only the first second of a day depends on the days
+    before it; the day summaries (first, last, last break) settle that.
+    """
+    keys = list(keys)
+    days = [*keys, "_day"]
+    base = durable(seconds.withColumn("_day", time_bucket("sent_at")))
+    local = Window.partitionBy(*days).orderBy("sent_at")
+    broke = F.when(F.col("sent_at") - F.lag("sent_at").over(local) > gap, F.col("sent_at"))
+    marked = base.withColumn("_broke", broke).withColumn("_local", F.max("_broke").over(local.rowsBetween(Window.unboundedPreceding, 0)))
+    across = Window.partitionBy(*keys).orderBy("_day")
+    summary = marked.groupBy(*days).agg(F.min("sent_at").alias("_first"), F.max("sent_at").alias("_last"), F.max("_broke").alias("_broke"))
+    paused = summary.withColumn("_prev", F.lag("_last").over(across)).withColumn("_opens", F.col("_prev").isNull() | (F.col("_first") - F.col("_prev") > gap))
+    latest = paused.withColumn("_latest", F.coalesce("_broke", F.when(F.col("_opens"), F.col("_first"))))
+    carried = F.max("_latest").over(across.rowsBetween(Window.unboundedPreceding, -1))
+    entry = latest.select(*days, F.when(F.col("_opens"), F.col("_first")).otherwise(carried).alias("_entry"))
+    return marked.join(entry, days).select(*keys, "sent_at", F.coalesce("_local", "_entry").alias("block_start"))
 
 
 def time_blocks(messages: DataFrame, by: Sequence[str] = ("group_id",), gap: int = BLOCK_GAP_SECONDS, top: int = 5) -> DataFrame:

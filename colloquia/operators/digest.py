@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colloquia.functions.values import importance_rank, to_local
-from colloquia.operators.ordered import top_per_key
+from colloquia.operators.ordered import ordinal, top_per_key
 
 NO_TEXT = "no text to summarise in this period"
 
@@ -27,7 +27,7 @@ def group_views(header: DataFrame, topics: DataFrame, summaries: DataFrame) -> D
 
 
 def sort_groups(views: DataFrame) -> DataFrame:
-    return views.withColumn("rank", F.row_number().over(Window.orderBy(F.col("text_messages").desc(), "group_id")).cast("long"))
+    return ordinal(views.withColumn("_o", -F.col("text_messages")), [], ["_o", "group_id"], "rank").drop("_o")
 
 
 def sort_actions(actions: DataFrame) -> DataFrame:
@@ -39,10 +39,15 @@ def sort_risks(risks: DataFrame) -> DataFrame:
 
 
 def overview(views: DataFrame) -> DataFrame:
-    """``name: summary`` of all groups as one line; one short entry per group."""
+    """Totals of the digest."""
     return views.agg(F.count(F.lit(1)).alias("group_count"), F.sum("text_messages").alias("text_messages"), F.sum("media_messages").alias("media_messages"),
-                     F.count(F.when(F.col("summarised"), 1)).alias("summarised_groups"),
-                     F.array_join(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("text_messages")).alias("o"), "group_id", F.concat("name", F.lit(": "), "summary_line").alias("t")))), lambda s: s["t"]), "; ").alias("overview"))
+                     F.count(F.when(F.col("summarised"), 1)).alias("summarised_groups"))
+
+
+def overview_entries(views: DataFrame) -> DataFrame:
+    """``name: summary`` of every group with its place; joined in this order they are the
+    overview text. Kept as rows, however many groups there are."""
+    return sort_groups(views).select("rank", "group_id", F.concat("name", F.lit(": "), "summary_line").alias("entry"))
 
 
 def digest_lines(views: DataFrame, topics: DataFrame, actions: DataFrame, risks: DataFrame, links: DataFrame) -> DataFrame:

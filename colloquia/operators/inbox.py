@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from colloquia.operators.activity import coverage_health
 from colloquia.operators.intervals import current_window, gaps
 from colloquia.operators.ordered import range_buckets, split_window, top_per_key
+from colloquia.session import durable
 
 PAGE_DEFAULT, PAGE_MAX = 300, 500
 BUBBLE_GAP_SECONDS = 300
@@ -22,16 +23,20 @@ def stored_groups(messages: DataFrame, names: DataFrame) -> DataFrame:
         "group_id", F.coalesce("name", F.lit("")).alias("name"), "message_count", "first_unix", "last_unix")
 
 
-def unread(messages: DataFrame, marks: DataFrame) -> DataFrame:
-    """Messages after the read mark per group; a missing mark is (0, '').
+def _marked(messages: DataFrame, marks: DataFrame) -> DataFrame:
+    """Flag messages after their group's read mark; a missing mark is (0, '').
 
     Marks hold one row per group, so Spark broadcasts them while they are small and
     splits hot groups by AQE beyond that.
     """
     mark = marks.select("group_id", F.col("sent_at").alias("_at"), F.col("row_id").alias("_row"))
     later = F.struct("sent_at", "row_id") > F.struct(F.coalesce("_at", F.lit(0).cast("long")).alias("sent_at"), F.coalesce("_row", F.lit("")).alias("row_id"))
-    return messages.select("group_id", "sent_at", "row_id").join(mark, "group_id", "left").groupBy("group_id").agg(
-        F.sum(later.cast("long")).alias("unread_count"))
+    return messages.join(mark, "group_id", "left").withColumn("_later", later).drop("_at", "_row")
+
+
+def unread(messages: DataFrame, marks: DataFrame) -> DataFrame:
+    return _marked(messages.select("group_id", "sent_at", "row_id"), marks).groupBy("group_id").agg(
+        F.sum(F.col("_later").cast("long")).alias("unread_count"))
 
 
 def coverage_ends(ranges: DataFrame) -> DataFrame:
@@ -46,8 +51,14 @@ def latest_message(messages: DataFrame) -> DataFrame:
 
 
 def inbox(messages: DataFrame, names: DataFrame, marks: DataFrame, ranges: DataFrame) -> DataFrame:
-    return (stored_groups(messages, names).join(unread(messages, marks), "group_id")
-            .join(coverage_ends(ranges), "group_id", "left").join(latest_message(messages).drop("last_unix"), "group_id"))
+    """Everything the group list shows, from one pass over the messages."""
+    last = F.max_by(F.struct("row_id", "speaker", "is_media", "media_kinds"), F.struct("sent_at", "row_id"))
+    folded = _marked(messages.select("group_id", "sent_at", "row_id", "speaker", "is_media", "media_kinds"), marks).groupBy("group_id").agg(
+        F.count(F.lit(1)).alias("message_count"), F.min("sent_at").alias("first_unix"), F.max("sent_at").alias("last_unix"),
+        F.sum(F.col("_later").cast("long")).alias("unread_count"), last.alias("m"))
+    return folded.join(names, "group_id", "left").join(coverage_ends(ranges), "group_id", "left").select(
+        "group_id", F.coalesce("name", F.lit("")).alias("name"), "message_count", "first_unix", "last_unix", "unread_count", "coverage_end",
+        F.col("m.row_id").alias("last_row_id"), F.col("m.speaker").alias("last_speaker"), F.col("m.is_media").alias("last_is_media"), F.col("m.media_kinds").alias("last_media_kinds"))
 
 
 def resume_point(ranges: DataFrame, targets: DataFrame, now: int) -> DataFrame:
@@ -72,10 +83,10 @@ def watch_health(watch: DataFrame, messages: DataFrame, ranges: DataFrame, marks
     lost = gaps(ranges, watch, start, end).groupBy("group_id").agg(
         F.sum(F.col("end_unix") - F.col("start_unix")).alias("missing_seconds"), F.min("start_unix").alias("earliest_gap_unix"))
     mine = messages.join(watch.select("group_id").distinct(), "group_id", "left_semi")
-    last = mine.groupBy("group_id").agg(F.max("sent_at").alias("latest_message_unix"))
+    seen = _marked(mine.select("group_id", "sent_at", "row_id"), marks).groupBy("group_id").agg(
+        F.max("sent_at").alias("latest_message_unix"), F.sum(F.col("_later").cast("long")).alias("unread_count"))
     missing = F.coalesce("missing_seconds", F.lit(0))
-    return (watch.join(lost, "group_id", "left").join(coverage_ends(ranges), "group_id", "left").join(last, "group_id", "left")
-            .join(unread(mine, marks), "group_id", "left").select(
+    return (watch.join(lost, "group_id", "left").join(coverage_ends(ranges), "group_id", "left").join(seen, "group_id", "left").select(
             "group_id", "name", F.round((end - start - missing) / (end - start), 6).alias("coverage_ratio"), missing.cast("long").alias("missing_seconds"),
             "earliest_gap_unix", F.col("coverage_end").alias("latest_scan_unix"), "latest_message_unix",
             F.coalesce("unread_count", F.lit(0)).cast("long").alias("unread_count")))
@@ -149,7 +160,7 @@ def chat_segments(messages: DataFrame, marks: DataFrame) -> DataFrame:
     flagged = before.withColumn("new_day", new_day).withColumn("unread_divider", F.coalesce(divider, F.lit(False))).withColumn(
         "new_bubble", F.col("new_day") | F.col("unread_divider") | (F.col("prev_speaker") != F.col("speaker"))
         | (F.col("sent_at") - F.col("prev_at") >= BUBBLE_GAP_SECONDS))
-    numbered = split_window(flagged, ["group_id"], "_bucket", ["sent_at", "row_id"], bubble=("sum_through", F.col("new_bubble").cast("long")))
+    numbered = split_window(durable(flagged), ["group_id"], "_bucket", ["sent_at", "row_id"], bubble=("sum_through", F.col("new_bubble").cast("long")))
     return numbered.select("group_id", "row_id", "sent_at", "new_day", "unread_divider", "new_bubble", "bubble")
 
 

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from colloquia.operators.ordered import split_window, time_bucket
+from colloquia.operators.ordered import ordinal, split_window, time_bucket
+from colloquia.session import durable
 
 BACKFILL_CHUNK_SECONDS = 24 * 60 * 60
+BATCH_GROUPS = 1000
 SLOT_SECONDS_BY_DAYS = {1: 3600, 7: 6 * 3600, 30: 86400}
 LOCAL_OFFSET_SECONDS = 8 * 3600
 
@@ -22,7 +24,7 @@ def coverage_edges(ranges: DataFrame, keys: Sequence[str] = ("group_id",)) -> Da
     """
     keys = list(keys)
     spans = ranges.groupBy(*keys, "start_unix").agg(F.max("end_unix").alias("end_unix"))
-    spans = spans.withColumn("_day", time_bucket("start_unix"))
+    spans = durable(spans.withColumn("_day", time_bucket("start_unix")))
     scanned = split_window(spans, keys, "_day", ["start_unix"],
                            prev_end=("max_before", F.col("end_unix")), last_end=("key_max", F.col("end_unix")))
     opens = F.col("prev_end").isNull() | (F.col("start_unix") > F.col("prev_end"))
@@ -32,7 +34,7 @@ def coverage_edges(ranges: DataFrame, keys: Sequence[str] = ("group_id",)) -> Da
 def merge_intervals(ranges: DataFrame, keys: Sequence[str] = ("group_id",)) -> DataFrame:
     """Union of overlapping or touching ranges per key."""
     keys = list(keys)
-    edges = coverage_edges(ranges, keys).withColumn("_day", time_bucket("start_unix"))
+    edges = durable(coverage_edges(ranges, keys).withColumn("_day", time_bucket("start_unix")))
     closed = split_window(edges, keys, "_day", ["start_unix"], next_prev=("next", F.col("prev_end")))
     return closed.select(*keys, "start_unix", F.coalesce("next_prev", "last_end").alias("end_unix"))
 
@@ -40,12 +42,12 @@ def merge_intervals(ranges: DataFrame, keys: Sequence[str] = ("group_id",)) -> D
 def gaps(ranges: DataFrame, groups: DataFrame, start: int, end: int) -> DataFrame:
     """Uncovered parts of ``[start, end)`` for every group, also for groups never scanned."""
     wanted = ranges.join(groups.select("group_id").distinct(), "group_id", "left_semi")
-    edges = coverage_edges(wanted)
+    edges = durable(coverage_edges(wanted))
     lead_in = edges.select(
         "group_id",
         F.greatest(F.coalesce("prev_end", F.lit(start)), F.lit(start)).cast("long").alias("start_unix"),
         F.least("start_unix", F.lit(end)).cast("long").alias("end_unix"))
-    ends = wanted.groupBy("group_id").agg(F.max("end_unix").alias("last_end"))
+    ends = edges.groupBy("group_id").agg(F.max("last_end").alias("last_end"))
     tail = groups.select("group_id").distinct().join(ends, "group_id", "left").select(
         "group_id",
         F.greatest(F.coalesce("last_end", F.lit(start)), F.lit(start)).cast("long").alias("start_unix"),
@@ -116,17 +118,22 @@ def slot_gaps(ranges: DataFrame, groups: DataFrame, start: int, end: int, slot:
         "group_id", "slot_index", F.col("piece_start").alias("start_unix"), F.col("piece_end").alias("end_unix"))
 
 
-def rescan_batches(gap_rows: DataFrame) -> DataFrame:
-    """Groups that miss exactly the same range share one batch."""
-    return gap_rows.groupBy("start_unix", "end_unix").agg(F.sort_array(F.collect_set("group_id")).alias("group_ids"))
+def rescan_batches(gap_rows: DataFrame, size: int = BATCH_GROUPS) -> DataFrame:
+    """Groups that miss exactly the same range share one batch.
+
+    A range missed by very many groups makes several batches of at most ``size`` groups, so
+    no id list grows without bound and no group is left out.
+    """
+    placed = ordinal(gap_rows.select("start_unix", "end_unix", "group_id").distinct(), ["start_unix", "end_unix"], ["group_id"], "_n")
+    return placed.groupBy("start_unix", "end_unix", F.floor((F.col("_n") - 1) / size).alias("_part")).agg(
+        F.sort_array(F.collect_list("group_id")).alias("group_ids")).drop("_part")
 
 
 def merge_batches(batches: DataFrame) -> DataFrame:
     """Join touching batches of the same group set, then unite groups of equal ranges."""
     keyed = batches.withColumn("group_key", F.array_join(F.array_sort(F.array_distinct("group_ids")), ","))
     joined = merge_intervals(keyed, ["group_key"])
-    return joined.groupBy("start_unix", "end_unix").agg(
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.split("group_key", ","))))).alias("group_ids"))
+    return rescan_batches(joined.select("start_unix", "end_unix", F.explode(F.split("group_key", ",")).alias("group_id")))
 
 
 def invalid_batches(batches: DataFrame) -> DataFrame:
@@ -211,7 +218,7 @@ def coverage_breaks(messages: DataFrame, ranges: DataFrame) -> DataFrame:
     ends = merge_intervals(ranges).select("group_id", F.col("end_unix").alias("sent_at"), F.lit(1).alias("_end"))
     flow = seconds.withColumn("_end", F.lit(0)).unionByName(ends).groupBy("group_id", "sent_at").agg(
         F.max("_end").alias("_end"), F.min("_end").alias("_msg")).withColumn("_day", time_bucket("sent_at"))
-    marked = split_window(flow, ["group_id"], "_day", ["sent_at"],
+    marked = split_window(durable(flow), ["group_id"], "_day", ["sent_at"],
                           prev_end=("max_before", F.when(F.col("_end") == 1, F.col("sent_at"))),
                           prev_message=("max_before", F.when(F.col("_msg") == 0, F.col("sent_at"))))
     return marked.filter((F.col("_msg") == 0) & (F.col("prev_end") > F.col("prev_message"))).select(
@@ -228,7 +235,7 @@ def inside_coverage(points: DataFrame, ranges: DataFrame, point: str = "file_mti
     seconds = points.select(F.col(point).alias("start_unix")).distinct()
     flow = everywhere.unionByName(seconds.withColumn("end_unix", F.lit(None).cast("long"))).groupBy("start_unix").agg(
         F.max("end_unix").alias("end_unix")).withColumn("_day", time_bucket("start_unix"))
-    reached = split_window(flow, [], "_day", ["start_unix"], reach=("max_through", F.col("end_unix")))
+    reached = split_window(durable(flow), [], "_day", ["start_unix"], reach=("max_through", F.col("end_unix")))
     covered = reached.filter((F.col("reach") >= F.col("start_unix")) & (F.col("start_unix") > 0)).select(
         F.col("start_unix").alias(point), F.lit(True).alias("inside"))
     return points.join(covered, point, "left").withColumn("inside", F.coalesce("inside", F.lit(False)))

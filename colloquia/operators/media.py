@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colloquia import fixed_values as fv
@@ -153,9 +153,9 @@ def message_media(messages: DataFrame, index: DataFrame) -> DataFrame:
     files = index.select("group_id", "row_id", "sent_at", "web_path", "input_order")
     exact = media.join(files.select("group_id", "row_id", "web_path"), ["group_id", "row_id"]).select("group_id", "message_row", "web_path", F.lit("row").alias("via"))
     rest = media.join(files.select("group_id", "row_id").distinct(), ["group_id", "row_id"], "left_anti")
-    place = lambda df, o: df.withColumn("n", F.row_number().over(Window.partitionBy("group_id", "sent_at").orderBy(o)))
-    waiting = place(rest, "message_row")
-    listed = place(files.join(rest.select("group_id", "sent_at").distinct(), ["group_id", "sent_at"], "left_semi"), "input_order").select("group_id", "sent_at", "n", "web_path")
+    second = ["group_id", "sent_at"]
+    waiting = ordinal(rest, second, ["message_row"], "n")
+    listed = ordinal(files.join(rest.select(*second).distinct(), second, "left_semi"), second, ["input_order"], "n").select(*second, "n", "web_path")
     first = listed.filter("n = 1").select("group_id", "sent_at", F.col("web_path").alias("_first"))
     timed = waiting.join(listed, ["group_id", "sent_at", "n"], "left").join(first, ["group_id", "sent_at"]).select(
         "group_id", "message_row", F.coalesce("web_path", "_first").alias("web_path"), F.lit("time").alias("via"))

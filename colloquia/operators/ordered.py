@@ -38,7 +38,9 @@ def range_buckets(df: DataFrame, order: Sequence[str], name: str = "_bucket") ->
 def split_window(df: DataFrame, keys: Sequence[str], bucket: str, order: Sequence[str], **outputs: tuple[str, Column]) -> DataFrame:
     """Window results over (keys, order) computed per (keys, bucket) plus carried summaries.
 
-    ``bucket`` must be non-decreasing along ``order`` inside a key. Each output is
+    ``bucket`` must be non-decreasing along ``order`` inside a key. ``df`` is read twice (rows
+    and summaries), so callers pass a cut (``durable``) frame unless it is cheap to read. Each
+    output is
     ``name=(kind, column)`` with kind one of ``prev`` ``next`` (neighbour row's value),
     ``max_before`` ``max_through`` ``sum_through`` (running frames) and ``key_max``.
     """

@@ -10,6 +10,7 @@ from colloquia.functions.asks import classify_ask, looks_like_prompt
 from colloquia.functions.text import clean_extracted
 from colloquia.operators.media import image_owners
 from colloquia.operators.ordered import first_after, recent_before
+from colloquia.session import durable
 
 
 def find_asks(messages: DataFrame, quotes: DataFrame) -> DataFrame:
@@ -49,17 +50,18 @@ def pair_requests(messages: DataFrame, refs: DataFrame, quotes: DataFrame) -> Da
     """One row per ask, answered or not, with the target image and how it was found.
 
     Every lookup is an as-of window over reduced rows; asks and candidates of a busy group
-    are never paired with each other.
+    are never paired with each other. Asks and image owners are small next to the messages
+    and used several times, so they are cut once and the texts are read only twice.
     """
-    asks = find_asks(messages, quotes)
+    asks = durable(find_asks(messages, quotes))
     at = ["group_id", "sent_at", "sender"]
     texts = first_answer(asks.filter("intent = 'prompt'"), messages).select(
         *at, F.lit("prompt").alias("intent"), "answer_at", "answer_sender", F.col("payload.speaker").alias("answer_by"), F.col("payload.text").alias("answer_text"))
     shown = first_media_answer(asks.filter("intent = 'original'"), refs).select(
         *at, F.lit("original").alias("intent"), "answer_at", "answer_sender", F.col("payload.speaker").alias("answer_by"), F.col("payload.media").alias("answer_media"))
-    answered = asks.join(texts.unionByName(shown, allowMissingColumns=True), [*at, "intent"], "left")
+    answered = durable(asks.join(texts.unionByName(shown, allowMissingColumns=True), [*at, "intent"], "left"))
 
-    owners = image_owners(refs)
+    owners = durable(image_owners(refs))
     image = F.struct("hash", "speaker", "sent_at", "sender")
     posted = owners.select("group_id", "sender", "sent_at", F.col("input_order").alias("ord"), image.alias("payload"))
     by_author = answered.filter("intent = 'prompt' and quoted_hash is null and answer_sender <> ''")

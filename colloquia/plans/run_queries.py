@@ -219,6 +219,7 @@ def views_of(s, d):
 
 query("group_views")(lambda s, d: views_of(s, d)[0])
 query("digest_overview")(lambda s, d: dg.overview(views_of(s, d)[0]))
+query("overview_entries")(lambda s, d: dg.overview_entries(views_of(s, d)[0]))
 query("sort_groups", duck("heads", "SELECT group_id, row_number() OVER (ORDER BY n DESC, group_id) AS rank FROM (SELECT group_id, count(*) AS n FROM heads WHERE is_media=0 GROUP BY 1)"))(
     lambda s, d: dg.sort_groups(ct.analysis_header(v.heads(s, d).filter("is_media = 0"), v.chat_media(s, d), v.group_names(s, d))).select("group_id", "rank"))
 query("sort_actions")(lambda s, d: dg.sort_actions(ch.merge_actions(ch.normalize_summary(partial_answers(s, d)))).select("group_id", "task", "status", "place"))

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,11 +48,12 @@ def ingest_stream(documents: DataFrame, lake: str, checkpoint: str) -> Streaming
         tables = explode_exports(parse_exports(batch))
 
         def before(name: str, like: DataFrame) -> DataFrame:
-            stored = spark.read.schema(T.StructType([*like.schema.fields, T.StructField("batch", T.LongType())])).option("ignoreMissingFiles", True)
-            path = spark._jvm.org.apache.hadoop.fs.Path(f"{lake}/{name}")
-            if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+            schema = T.StructType([*like.schema.fields, T.StructField("batch", T.LongType())])
+            try:
+                stored = spark.read.schema(schema).parquet(f"{lake}/{name}")
+            except AnalysisException:  # nothing was written yet
                 return like.limit(0)
-            return stored.parquet(f"{lake}/{name}").filter(F.col("batch") < batch_id).drop("batch")
+            return stored.filter(F.col("batch") < batch_id).drop("batch")
 
         columns = ["group_id", "row_id", "sent_at", "speaker", "text", "is_media", "media_kinds", "speaker_uin"]
         delta = tables["text"].select(*columns, "file", "input_order").unionByName(tables["media"].select(*columns, "file", "input_order"))
