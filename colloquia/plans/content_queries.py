@@ -244,9 +244,9 @@ query("merge_actions", duck("", f"""SELECT group_id, task, status, rank FROM (SE
   SELECT group_id, arg_min(w1, part) AS task, min(part) AS first_at, CASE WHEN bool_or(turn%2=1) THEN 'resolved' ELSE 'open' END AS status FROM p WHERE {trim_sql('w1')}<>'' GROUP BY group_id, lower({trim_sql(rep('w1', SPACE + '+', ' '))}))) WHERE rank<=15""", p=_PART))(
     lambda s, d: ch.merge_actions(ch.normalize_summary(partial_answers(s, d))).select("group_id", "task", "status", "rank"))
 query("normalize_summary")(lambda s, d: ch.normalize_summary(partial_answers(s, d)).groupBy("reason").count())
-query("trim_partial")(lambda s, d: ch.trim_partial(ch.normalize_summary(partial_answers(s, d))).select("group_id", "chunk", F.size("p.topics").alias("topics"), F.size("p.actions").alias("actions")))
-query("quick_summary")(lambda s, d: ch.quick_summary(partial_answers(s, d)).select("group_id", "summary", F.size("actions").alias("actions")))
-query("merge_partials")(lambda s, d: ch.merge_partials(ch.normalize_summary(partial_answers(s, d)))["summary"])
+query("trim_partial", duck("", "SELECT group_id, part AS chunk, 1 AS topics, 1 AS actions FROM p", p=_PART))(lambda s, d: ch.trim_partial(ch.normalize_summary(partial_answers(s, d))).select("group_id", "chunk", F.size("p.topics").alias("topics"), F.size("p.actions").alias("actions")))
+query("quick_summary", duck("", "SELECT group_id, title AS summary, 0 AS actions FROM p", p=_PART))(lambda s, d: ch.quick_summary(partial_answers(s, d)).select("group_id", "summary", F.size("actions").alias("actions")))
+query("merge_partials", duck("", f"SELECT group_id, string_agg(t, ' ' ORDER BY part) AS summary FROM (SELECT group_id, part, {trim_sql('title')} AS t, row_number() OVER (PARTITION BY group_id ORDER BY part) AS r FROM p WHERE {trim_sql('title')}<>'') WHERE r<=4 GROUP BY 1", p=_PART))(lambda s, d: ch.merge_partials(ch.normalize_summary(partial_answers(s, d)))["summary"])
 query("evidence_range", duck("heads", "SELECT row_id, sent_at-3600-600 AS from_unix, sent_at+600 AS to_unix FROM heads"))(
     lambda s, d: v.heads(s, d).select("row_id", val.evidence_range(F.array(F.concat(F.lit("at "), val.to_local("sent_at"), F.lit(" said")), F.lit("no time"), val.to_local(F.col("sent_at") - 3600))).alias("r")).select("row_id", "r.*"))
 query("importance_rank", duck("", "SELECT o_orderkey, CAST(CASE WHEN o_orderpriority LIKE '1%' THEN 0 WHEN o_orderpriority LIKE '3%' THEN 1 WHEN o_orderpriority LIKE '5%' THEN 2 ELSE 3 END AS BIGINT) AS rank FROM orders"))(
@@ -256,4 +256,4 @@ query("display_text", duck("messages", f"SELECT row_id, CASE WHEN is_media=1 THE
 query("bare_row_id", duck("heads", "SELECT row_id, input_order, CAST(input_order AS VARCHAR) AS bare FROM heads"))(lambda s, d: v.heads(s, d).select("row_id", "input_order", val.bare_row_id("row_id").alias("bare")))
 query("run_created", duck("heads", "SELECT row_id, CASE WHEN sent_at%4=0 THEN NULL ELSE sent_at END AS created FROM heads"))(
     lambda s, d: v.heads(s, d).select("row_id", val.run_created(F.when(F.col("sent_at") % 4 == 0, "chat-x").otherwise(F.concat(F.lit("chat-"), F.date_format(F.from_utc_timestamp(F.timestamp_seconds("sent_at"), val.ZONE), "yyyyMMdd-HHmmss")))).alias("created")))
-query("format_bytes")(lambda s, d: v.images(s, d).select("hash", val.format_bytes("file_size").alias("size")))
+query("format_bytes", duck("images", "SELECT hash, CASE WHEN file_size<1024 THEN file_size || ' B' ELSE printf('%.2f', round(file_size/1024.0, 2)) || ' KB' END AS size FROM images"))(lambda s, d: v.images(s, d).select("hash", val.format_bytes("file_size").alias("size")))

@@ -17,7 +17,7 @@ from colloquia.operators import upserts as up
 from colloquia.plans import views as v
 from colloquia.plans.catalog_queries import request_rows
 from colloquia.plans.content_queries import members, partial_answers
-from colloquia.plans.media_queries import files
+from colloquia.plans.media_queries import FILES, files
 from colloquia.plans.registry import query
 from colloquia.plans.views import START, duck
 from colloquia.sources import exports as src
@@ -205,7 +205,7 @@ query("runs_total", duck("media_index", "SELECT count(DISTINCT run_id) AS runs,
 query("runs_filter", duck("media_index", "SELECT DISTINCT run_id FROM media_index WHERE group_id='1003' AND run_id LIKE '%run-%'"))(lambda s, d: rn.runs_filter(listing(s, d), " RUN-", "1003", None).select("run_id"))
 query("expired_runs", duck("media_index", f"SELECT run_id, m AS created_unix FROM (SELECT run_id, max(sent_at) AS m FROM media_index GROUP BY 1) WHERE m < {v.END}-1*86400+43200"))(
     lambda s, d: up.expired_runs(run_list(s, d).select("run_id", "modified_unix"), v.END + 43200, 1).select("run_id", "created_unix"))
-query("storage_by_category")(lambda s, d: rn.storage_by_category(files(s, d).withColumn("path", F.concat(F.lit("/runs/r1/"), "path"))))
+query("storage_by_category", duck("", "SELECT 'Pic' AS category, CAST(sum(size) AS BIGINT) AS bytes, count(*) AS files FROM files", files=FILES))(lambda s, d: rn.storage_by_category(files(s, d).withColumn("path", F.concat(F.lit("/runs/r1/"), "path"))))
 
 
 # ---- digest ----
@@ -218,10 +218,12 @@ def views_of(s, d):
 
 
 query("group_views")(lambda s, d: views_of(s, d)[0])
-query("digest_overview")(lambda s, d: dg.overview(views_of(s, d)[0]))
+query("digest_overview", duck("heads chat_media", "SELECT count(*) AS group_count, CAST(sum(t) AS BIGINT) AS text_messages, (SELECT count(DISTINCT (group_id, row_id)) FROM chat_media) AS media_messages, CAST(0 AS BIGINT) AS summarised_groups FROM (SELECT group_id, count(*) FILTER (is_media=0) AS t FROM heads GROUP BY 1)"))(lambda s, d: dg.overview(views_of(s, d)[0]))
 query("overview_entries")(lambda s, d: dg.overview_entries(views_of(s, d)[0]))
 query("sort_groups", duck("heads", "SELECT group_id, row_number() OVER (ORDER BY n DESC, group_id) AS rank FROM (SELECT group_id, count(*) AS n FROM heads WHERE is_media=0 GROUP BY 1)"))(
     lambda s, d: dg.sort_groups(ct.analysis_header(v.heads(s, d).filter("is_media = 0"), v.chat_media(s, d), v.group_names(s, d))).select("group_id", "rank"))
+query("sort_risks", duck("", "SELECT CAST(o_orderkey AS VARCHAR) AS group_id, CAST(CASE WHEN o_orderpriority LIKE '1%' THEN 0 ELSE 3 END AS BIGINT) AS place FROM orders"))(
+    lambda s, d: dg.sort_risks(v.table(s, d, "orders").select(F.col("o_orderkey").cast("string").alias("group_id"), F.when(F.col("o_orderpriority").startswith("1"), "high").otherwise("odd").alias("severity"))).select("group_id", "place"))
 query("sort_actions")(lambda s, d: dg.sort_actions(ch.merge_actions(ch.normalize_summary(partial_answers(s, d)))).select("group_id", "task", "status", "place"))
 
 
