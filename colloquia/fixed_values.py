@@ -4,11 +4,12 @@ Patterns are written for Java regular expressions (Spark); they hold no logic.
 """
 
 # --- fixed values: text cleaning ---
-JS_SPACE = r"[\s\x0B   -     　﻿]"
-LIGHT_CONTROL = r"[�\x00-\x08\x0B-\x1F\x7F]"
-ANSWER_CONTROL = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F�]"
-SNIPPET_NOISE = r"[�\x00-\x1F\x7F- ]"
-SNIPPET_SEGMENT = r"([一-鿿]{2,}[，。！？、：；]?|[A-Za-z][A-Za-z'-]{2,}|[0-9]{2,})"
+JS_SPACE = r"[\s\x0B\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
+SPACE_CHARS = "\t\n\x0b\x0c\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+LIGHT_CONTROL = r"[\uFFFD\x00-\x08\x0B-\x1F\x7F]"
+ANSWER_CONTROL = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F\uFFFD]"
+SNIPPET_NOISE = r"[\uFFFD\x00-\x1F\x7F-\xA0]"
+SNIPPET_SEGMENT = r"([\u4E00-\u9FFF]{2,}[，。！？、：；]?|[A-Za-z][A-Za-z'-]{2,}|[0-9]{2,})"
 BODY_KEEP = r"[^\p{L}\p{N}\p{P}\p{S}\s._:/\\-]+"
 PATH_KEEP = r"[^\p{L}\p{N}\p{P}\p{S}\s._:\\-]+"
 URL = r"""(https?://[^\s<>"'）)]+)"""
@@ -26,8 +27,9 @@ STOP_WORDS = [
 ]
 
 # --- fixed values: signals ---
-ACTION_SIGNAL = "(?:请|麻烦|需要|能否|能不能|帮我|帮忙|谁能|处理|确认|回复|看看|解决|安排|发一下|给一下)"
-RISK_SIGNAL = "(?:报错|错误|失败|不能用|异常|投诉|退款|封号|丢失|泄露|风险|报警|崩|挂|卡死|超时|timeout|404|403|401|429)"
+ACTION_WORDS = ["请", "麻烦", "需要", "能否", "能不能", "帮我", "帮忙", "谁能", "处理", "确认", "回复", "看看", "解决", "安排", "发一下", "给一下"]
+RISK_WORDS = ["报错", "错误", "失败", "不能用", "异常", "投诉", "退款", "封号", "丢失", "泄露", "风险", "报警", "崩", "挂", "卡死", "超时",
+              "timeout", "404", "403", "401", "429"]
 
 # --- fixed values: asks ---
 SHORT_ASK = r"^(?i:kk)([tokypTOKYP])(?![A-Za-z0-9_])"
@@ -66,6 +68,9 @@ PROMPT_VOCABULARY = [
     r"(?i)(?<![A-Za-z0-9_])(?:artist:(?=[A-Za-z0-9_])|year 20\d\d(?![A-Za-z0-9_]))",
     r"(?i)(?:^|[,，])\s*(?:1girl|1boy|2girls)(?![A-Za-z0-9_])",
 ]
+# words of which a text matching the markers or the vocabulary must hold at least one
+PROMPT_HINTS = ["prompt:", "steps:", "sampler:", "scale:", "hash:", "masterpiece", "quality", "absurdres", "highres", "lowres", "aesthetic", "artifacts", "anatomy",
+                "digits", "girl", "boy", "solo", "viewer", "body", "shot", "portrait", "<lora:", "score_", "source_anime", "rating:", "artist:", "year 20"]
 MIN_VOCABULARY_HITS, MIN_PROMPT_SEGMENTS, MIN_PROMPT_CHARS, MAX_SEGMENT_CHARS = 2, 4, 24, 40
 PROSE_MARK, PROSE_HAN_SHARE = "[。！？!?；]", 0.3
 ANSWER_WINDOW, ORIGINAL_ANSWER_WINDOW, AUTHOR_WINDOW, GUESS_WINDOW = 1800, 120, 1800, 120

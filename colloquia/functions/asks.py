@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from colloquia import fixed_values as fv
-from colloquia.functions.text import bind, clean_extracted, trim_space
+from colloquia.functions.text import bind, clean_extracted, contains_any, trim_space
 
 
 def _first_rule(rules: list[Column]) -> Column:
@@ -43,6 +43,8 @@ def looks_like_prompt(text: str | Column) -> Column:
         segments = F.filter(F.transform(F.split(message, "[,，\n]"), lambda p: trim_space(p)), lambda p: p != "")
         short = F.size(F.filter(segments, lambda p: F.length(p) <= fv.MAX_SEGMENT_CHARS))
         shaped = (hits >= fv.MIN_VOCABULARY_HITS) & (short >= fv.MIN_PROMPT_SEGMENTS)
-        return (size >= fv.MIN_PROMPT_CHARS) & (message.rlike(fv.PARAMETER_MARKERS) | (~prose & shaped))
+        return (size >= fv.MIN_PROMPT_CHARS) & (message.rlike(fv.PARAMETER_MARKERS) | (shaped & ~prose))
 
-    return bind(trim_space(text), judge)
+    raw = F.col(text) if isinstance(text, str) else text
+    hinted = bind(F.lower(raw), lambda low: contains_any(low, fv.PROMPT_HINTS))
+    return F.when(hinted, bind(trim_space(raw), judge)).otherwise(False)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -24,7 +24,7 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def trim_space(c: str | Column) -> Column:
     """Trim every kind of white space, not only blanks."""
-    return F.regexp_replace(_c(c), f"^{fv.JS_SPACE}+|{fv.JS_SPACE}+$", "")
+    return F.btrim(_c(c), F.lit(fv.SPACE_CHARS))
 
 
 def speaker(*names: str | Column, fallback: str = "Unknown") -> Column:
@@ -61,10 +61,22 @@ def extract_urls(c: str | Column) -> Column:
     return F.regexp_extract_all(_c(c), F.lit(fv.URL), F.lit(1))
 
 
+def contains_any(text: Column, words: Sequence[str]) -> Column:
+    """Whether a text holds any of the words; plain substring tests, no pattern matching."""
+    hit = F.lit(False)
+    for word in words:
+        hit = hit | F.contains(text, F.lit(word))
+    return hit
+
+
 def tokens(c: str | Column) -> Column:
-    """Lower-cased useful tokens of a text, repeats kept."""
+    """Lower-cased useful tokens of a text, repeats kept.
+
+    All Han characters lie above U+2E7F, so texts without such a character skip the search
+    for them (testing the script of every character is slow)."""
     text = _c(c)
-    raw = F.concat(F.regexp_extract_all(text, F.lit(fv.HAN_TOKEN), F.lit(1)), F.regexp_extract_all(text, F.lit(fv.LATIN_TOKEN), F.lit(1)))
+    han = F.when(text.rlike(r"[^\x00-\u2E7F]"), F.regexp_extract_all(text, F.lit(fv.HAN_TOKEN), F.lit(1))).otherwise(F.array().cast("array<string>"))
+    raw = F.concat(han, F.regexp_extract_all(text, F.lit(fv.LATIN_TOKEN), F.lit(1)))
     return F.filter(F.transform(raw, lambda t: F.lower(t)), lambda t: F.length(t).between(2, 24) & ~t.isin(fv.STOP_WORDS))
 
 

@@ -110,7 +110,7 @@ query("time_blocks", duck("heads", _body, blk=_blk))(lambda s, d: ct.time_blocks
 _body, _blk = blocks_sql("")
 query("time_blocks_combined", duck("heads", _body.replace("1800", "600"), blk=_blk.replace(">1800", ">120")))(lambda s, d: ct.time_blocks(v.heads(s, d), [], gap=120))
 query("signals", duck("messages", f"""SELECT group_id, row_id, sent_at, input_order, signal, from_end FROM (SELECT *, row_number() OVER (PARTITION BY group_id, signal ORDER BY sent_at DESC, input_order DESC) AS from_end FROM (
-  SELECT group_id, row_id, sent_at, input_order, 'action' AS signal FROM messages WHERE regexp_matches(text,'(?i){fv.ACTION_SIGNAL}') UNION ALL SELECT group_id, row_id, sent_at, input_order, 'risk' FROM messages WHERE regexp_matches(text,'(?i){fv.RISK_SIGNAL}'))) WHERE from_end<=80"""))(
+  SELECT group_id, row_id, sent_at, input_order, 'action' AS signal FROM messages WHERE regexp_matches(text,'(?i){"|".join(fv.ACTION_WORDS)}') UNION ALL SELECT group_id, row_id, sent_at, input_order, 'risk' FROM messages WHERE regexp_matches(text,'(?i){"|".join(fv.RISK_WORDS)}'))) WHERE from_end<=80"""))(
     lambda s, d: ct.signals(v.messages(s, d)))
 query("last_n", duck("heads", "SELECT group_id, row_id, from_end FROM (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY sent_at DESC, input_order DESC) AS from_end FROM heads) WHERE from_end<=40"))(
     lambda s, d: ct.last_n(v.heads(s, d), ["group_id"], 40).select("group_id", "row_id", "from_end"))
