@@ -71,7 +71,7 @@ def test_bytes(spark, size, want):
 
 def test_media_refs_in_order_without_repeats(spark):
     digest = "0123456789abcdef0123456789ABCDEF"
-    body = f"D:\\qq\\Pic\\{digest}.png and {{01234567-89ab-cdef-0123-456789abcdef}}.MP4 then https://x.y/a.jpg?z=1 https://x.y/page D:\\c\\Emoji\\s.gif {digest}.png"
+    body = f"D:\\chat\\Pic\\{digest}.png and {{01234567-89ab-cdef-0123-456789abcdef}}.MP4 then https://x.y/a.jpg?z=1 https://x.y/page D:\\c\\Emoji\\s.gif {digest}.png"
     refs = one(spark, body, media.media_refs)
     assert [(r.source, r.kind, r.hash) for r in refs] == [
         ("localPath", "image", digest.lower()), ("localPath", "emoji", None), ("fileToken", "image", digest.lower()), ("fileToken", "video", "0123456789abcdef0123456789abcdef"), ("url", "image", None)]
