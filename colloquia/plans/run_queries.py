@@ -18,7 +18,7 @@ from colloquia.plans import views as v
 from colloquia.plans.catalog_queries import request_rows
 from colloquia.plans.content_queries import members, partial_answers
 from colloquia.plans.media_queries import FILES, files
-from colloquia.plans.registry import query
+from colloquia.plans.registry import ORACLES, query
 from colloquia.plans.views import START, duck
 from colloquia.sources import exports as src
 
@@ -50,7 +50,7 @@ def _block(s, d):
 
 
 query("parse_param_fields")(lambda s, d: blocks(s, d).select("hash", pm.parse_param_fields(F.element_at(F.split("block", "\n"), -1)).alias("f")).select("hash", F.explode("f.params")))
-query("loras")(lambda s, d: blocks(s, d).select("hash", F.explode(pm.loras(F.col("block"), F.lit('"A: x, B: y"')))).select("hash", "col.*"))
+query("loras", duck("", """SELECT md5(CAST(p_partkey AS VARCHAR)) AS hash, 'Style' || p_partkey%5 AS name, 0.8::DOUBLE AS weight FROM part UNION ALL SELECT md5(CAST(p_partkey AS VARCHAR)), unnest(['A','B']), NULL FROM part"""))(lambda s, d: blocks(s, d).select("hash", F.explode(pm.loras(F.col("block"), F.lit('"A: x, B: y"')))).select("hash", "col.*"))
 
 
 def chunk_rows(s, d):
@@ -224,7 +224,7 @@ query("sort_groups", duck("heads", "SELECT group_id, row_number() OVER (ORDER BY
     lambda s, d: dg.sort_groups(ct.analysis_header(v.heads(s, d).filter("is_media = 0"), v.chat_media(s, d), v.group_names(s, d))).select("group_id", "rank"))
 query("sort_risks", duck("", "SELECT CAST(o_orderkey AS VARCHAR) AS group_id, CAST(CASE WHEN o_orderpriority LIKE '1%' THEN 0 ELSE 3 END AS BIGINT) AS place FROM orders"))(
     lambda s, d: dg.sort_risks(v.table(s, d, "orders").select(F.col("o_orderkey").cast("string").alias("group_id"), F.when(F.col("o_orderpriority").startswith("1"), "high").otherwise("odd").alias("severity"))).select("group_id", "place"))
-query("sort_actions")(lambda s, d: dg.sort_actions(ch.merge_actions(ch.normalize_summary(partial_answers(s, d)))).select("group_id", "task", "status", "place"))
+query("sort_actions", f"SELECT group_id, task, status, CAST(CASE WHEN status='resolved' THEN 1 ELSE 0 END AS BIGINT) AS place FROM ({ORACLES['merge_actions']})")(lambda s, d: dg.sort_actions(ch.merge_actions(ch.normalize_summary(partial_answers(s, d)))).select("group_id", "task", "status", "place"))
 
 
 @query("digest_lines")
