@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from colloquia.llm.common import durable, pick, ranked
 
 CAPACITY = 2048
-GROUPS = 48
-LARGE = 1 / 16
+GROUPS = 32
+LARGE = 1 / 8
 SPECIAL = "<|endoftext|>"
 PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long"
 _loaded: dict[tuple[str, str], object] = {}
@@ -139,13 +139,15 @@ def plan_runs(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GR
             slots = [g for g, n in enumerate(pattern) for _ in range(n)]
             while times:
                 wanted: dict[int, int] = {}
-                chosen = []
-                for g in slots:  # the longest pieces of the group that are left
-                    length = next((x for x in members[g] if counts[x] - used[x] > wanted.get(x, 0)), None)
+                chosen, room = [], capacity
+                for k, g in enumerate(slots):  # the longest pieces left in the group; the last slot takes the longest that fits
+                    choice = members[g] if k < len(slots) - 1 else [x for x in big if x <= room]
+                    length = next((x for x in choice if counts[x] - used[x] > wanted.get(x, 0)), None)
                     if length is None:
                         break
                     wanted[length] = wanted.get(length, 0) + 1
                     chosen.append(length)
+                    room -= length
                 if len(chosen) < len(slots):
                     break
                 run = min(times, *((counts[x] - used[x]) // n for x, n in wanted.items()))

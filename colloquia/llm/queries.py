@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquia.llm import mixing, packing, sharding
+from colloquia.llm import language, mixing, neighbours, packing, sharding, simhash, toxicity, urls
 from colloquia.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,3 +68,34 @@ def water_filling_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_linear_grouping_pack")
 def linear_grouping_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
+
+
+@query("op10_simhash_blocks")
+def simhash_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query("op5_url_language_ratio")
+def url_language_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(read(spark, sf_dir, "pages"))
+
+
+@query("op7_collision_neighbours")
+def collision_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(read(spark, sf_dir, "embeddings"))
+
+
+@query("op1_language_mixture")
+def language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    found = language.identify(docs, *language.fit(docs))
+    return found.select("doc_id", language.held_out(F.col("doc_id"), 3, 1).alias("held_out"), "lang_pred", "score", F.size("proportions").alias("n_langs"))
+
+
+@query("op8_noisy_or_toxicity")
+def noisy_or_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    found = toxicity.score(docs, *toxicity.fit(docs, read(spark, sf_dir, "labels")))
+    return found.select("doc_id", language.held_out(F.col("doc_id"), 4, 2).alias("held_out"), "score",
+                        (F.col("score") >= 0.3).cast("int").alias("predicted"), F.size("offending").cast("int").alias("n_offending"))
