@@ -86,9 +86,9 @@ def nearest(vectors: DataFrame, is_query="vec_id % 20 = 0", k: int = NEAREST, li
     longest = float(np.sqrt(stats["longest"] or 1.0))
     blocks, query_blocks = max(1, -(-stats["n"] // block_rows)), max(1, -(-stats["q"] // query_rows))
     place = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    data = rows.withColumn("block", place(blocks)).withColumn("query_block", every(query_blocks).cast("long"))
-    asked = rows.filter(is_query).withColumn("query_block", place(query_blocks)).withColumn("block", every(blocks).cast("long"))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    data = rows.withColumn("block", place(blocks)).withColumn("query_block", every(query_blocks))
+    asked = rows.filter(is_query).withColumn("query_block", place(query_blocks)).withColumn("block", every(blocks))
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         names = ["query_id", "vec_id", "score"]
