@@ -15,12 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colloquia.llm.common import pick
+from colloquia.llm.common import durable, pick
 from colloquia.llm.language import held_out
 
 SAMPLE = 2500  # expected number of training documents per label value
-MIN_DOCS = 3  # a word needs so many training documents
-STEPS, RATE, DECAY, BIAS = 120, 0.2, 0.02, -8.0
+PREFIXES = (5, 6, 7, 8)
+MIN_DOCS, ODDS, SURE = 3, 1.0, 3.0  # a marking word: toxic sample documents, log odds, standard errors
+STEPS, RATE, DECAY, BIAS = 250, 0.3, 0.02, -7.0
 OFFENDING = 0.3
 PIECE = 1 << 22  # bytes read at once; pieces end at a sentence end where there is one
 
@@ -39,7 +40,11 @@ def tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
 
 
 def sentence_words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """64-bit hashes of the words, the sentence number of each, and where each sentence ends (bytes)."""
+    """Hashes of the words of a text, the sentence number of each word, and where sentences end (bytes).
+
+    One row per word: the whole word, then its prefixes of 5 to 8 bytes (0 where the word is
+    not longer), so that unseen forms of a known stem are recognised.
+    """
     low, is_word, is_end, power = tables()
     inside = is_word[data]
     ends = np.flatnonzero(is_end[data]) + 1
@@ -47,12 +52,17 @@ def sentence_words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray
         ends = np.append(ends, len(data))
     starts = np.flatnonzero(inside & ~np.concatenate([[False], inside[:-1]]))
     if not len(starts):
-        return np.empty(0, np.uint64), np.empty(0, np.int64), ends
+        return np.empty((0, 1 + len(PREFIXES)), np.uint64), np.empty(0, np.int64), ends
     spots = np.flatnonzero(inside)
-    number = np.searchsorted(starts, spots, side="right") - 1
-    value = (low[data[spots]].astype(np.uint64) + np.uint64(1)) * power[(spots - starts[number]) & 1023]
     first = np.searchsorted(spots, starts)
-    hashes = np.add.reduceat(value, first)
+    length = np.diff(np.append(first, len(spots)))
+    place = np.arange(len(spots)) - np.repeat(first, length)
+    upto = np.concatenate([[np.uint64(0)], np.cumsum((low[data[spots]].astype(np.uint64) + np.uint64(1)) * power[place & 1023])])
+    parts = [upto[first + length] - upto[first]]
+    for k in PREFIXES:
+        longer = length > k
+        parts.append(np.where(longer, (upto[np.where(longer, first + k, first)] - upto[first]) ^ np.uint64(k), np.uint64(0)))
+    hashes = np.column_stack(parts)
     hashes ^= hashes >> np.uint64(29)
     return hashes * np.uint64(0xBF58476D1CE4E5B9), np.searchsorted(ends, starts, side="right"), ends
 
@@ -74,9 +84,9 @@ def noisy_or(q: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
     return 1 - np.exp(np.bincount(of, weights=np.log(np.maximum(q, 1e-12)), minlength=n))
 
 
-def train(word: np.ndarray, sentence: np.ndarray, of: np.ndarray, label: np.ndarray, vocabulary: int, start: np.ndarray) -> tuple[np.ndarray, float]:
+def train(word: np.ndarray, sentence: np.ndarray, of: np.ndarray, label: np.ndarray, vocabulary: int) -> tuple[np.ndarray, float]:
     """Gradient ascent on the noisy-or likelihood. word/sentence: pairs; of: document of each sentence."""
-    weight, bias = start.copy(), BIAS
+    weight, bias = np.zeros(vocabulary), BIAS
     memory, bias_memory = np.full(vocabulary, 1e-8), 1e-8
     for _ in range(STEPS):
         z = bias + np.bincount(sentence, weights=weight[word], minlength=len(of))
@@ -92,67 +102,98 @@ def train(word: np.ndarray, sentence: np.ndarray, of: np.ndarray, label: np.ndar
     return weight, bias
 
 
+def matches(hashes: np.ndarray, known: np.ndarray, maybe: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, position in ``known``) of every known word or prefix; ``maybe`` marks the first 20 bits of known ones."""
+    row, kind = np.nonzero(maybe[(hashes >> np.uint64(44)).astype(np.int64)])
+    found = hashes[row, kind]
+    spot = np.minimum(np.searchsorted(known, found), max(0, len(known) - 1))
+    same = known[spot] == found if len(known) else np.zeros(len(found), bool)
+    return row[same], spot[same]
+
+
+def first_bits(known: np.ndarray) -> np.ndarray:
+    maybe = np.zeros(1 << 20, bool)
+    maybe[(known >> np.uint64(44)).astype(np.int64)] = True
+    return maybe
+
+
+def text_features(text: str | None, known: np.ndarray, maybe: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sentence numbers, known features), each feature once a sentence, and the last row the number of sentences."""
+    pairs, passed = [np.empty((2, 0), np.int64)], 0
+    for _, data in pieces(text):
+        hashes, number, ends = sentence_words(data)
+        row, spot = matches(hashes, known, maybe)
+        pairs.append(np.unique(np.stack([number[row] + passed, spot]), axis=1))
+        passed += len(ends)
+    return np.concatenate(pairs, axis=1), passed
+
+
+def vocabulary(chosen: DataFrame) -> np.ndarray:
+    """Sorted hashes of the words and prefixes that mark toxic sample documents, and of all sample
+    words under a marking prefix (so that training can excuse harmless forms)."""
+    names = ["word"] + [f"p{k}" for k in PREFIXES]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text, toxic in zip(batch.column(0), batch.column(1).to_pylist()):
+                words = [sentence_words(data)[0] for _, data in pieces(text.as_py())]
+                if words:
+                    rows = np.unique(np.concatenate(words), axis=0)
+                    prefixes = np.unique(rows[:, 1:])
+                    prefixes = prefixes[prefixes != 0]
+                    alone = np.zeros((len(prefixes), rows.shape[1]), np.uint64)
+                    alone[:, 0] = prefixes
+                    every = np.concatenate([rows, alone]).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(c.copy()) for c in every.T] + [pa.array(np.full(len(every), toxic, np.int64))], [*names, "toxic"])
+
+    kind = ", ".join(f"{n} long" for n in [*names, "toxic"])
+    sizes = chosen.agg(F.coalesce(F.sum("toxic"), F.lit(0)).alias("bad"), F.count(F.lit(1)).alias("all")).first()
+    bad, good = sizes["bad"] + 1.0, sizes["all"] - sizes["bad"] + 1.0
+    table = durable(chosen.mapInArrow(count, kind).groupBy("word").agg(
+        F.sum("toxic").alias("bad"), F.count(F.lit(1)).alias("docs"), *[F.max(n).alias(n) for n in names[1:]]))
+    rate, other = (F.col("bad") + 0.5) / bad, (F.col("docs") - F.col("bad") + 0.5) / good
+    both = F.col("docs") / (bad + good)
+    marking = table.filter((F.col("bad") >= MIN_DOCS) & (F.log(rate) - F.log(other) > ODDS) & (rate - other > SURE * F.sqrt(both * (1 - both) * (1 / bad + 1 / good)))).select("word")
+    under = table.select("word", F.explode(F.array(*names[1:])).alias("prefix")).join(marking.withColumnRenamed("word", "prefix"), "prefix", "left_semi").select("word")
+    return np.sort(marking.union(under).distinct().toArrow()["word"].to_numpy().view(np.uint64))
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray, float]:
     """Sorted word hashes, their weights and the bias, from about ``sample`` documents per label value.
 
-    The sample depends only on a hash of the id. Words are hashed in the tasks; the sample's
-    word numbers come to the driver, so the sample bounds its memory.
+    The sample depends only on a hash of the id. Words are counted and selected in Spark; only
+    the places of selected words in sample documents come to the driver.
     """
     marked = pick(labels, "doc_id", "toxic").filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), 4, 2))
-    marked = marked.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    marked = marked.groupBy("doc_id").agg(F.max("toxic").cast("long").alias("toxic"))
     sizes = {r["toxic"]: r["n"] for r in marked.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    nothing = np.empty(0, np.uint64), np.empty(0), -30.0
     if not sizes.get(1):
-        return nothing
-    limit = lambda t: int(min(1, sample / max(1, sizes.get(t, 0))) * (1 << 31))
+        return np.empty(0, np.uint64), np.empty(0), -30.0
+    limit = lambda t: F.lit(int(min(1, sample / max(1, sizes.get(t, 0))) * (1 << 31)))
     taken = marked.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)) <= F.when(F.col("toxic") == 1, limit(1)).otherwise(limit(0)))
-    chosen = pick(docs, "doc_id", "text").join(F.broadcast(taken), "doc_id").select("text", F.col("toxic").cast("int"))  # about 2 * sample rows
+    chosen = durable(pick(docs, "doc_id", "text").join(F.broadcast(taken), "doc_id").select("text", "toxic"))  # about 2 * sample rows
+    known = vocabulary(chosen)
+    maybe = first_bits(known)
 
-    def read_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for text, toxic in zip(batch.column(0), batch.column(1).to_pylist()):
-                found, sentences, passed = [], [], 0
-                for _, data in pieces(text.as_py()):
-                    hashes, number, ends = sentence_words(data)
-                    found.append(hashes.view(np.int64))
-                    sentences.append(number + passed)
-                    passed += len(ends)
-                if found:
-                    both = np.unique(np.stack([np.concatenate(sentences), np.concatenate(found)]), axis=1)  # a word counts once a sentence
-                    rows.append((both[0].astype(np.int32).tobytes(), both[1].tobytes(), toxic))
-            cols = list(zip(*rows)) or [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.int32())], ["sentences", "words", "toxic"])
-
-    got = chosen.mapInArrow(read_words, "sentences binary, words binary, toxic int").orderBy(F.xxhash64("words"), "toxic").toArrow()
-    docs_words = [np.frombuffer(w, np.uint64) for w in got["words"].to_pylist()]
-    if not docs_words:
-        return nothing
-    label = np.array(got["toxic"].to_pylist())
-    spread = [np.unique(w) for w in docs_words]
-    known, df = np.unique(np.concatenate(spread), return_counts=True)
-    known, df = known[df >= MIN_DOCS], df[df >= MIN_DOCS]
-    bad = np.zeros(len(known))
-    for words, toxic in zip(spread, label):
-        if toxic:
-            at = np.searchsorted(known, words)
-            at = at[(at < len(known)) & (known[np.minimum(at, len(known) - 1)] == words)] if len(known) else at[:0]
-            bad[at] += 1
-    odds = np.log((bad + 0.5) / (label.sum() + 1)) - np.log((df - bad + 0.5) / ((1 - label).sum() + 1))
-    start = np.where((odds > 1) & (bad >= 3), odds, 0.0)
-    word, sentence, of, base = [], [], [], 0
-    for d, (numbers, words) in enumerate(zip(got["sentences"].to_pylist(), docs_words)):
-        numbers = np.frombuffer(numbers, np.int32)
-        at = np.minimum(np.searchsorted(known, words), max(0, len(known) - 1))
-        hit = known[at] == words if len(known) else np.zeros(len(words), bool)
-        word.append(at[hit])
-        sentence.append(numbers[hit] + base)
-        n = int(numbers.max()) + 1
-        of.append(np.full(n, d))
-        base += n
-    weight, bias = train(np.concatenate(word), np.concatenate(sentence), np.concatenate(of), label, len(known), start)
-    keep = np.abs(weight) > 1e-3
-    return known[keep], weight[keep], float(bias)
+                pair, n = text_features(text.as_py(), known, maybe)
+                rows.append((pair[0].tolist(), pair[1].tolist(), n, toxic))
+            cols = list(zip(*rows)) or [[]] * 4
+            types = (pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["sentences", "features", "n", "toxic"])
+
+    got = chosen.mapInArrow(places, "sentences array<long>, features array<long>, n long, toxic long").orderBy("n", "toxic", F.xxhash64("sentences", "features")).toArrow()
+    counts = got["n"].to_numpy()
+    if not counts.sum():
+        return known[:0], np.empty(0), -30.0
+    base = np.concatenate([[0], np.cumsum(counts)[:-1]])
+    flat = lambda c: np.concatenate([np.asarray(v, np.int64) for v in got[c].to_pylist()] or [np.empty(0, np.int64)])
+    each = np.array([len(v) for v in got["features"].to_pylist()])
+    weight, bias = train(flat("features"), flat("sentences") + np.repeat(base, each), np.repeat(np.arange(len(counts)), counts), got["toxic"].to_numpy(), len(known))
+    return known, weight, float(bias)
 
 
 def score(docs: DataFrame, known: np.ndarray, weight: np.ndarray, bias: float) -> DataFrame:
@@ -167,18 +208,15 @@ def score(docs: DataFrame, known: np.ndarray, weight: np.ndarray, bias: float) -
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, weight = model.value
-        maybe = np.zeros(1 << 20, bool)
-        maybe[(known >> np.uint64(44)).astype(np.int64)] = True
+        maybe = first_bits(known)
         for batch in batches:
             scores, found = [], []
             for text in batch.column(1):
                 clean, bad = 0.0, []
                 for at, data in pieces(text.as_py()):
-                    words, number, ends = sentence_words(data)
-                    rows = np.flatnonzero(maybe[(words >> np.uint64(44)).astype(np.int64)])
-                    spot = np.minimum(np.searchsorted(known, words[rows]), max(0, len(known) - 1))
-                    rows, spot = (rows[same], spot[same]) if len(known) and (same := known[spot] == words[rows]).any() else (rows[:0], spot[:0])
-                    pair = np.unique(np.stack([number[rows], spot]), axis=1)
+                    hashes, number, ends = sentence_words(data)
+                    row, spot = matches(hashes, known, maybe)
+                    pair = np.unique(np.stack([number[row], spot]), axis=1)
                     z = bias + np.bincount(pair[0], weights=weight[pair[1]], minlength=len(ends))
                     clean -= np.logaddexp(0, z).sum()
                     p = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
