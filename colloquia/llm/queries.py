@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquia.llm import language, mixing, neighbours, packing, sharding, simhash, toxicity, urls
+from colloquia.llm import language, mixing, neighbours, packing, quality, sharding, simhash, toxicity, urls
 from colloquia.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,3 +99,9 @@ def noisy_or_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = toxicity.score(docs, *toxicity.fit(docs, read(spark, sf_dir, "labels")))
     return found.select("doc_id", language.held_out(F.col("doc_id"), 4, 2).alias("held_out"), "score",
                         (F.col("score") >= 0.3).cast("int").alias("predicted"), F.size("offending").cast("int").alias("n_offending"))
+
+
+@query("op3_ngram_ratio_rules")
+def ngram_ratio_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
