@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquia.llm import language, mixing, neighbours, packing, quality, sharding, simhash, toxicity, urls
+from colloquia.llm import language, mixing, neighbours, packing, quality, sharding, simhash, suffixes, toxicity, urls
 from colloquia.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,3 +105,8 @@ def noisy_or_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ngram_ratio_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+
+
+@query("op4_prefix_free_spans")
+def prefix_free_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digests(read(spark, sf_dir, "documents"))
