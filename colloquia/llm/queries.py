@@ -73,7 +73,7 @@ def linear_grouping_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_simhash_blocks")
 def simhash_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read(spark, sf_dir, "documents"))
-    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return found.select("doc_id", F.lower(F.lpad(F.hex("id"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 @query("op5_url_language_ratio")

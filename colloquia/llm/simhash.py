@@ -1,133 +1,192 @@
 """SimHash near-duplicates: pigeonhole blocks, then verified Hamming distances.
 
-Fingerprints that differ in at most 3 bits leave at least 2 of 5 blocks untouched, so each
-pair meets under one of the ten pairs of blocks. Exact copies are one class from the start;
-inside a bucket only the edges of a spanning forest leave, never all pairs.
+Two settings share the code. With 64 bits and 3 differing bits at most, at least 2 of 5 blocks
+are untouched, so each pair meets under one of the ten pairs of blocks. A shingle similarity
+of 0.8 moves about 15 % of the bits, beyond any useful pigeonhole on 64 bits; there the
+fingerprint has 512 bits in 39 blocks of 13, and a pair at that border shares at least one
+block with probability 0.99 (closer pairs more surely).
+
+Exact copies are one class from the start; inside a bucket only the edges of a spanning forest
+leave, never all pairs.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colloquia.llm.common import durable, pick, whole
 from colloquia.llm.components import connected
+from colloquia.llm.phrases import mix
 
-BITS, DISTANCE, BLOCKS, WIDTH, SEED = 64, 3, 5, 3, 42
+DISTANCE, BLOCKS, WIDTH, SEED = 3, 5, 3, 42
 CHUNK = 20000  # members of a bucket that are compared in one task; larger buckets meet chunk by chunk
+SMALL = 64  # buckets up to this size are first tested for any link, all at once
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
-def fingerprint(text: str | None, width: int = WIDTH) -> int:
-    """64-bit SimHash of the word shingles of a whole text; 0 without a word."""
+def bits_for(similarity: float, bits: int) -> int:
+    """Differing bits expected of two equally large shingle sets of this Jaccard similarity, plus half a standard deviation."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return round(bits * share + 0.5 * math.sqrt(bits * share * (1 - share)))
+
+
+def fingerprint(text: str | None, width: int = WIDTH, words: int = 1) -> np.ndarray:
+    """SimHash of the word shingles of a whole text, as 64-bit words; 0 without a word.
+
+    The first word takes the shingles' XXH64 values; further ones take values mixed from them.
+    """
     found = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()  # bytes split on 0x20, 0x09-0x0D
     if not found:
-        return 0
+        return np.zeros(words, np.uint64)
     shingles = map(b" ".join, zip(*[found[i:] for i in range(width)])) if len(found) >= width else [b" ".join(found)]
     hashes = np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles), np.uint64)
-    ones = np.zeros(BITS, np.int64)
-    for at in range(0, len(hashes), 1 << 16):  # bounded memory for very long texts
-        ones += np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+    ones = np.zeros(64 * words, np.int64)
+    for at in range(0, len(hashes), 255):  # sums of 255 rows fit a byte
+        part = hashes[at : at + 255]
+        rows = part[:, None] if words == 1 else mix(part[:, None], np.arange(words, dtype=np.uint64)[None, :])
+        bits = np.unpackbits(np.ascontiguousarray(rows).view(np.uint8), axis=1, bitorder="little")
+        ones += np.add.reduce(bits, axis=0, dtype=np.uint8)
+    return np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, fp): the fingerprint of every document as a signed long."""
+def fingerprints(docs: DataFrame, width: int = WIDTH, words: int = 1) -> DataFrame:
+    """(doc_id, text_hash, fp): the fingerprint of every document as signed longs."""
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            marks = np.array([fingerprint(t.as_py()) for t in batch.column(2)], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(marks.view(np.int64))], ["doc_id", "text_hash", "fp"])
+            marks = np.concatenate([np.empty(0, np.uint64)] + [fingerprint(t.as_py(), width, words) for t in batch.column(2)]).view(np.int64)
+            ends = pa.array(np.arange(0, len(marks) + 1, words, dtype=np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(ends, pa.array(marks))], ["doc_id", "text_hash", "fp"])
 
     rows = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.xxhash64(whole(F.col("text"))).alias("text_hash"), "text")
-    return rows.mapInArrow(compute, "doc_id long, text_hash long, fp long")
+    return rows.mapInArrow(compute, "doc_id long, text_hash long, fp array<long>")
+
+
+def pigeonhole_keys(distance: int = DISTANCE, blocks: int = BLOCKS) -> list[Column]:
+    """Parts of a 64-bit fingerprint of which pairs within ``distance`` share at least one."""
+    cuts = [64 * i // blocks for i in range(blocks + 1)]
+    block = [((1 << (b - a)) - 1) << a for a, b in zip(cuts, cuts[1:])]
+    signed = lambda m: m - (1 << 64) if m >> 63 else m
+    return [F.col("fp")[0].bitwiseAND(F.lit(signed(sum(m))).cast("long")) for m in combinations(block, blocks - distance)]
+
+
+def block_keys(words: int, block_bits: int) -> list[Column]:
+    """Consecutive blocks of a long fingerprint."""
+    def block(at: int) -> Column:
+        word, shift = divmod(at, 64)
+        low = F.shiftrightunsigned(F.col("fp")[word], shift)
+        if shift + block_bits > 64:
+            low = low.bitwiseOR(F.shiftleft(F.col("fp")[word + 1], 64 - shift))
+        return low.bitwiseAND(F.lit((1 << block_bits) - 1).cast("long"))
+    return [block(at) for at in range(0, 64 * words - block_bits + 1, block_bits)]
 
 
-def forest(values: np.ndarray, distance: int = DISTANCE) -> list[tuple[int, int]]:
-    """Edges that connect all values reachable by steps of at most ``distance`` bits.
+def away(rows: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """Hamming distances of fingerprints (rows, words)."""
+    return np.bitwise_count(rows ^ one).sum(axis=1, dtype=np.int64)
 
-    Breadth-first with removal: a value is compared only with values not yet reached, so a
-    dense cluster costs little more than its size.
+
+def forest(marks: np.ndarray, distance: int = DISTANCE) -> list[tuple[int, int]]:
+    """Edges (row numbers) that connect all fingerprints reachable by steps of at most ``distance`` bits.
+
+    Breadth-first with removal: a row is compared only with rows not yet reached, so a dense
+    cluster costs little more than its size.
     """
-    edges, left = [], values
+    edges, left = [], np.arange(len(marks))
     while len(left) > 1:
         queue, left = [left[0]], left[1:]
         while queue and len(left):
             here = queue.pop()
-            near = np.bitwise_count(left ^ here) <= distance
+            near = away(marks[left], marks[here]) <= distance
             if near.any():
-                reached = left[near]
-                edges += [(here, r) for r in reached]
-                queue += list(reached)
+                edges += [(here, r) for r in left[near]]
+                queue += list(left[near])
                 left = left[~near]
     return edges
 
 
-def links(classes: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS, chunk: int = CHUNK) -> DataFrame:
-    """Edges (a, b) between distinct fingerprints, enough to connect all that link.
+def bucket_edges(marks: np.ndarray, start: np.ndarray, size: np.ndarray, distance: int) -> list[tuple[int, int]]:
+    """Forests of many buckets, given where each starts and its size; most small ones have no link at all."""
+    linked = np.zeros(len(start), bool)
+    group = np.repeat(np.arange(len(start)), size)
+    small = np.repeat(size <= SMALL, size)
+    for step in range(1, min(SMALL, int(size.max(initial=1)))):
+        a = np.flatnonzero(small[:-step] & (group[:-step] == group[step:]))
+        if len(a):
+            linked[group[a[away(marks[a], marks[a + step]) <= distance]]] = True
+    edges = []
+    for i in np.flatnonzero(linked | (size > SMALL)):
+        edges += [(start[i] + x, start[i] + y) for x, y in forest(marks[start[i] : start[i] + size[i]], distance)]
+    return edges
+
+
+def links(classes: DataFrame, keys: list[Column], distance: int = DISTANCE, chunk: int = CHUNK) -> DataFrame:
+    """Edges (a, b) between the ids of fingerprints, enough to connect all that link.
 
-    Takes one row per fingerprint. A bucket with more than ``chunk`` members is cut into
-    chunks and every two chunks meet in a cell of their own, so no task holds more than two
-    chunks of a bucket and no pair is lost.
+    Takes one row (id, fp) per fingerprint. A bucket with more than ``chunk`` members is cut
+    into chunks and every two chunks meet in a cell of their own, so no task holds more than
+    two chunks of a bucket and no pair is lost.
     """
-    cuts = [BITS * i // blocks for i in range(blocks + 1)]
-    block = [((1 << (b - a)) - 1) << a for a, b in zip(cuts, cuts[1:])]
-    masks = [sum(m) for m in combinations(block, blocks - distance)]
-    signed = lambda m: m - (1 << 64) if m >> 63 else m
-    parts = F.array(*[F.struct(F.lit(i).alias("blocks"), F.col("fp").bitwiseAND(F.lit(signed(m)).cast("long")).alias("part")) for i, m in enumerate(masks)])
-    keys = classes.select("fp", F.explode(parts).alias("key")).select("fp", "key.blocks", "key.part")
-    hot = keys.groupBy("blocks", "part").agg(F.count(F.lit(1)).alias("members")).filter(F.col("members") > chunk)
+    parts = F.array(*[F.struct(F.lit(i).cast("long").alias("block"), k.alias("part")) for i, k in enumerate(keys)])
+    named = classes.select("id", F.explode(parts).alias("key")).select("id", "key.block", "key.part")
+    hot = named.groupBy("block", "part").agg(F.count(F.lit(1)).alias("members")).filter(F.col("members") > chunk)
+    busy = classes.select("id", "fp", F.explode(parts).alias("key")).select("id", "fp", "key.block", "key.part")
     cells = F.ceil(F.coalesce("members", F.lit(1)) / chunk)
-    mine = F.pmod(F.xxhash64("fp"), F.col("cells"))
+    mine = F.pmod(F.xxhash64("id"), F.col("cells"))
     meet = F.transform(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1), lambda j: F.least(j, F.col("mine")) * F.col("cells") + F.greatest(j, F.col("mine")))
-    spread = keys.join(hot, ["blocks", "part"], "left").withColumn("cells", cells).withColumn("mine", mine).select(
-        "blocks", "part", "fp", F.explode(meet).alias("cell"))
+    most = hot.count()  # usually none
+    if most:
+        busy = busy.join(hot, ["block", "part"], "left").withColumn("cells", cells).withColumn("mine", mine).select("id", "fp", "block", "part", F.explode(meet).alias("cell"))
+    else:
+        busy = busy.withColumn("cell", F.lit(0).cast("long"))
 
     def connect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [[b.column(i).to_numpy() for i in range(4)] for b in batches if b.num_rows]
+        held = [[b.column(i).to_numpy() for i in range(4)] + [b.column(4).flatten().to_numpy().reshape(b.num_rows, -1)] for b in batches if b.num_rows]
         if not held:
             return
-        group, part, fp, cell = (np.concatenate(c) for c in zip(*held))
-        order = np.lexsort((fp, cell, part, group))
-        group, part, fp, cell = group[order], part[order], fp[order].view(np.uint64), cell[order]
-        new = np.r_[True, (group[1:] != group[:-1]) | (part[1:] != part[:-1]) | (cell[1:] != cell[:-1])]
+        ids, block, part, cell, marks = (np.concatenate(c) for c in zip(*held))
+        order = np.lexsort((ids, cell, part, block))
+        ids, block, part, cell, marks = ids[order], block[order], part[order], cell[order], marks[order].view(np.uint64)
+        new = np.r_[True, (block[1:] != block[:-1]) | (part[1:] != part[:-1]) | (cell[1:] != cell[:-1])]
         start = np.flatnonzero(new)
-        size = np.diff(np.r_[start, len(fp)])
-        two = start[size == 2]
-        two = two[np.bitwise_count(fp[two] ^ fp[two + 1]) <= distance]
-        edges = list(zip(fp[two], fp[two + 1]))
-        for at, n in zip(start[size > 2], size[size > 2]):
-            edges += forest(fp[at : at + n], distance)
+        edges = bucket_edges(marks, start, np.diff(np.r_[start, len(ids)]), distance)
         if edges:
-            ends = np.array(edges, np.uint64).view(np.int64).reshape(-1, 2)
+            ends = ids[np.array(edges)]
             yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0].copy()), pa.array(ends[:, 1].copy())], ["a", "b"])
 
-    return spread.repartition("blocks", "part", "cell").select(F.col("blocks").cast("long"), "part", "fp", "cell").mapInArrow(connect, "a long, b long").distinct()
+    return busy.repartition("block", "part", "cell").select("id", "block", "part", "cell", "fp").mapInArrow(connect, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS, chunk: int = CHUNK) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = WIDTH, distance: int = DISTANCE, words: int = 1, keys: list[Column] | None = None, chunk: int = CHUNK) -> DataFrame:
     """Per document its fingerprint and the group of documents reachable by near fingerprints.
 
-    Returns doc_id, text_hash, fp, root (least fingerprint of the group) and component_id (its
-    smallest doc_id; null ids count only where there is no other). Texts without a word have
-    fingerprint 0 and link like any other. An empty table gives no rows.
+    Returns doc_id, text_hash, fp, id (of the fingerprint), root (least id of the group) and
+    component_id (the group's smallest doc_id; null ids count only where there is no other).
+    Texts without a word have fingerprint 0 and link like any other. An empty table gives no rows.
     """
-    rows = durable(fingerprints(docs))
-    classes = durable(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = connected(links(classes, distance, blocks, chunk))
-    member = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    name = F.col("fp")[0] if words == 1 else F.xxhash64("fp")
+    rows = durable(fingerprints(docs, width, words).withColumn("id", name))
+    classes = durable(rows.groupBy("id").agg(F.min("doc_id").alias("first"), F.first("fp").alias("fp")))
+    roots = connected(links(classes, keys or pigeonhole_keys(distance), distance, chunk))
+    member = classes.join(roots, classes["id"] == roots["node"], "left").select("id", "first", F.coalesce("root", "id").alias("root"))
     named = member.groupBy("root").agg(F.min("first").alias("component_id"))
-    return rows.join(member.drop("first").join(named, "root"), "fp")
+    return rows.join(member.drop("first").join(named, "root"), "id")
+
+
+def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, words: int = 8, block_bits: int = 13, chunk: int = CHUNK) -> DataFrame:
+    """Groups of documents whose word shingles have about this Jaccard similarity or more."""
+    return near_duplicates(docs, width, bits_for(similarity, 64 * words), words, block_keys(words, block_bits), chunk)
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
+def keep_one(docs: DataFrame, groups: DataFrame) -> DataFrame:
     """One document of each group, with all its columns: the smallest doc_id, then text hash."""
-    groups = near_duplicates(docs, **options)
     least = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")))
     kept = groups.groupBy("root").agg(least.alias("k")).select(F.col("k.id").alias("id"), F.col("k.hash").alias("hash"))
     marks = [f"c{i}" for i in range(len(docs.columns))]
