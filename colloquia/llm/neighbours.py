@@ -18,9 +18,9 @@ from pyspark.sql import Window as W
 from colloquia.llm.common import durable, pick
 
 NEAREST = 20
-LINES, THRESHOLD = 64, 0.7
-WINDOW, GROWTH, ROUNDS = 0.35, 1.3, 12
-ENOUGH = 0.05  # share of a block that is verified at least
+LINES, THRESHOLD = 128, 0.7
+WINDOW, GROWTH, ROUNDS = 0.5, 1.15, 16
+ENOUGH, ENOUGH_ROWS = 0.08, 400  # share and number of a block's vectors that are verified at least
 BLOCK_ROWS, QUERY_ROWS = 20000, 1500
 SEED = 11
 
@@ -43,21 +43,21 @@ def search_block(ids, data, query_ids, queries, longest, k, lines, threshold, wi
     directions = np.random.default_rng(SEED).standard_normal((lines, data.shape[1] + 1))
     lifted = np.sqrt(np.maximum(0, 1 - (data * data).sum(axis=1) / longest**2))
     keys = np.column_stack([data / longest, lifted]) @ directions.T
-    order = np.argsort(keys, axis=0, kind="stable").T.astype(np.int32)
+    order = np.ascontiguousarray(np.argsort(keys, axis=0, kind="stable").T)
     arrays = np.take_along_axis(keys.T, order, axis=1)
     centres = (queries / np.sqrt((queries * queries).sum(axis=1))[:, None]) @ directions[:, :-1].T
-    needed, wanted = int(np.ceil(threshold * lines)), k + 1 + int(enough * len(ids))
+    needed, wanted = int(np.ceil(threshold * lines)), k + 1 + max(ENOUGH_ROWS, int(enough * len(ids)))
     widths = [window * growth**r for r in range(rounds)] + [np.inf]
     low = np.stack([[np.searchsorted(arrays[j], centres[:, j] - w) for j in range(lines)] for w in widths])
     high = np.stack([[np.searchsorted(arrays[j], centres[:, j] + w, side="right") for j in range(lines)] for w in widths])
     for q in range(len(query_ids)):
-        met = np.zeros(len(ids), np.int32)
+        met = np.zeros(len(ids), np.int64)
         lo = hi = low[0, :, q]
         for r in range(len(widths)):
             a, b = low[r, :, q], high[r, :, q]
             ring = [order[j, s:e] for j in range(lines) for s, e in ((a[j], lo[j]), (hi[j], b[j])) if e > s]  # only what the wider window adds
             if ring:
-                met += np.bincount(np.concatenate(ring), minlength=len(ids)).astype(np.int32)
+                met += np.bincount(np.concatenate(ring), minlength=len(ids))
             lo, hi = a, b
             found = met >= needed
             if np.count_nonzero(found) >= wanted:
