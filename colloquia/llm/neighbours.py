@@ -18,8 +18,8 @@ from pyspark.sql import Window as W
 from colloquia.llm.common import durable, pick
 
 NEAREST = 20
-LINES, THRESHOLD = 128, 0.7
-WINDOW, GROWTH, ROUNDS = 0.5, 1.15, 16
+LINES, THRESHOLD = 96, 0.7
+WINDOW, GROWTH, ROUNDS = 0.8, 1.2, 12
 ENOUGH, ENOUGH_ROWS = 0.08, 400  # share and number of a block's vectors that are verified at least
 BLOCK_ROWS, QUERY_ROWS = 20000, 1500
 SEED = 11
@@ -43,25 +43,26 @@ def search_block(ids, data, query_ids, queries, longest, k, lines, threshold, wi
     directions = np.random.default_rng(SEED).standard_normal((lines, data.shape[1] + 1))
     lifted = np.sqrt(np.maximum(0, 1 - (data * data).sum(axis=1) / longest**2))
     keys = np.column_stack([data / longest, lifted]) @ directions.T
-    order = np.ascontiguousarray(np.argsort(keys, axis=0, kind="stable").T)
+    order = np.argsort(keys, axis=0, kind="stable").T
     arrays = np.take_along_axis(keys.T, order, axis=1)
+    place = np.empty(order.shape, np.uint16 if len(ids) < 1 << 16 else np.uint32)  # of each vector in each sorted array
+    np.put_along_axis(place, order, np.broadcast_to(np.arange(len(ids), dtype=place.dtype), order.shape), axis=1)
     centres = (queries / np.sqrt((queries * queries).sum(axis=1))[:, None]) @ directions[:, :-1].T
     needed, wanted = int(np.ceil(threshold * lines)), k + 1 + max(ENOUGH_ROWS, int(enough * len(ids)))
     widths = [window * growth**r for r in range(rounds)] + [np.inf]
-    low = np.stack([[np.searchsorted(arrays[j], centres[:, j] - w) for j in range(lines)] for w in widths])
-    high = np.stack([[np.searchsorted(arrays[j], centres[:, j] + w, side="right") for j in range(lines)] for w in widths])
+    low = np.stack([[np.searchsorted(arrays[j], centres[:, j] - w) for j in range(lines)] for w in widths]).astype(place.dtype)
+    high = np.stack([[np.searchsorted(arrays[j], centres[:, j] + w, side="right") for j in range(lines)] for w in widths]).astype(place.dtype)
+    moved, inside = np.empty_like(place), np.empty(place.shape, np.uint8)
+    last = 0
     for q in range(len(query_ids)):
-        met = np.zeros(len(ids), np.int64)
-        lo = hi = low[0, :, q]
-        for r in range(len(widths)):
-            a, b = low[r, :, q], high[r, :, q]
-            ring = [order[j, s:e] for j in range(lines) for s, e in ((a[j], lo[j]), (hi[j], b[j])) if e > s]  # only what the wider window adds
-            if ring:
-                met += np.bincount(np.concatenate(ring), minlength=len(ids))
-            lo, hi = a, b
+        for r in range(max(0, last - 1), len(widths)):  # one step inside the window of the query before
+            since, wide = low[r, :, q, None], (high[r, :, q] - low[r, :, q])[:, None]
+            np.less(np.subtract(place, since, out=moved), wide, out=inside.view(bool))  # unsigned: places below the window wrap
+            met = sum(np.add.reduce(inside[j : j + 255], axis=0, dtype=np.uint8).astype(np.uint16) for j in range(0, lines, 255))
             found = met >= needed
             if np.count_nonzero(found) >= wanted:
                 break
+        last = r
         rows = np.flatnonzero(found & (ids != query_ids[q]))
         score = (data[rows] * queries[q]).sum(axis=1)
         best = np.lexsort((ids[rows], -score))[:k]
