@@ -52,10 +52,14 @@ def order_number(text: Column) -> Column:
 
 
 def quantised(df: DataFrame, dims: list[str], bits: int = BITS) -> DataFrame:
-    """Replace each numeric dimension by its quantile cell, 0 to 2^bits - 1, cut over all rows."""
+    """Add the quantile cell of each numeric dimension, 0 to 2^bits - 1, cut over all rows.
+
+    A frequent value covers several quantiles and counts as many cells, so a dimension with
+    few values still spreads over the whole range.
+    """
     steps = [i / (1 << bits) for i in range(1, 1 << bits)]
     cuts = df.agg(*[F.percentile_approx(d, steps, 10000).alias(d) for d in dims]).first()
-    cell = lambda d: sum(((F.col(d) > F.lit(c)).cast("int") for c in sorted(set(cuts[d] or []))), F.lit(0))
+    cell = lambda d: sum(((F.col(d) > F.lit(c)).cast("int") for c in cuts[d] or []), F.lit(0))
     return df.withColumns({f"{d}_cell": cell(d) for d in dims})
 
 
