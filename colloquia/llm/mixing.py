@@ -19,6 +19,7 @@ WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 EPOCHS = 2
 KEY_BITS, BUCKET_BITS = 60, 14
+SMALL_PLAN = 10000  # sources up to which the plan (one short row each) is broadcast
 
 
 def seeded_key(seed: str) -> Column:
@@ -83,9 +84,11 @@ def source_plan(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs:
         F.max(F.when(2 * F.col("before") + F.col("here") <= 2 * F.col("part"), F.col("key"))).alias("last"),
         F.min(F.shiftleft(F.col("bucket"), KEY_BITS - BUCKET_BITS) - 1).alias("floor"))
     # no bucket holds the border: the part is nothing (none taken) or everything
-    return plan.join(bounds, ["no_source", "of"], "left").select(
+    found = plan.join(bounds, ["no_source", "of"], "left").select(
         "no_source", "of", "source_size", "target", "times",
         F.when(F.col("part") <= 0, F.lit(-1)).otherwise(F.coalesce("last", "floor", F.lit((1 << KEY_BITS) - 1))).cast("long").alias("bound"))
+    found = durable(found)
+    return F.broadcast(found) if found.count() <= SMALL_PLAN else found  # larger ones are left to Spark's skew join
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, seed: str = SEED) -> DataFrame:

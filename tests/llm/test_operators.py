@@ -271,9 +271,10 @@ def test_counts_and_ratio_by_definition(spark, tricky):
 
 
 def test_labelled_junk_goes_and_prose_stays(spark):
-    found = dict(rows(queries.QUERIES["op3_ngram_ratio_rules"](spark, MIDDLE).filter("not base_failed"), "doc_id", "kept"))
+    folder = "/root/testdata/sf0.1"
+    found = dict(rows(queries.QUERIES["op3_ngram_ratio_rules"](spark, folder).filter("not base_failed"), "doc_id", "kept"))
     by = {0: [], 1: []}
-    for d, q, _ in table("labels", MIDDLE):
+    for d, q, _ in table("labels", folder):
         if d in found:
             by[q].append(found[d])
     assert np.mean(by[1]) > 0.995 and np.mean(by[0]) < 0.05
