@@ -220,5 +220,5 @@ def exact_speakers(messages: DataFrame, start: int, end: int) -> DataFrame:
 
 def repair_batches(ranges: DataFrame, groups: DataFrame, start: int, end: int, slot: int) -> DataFrame:
     """Slot gaps of a selection folded back into as few rescan batches as possible."""
-    pieces = slot_gaps(ranges, groups, start, end, slot).select(F.array("group_id").alias("group_ids"), "start_unix", "end_unix")
+    pieces = slot_gaps(ranges, groups, start, end, slot).select("start_unix", "end_unix", F.col("group_id").alias("batch_key"), "group_id")
     return merge_batches(pieces)

@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 from colloquia import fixed_values as fv
 from colloquia.functions.text import preview
 from colloquia.functions.values import aspect, bare_row_id, param_num
-from colloquia.operators.intervals import inside_coverage, merge_intervals
-from colloquia.operators.ordered import top_per_key
+from colloquia.operators.intervals import inside_coverage
+from colloquia.operators.ordered import split_window, time_bucket, top_per_key
+from colloquia.session import durable
 
-PAGE_DEFAULT, PAGE_MAX, MAX_TERMS, CARD_CHILDREN, EXPORT_CAP, COVERAGE_MONTHS, LISTED_GROUPS = 60, 200, 12, 8, 100000, 36, 40
+PAGE_DEFAULT, PAGE_MAX, MAX_TERMS, CARD_CHILDREN, LISTED_GROUPS = 60, 200, 12, 8, 40
 
 
 # letters with diacritics and their plain forms, derived from their Unicode decomposition
@@ -194,10 +195,10 @@ def catalog_page(images: DataFrame, mode: str, loras: DataFrame, sightings: Data
 
 
 def export_rows(images: DataFrame, mode: str, loras: DataFrame, sightings: DataFrame, requests: DataFrame, limit: int = 0) -> DataFrame:
-    """Ordered selection for an export with the path to read each file from."""
+    """Ordered selection for an export with the path to read each file from; all of it without a limit."""
     path = F.when((F.col("file_missing") != 1) & (F.col("file_path") != ""), F.col("file_path")).otherwise(F.col("object_path"))
-    cap = min(limit, EXPORT_CAP) if limit > 0 else EXPORT_CAP
-    return catalog_sort(images, mode, loras, sightings, requests).limit(cap).withColumn("export_path", path)
+    ordered = catalog_sort(images, mode, loras, sightings, requests)
+    return (ordered.limit(limit) if limit > 0 else ordered).withColumn("export_path", path)
 
 
 def attribution_reason(images: DataFrame, sightings: DataFrame, ranges: DataFrame) -> DataFrame:
@@ -236,10 +237,10 @@ def catalog_summary(images: DataFrame, sightings: DataFrame, loras: DataFrame, t
 
 
 def facets(images: DataFrame, sightings: DataFrame, loras: DataFrame, tags: DataFrame) -> DataFrame:
-    """Filter choices: (facet, value, images, rank) with the usual list lengths."""
+    """Filter choices: (facet, value, images, rank) with the usual list lengths; generators are listed in full."""
     def top(df: DataFrame, name: str, value: str, count: Column, n: int | None) -> DataFrame:
         counted = df.groupBy(F.col(value).alias("value")).agg(count.alias("images")).withColumn("facet", F.lit(name))
-        return top_per_key(counted, ["facet"], [F.col("images").desc(), F.col("value").asc()], n or 1000)
+        return top_per_key(counted, ["facet"], [F.col("images").desc(), F.col("value").asc()], n)
 
     rows, distinct = F.count(F.lit(1)), F.count_distinct("hash")
     real = images.filter(F.col("generator") != fv.PLACEHOLDER_GENERATOR)
@@ -250,17 +251,26 @@ def facets(images: DataFrame, sightings: DataFrame, loras: DataFrame, tags: Data
     return out
 
 
-def month_coverage(images: DataFrame, sightings: DataFrame, ranges: DataFrame, months: int = COVERAGE_MONTHS) -> DataFrame:
-    """Assets per UTC month: attributed, with prompt, and whether any scan touched the month."""
+def month_coverage(images: DataFrame, sightings: DataFrame, ranges: DataFrame, months: int | None = None) -> DataFrame:
+    """Assets per UTC month: attributed, with prompt, and whether any scan touched the month.
+
+    ``months`` keeps the latest months only. Whether a scan touched a month is one ordered pass
+    over day marks: the furthest scan end before a month's last asset reaches its first one.
+    """
     seen = sightings.select("hash").distinct().withColumn("_seen", F.lit(1))
     real = images.filter((F.col("generator") != fv.PLACEHOLDER_GENERATOR) & (F.col("file_mtime") > 0)).join(seen, "hash", "left")
     month = F.date_format(F.timestamp_seconds("file_mtime"), "yyyy-MM")
     table = real.groupBy(month.alias("month")).agg(
         F.count(F.lit(1)).alias("images"), F.count("_seen").alias("attributed"), F.count(F.when(F.col("prompt") != "", 1)).alias("with_prompt"),
-        F.min("file_mtime").alias("from_unix"), F.max("file_mtime").alias("to_unix")).orderBy(F.col("month").desc()).limit(months)
-    # at most 36 rows meet the merged ranges, which are reduced to the months they touch
-    merged = merge_intervals(ranges.withColumn("_all", F.lit(1)), ["_all"])
-    touched = merged.join(F.broadcast(table.select("month", "from_unix", "to_unix")), (F.col("end_unix") >= F.col("from_unix")) & (F.col("start_unix") <= F.col("to_unix"))).select("month").distinct()
+        F.min("file_mtime").alias("from_unix"), F.max("file_mtime").alias("to_unix"))
+    if months is not None:
+        table = table.orderBy(F.col("month").desc()).limit(months)
+    # a range that starts by the month's end touches it when the furthest such end reaches its start
+    starts = ranges.groupBy("start_unix").agg(F.max("end_unix").alias("end_unix"))
+    flow = starts.unionByName(table.select(F.col("to_unix").alias("start_unix"), F.lit(None).cast("long").alias("end_unix"))).groupBy("start_unix").agg(
+        F.max("end_unix").alias("end_unix")).withColumn("_day", time_bucket("start_unix"))
+    reach = split_window(durable(flow), [], "_day", ["start_unix"], reach=("max_through", F.col("end_unix"))).select(F.col("start_unix").alias("to_unix"), "reach")
+    touched = table.join(reach, "to_unix").filter(F.col("reach") >= F.col("from_unix")).select("month")
     return table.join(touched.withColumn("_t", F.lit(True)), "month", "left").select(
         "month", "images", "attributed", "with_prompt", "from_unix", "to_unix", F.coalesce("_t", F.lit(False)).alias("summarised"), (F.col("images") - F.col("attributed")).alias("unattributed"))
 

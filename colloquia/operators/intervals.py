@@ -7,11 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from colloquia.operators.ordered import ordinal, split_window, time_bucket
+from colloquia.operators.ordered import split_window, time_bucket
 from colloquia.session import durable
 
 BACKFILL_CHUNK_SECONDS = 24 * 60 * 60
-BATCH_GROUPS = 1000
 SLOT_SECONDS_BY_DAYS = {1: 3600, 7: 6 * 3600, 30: 86400}
 LOCAL_OFFSET_SECONDS = 8 * 3600
 
@@ -118,22 +117,37 @@ def slot_gaps(ranges: DataFrame, groups: DataFrame, start: int, end: int, slot:
         "group_id", "slot_index", F.col("piece_start").alias("start_unix"), F.col("piece_end").alias("end_unix"))
 
 
-def rescan_batches(gap_rows: DataFrame, size: int = BATCH_GROUPS) -> DataFrame:
+def digest_sum(value: Column) -> Column:
+    """Order-free fingerprint of a set of texts: exact sums of two halves of their digests, and the count.
+
+    Unlike a fold by exclusive or, equal members do not cancel.
+    """
+    half = lambda i: F.sum(F.conv(F.substring(F.sha2(value, 256), 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)")).cast("string")
+    return F.concat_ws(":", half(0), half(1), F.count(F.lit(1)).cast("string"))
+
+
+def rescan_batches(gap_rows: DataFrame) -> DataFrame:
     """Groups that miss exactly the same range share one batch.
 
-    A range missed by very many groups makes several batches of at most ``size`` groups, so
-    no id list grows without bound and no group is left out.
+    A batch is a set of rows (start_unix, end_unix, batch_key, group_id), however many groups
+    miss the range; ``batch_key`` stands for the set of groups.
     """
-    placed = ordinal(gap_rows.select("start_unix", "end_unix", "group_id").distinct(), ["start_unix", "end_unix"], ["group_id"], "_n")
-    return placed.groupBy("start_unix", "end_unix", F.floor((F.col("_n") - 1) / size).alias("_part")).agg(
-        F.sort_array(F.collect_list("group_id")).alias("group_ids")).drop("_part")
+    rows = gap_rows.select("start_unix", "end_unix", "group_id").distinct()
+    keys = rows.groupBy("start_unix", "end_unix").agg(digest_sum(F.col("group_id")).alias("batch_key"))
+    return rows.join(keys, ["start_unix", "end_unix"]).select("start_unix", "end_unix", "batch_key", "group_id")
 
 
-def merge_batches(batches: DataFrame) -> DataFrame:
+def batch_rows(batches: DataFrame) -> DataFrame:
+    """Batches given as id lists (start_unix, end_unix, group_ids), as rows."""
+    ids = F.array_sort(F.array_distinct(F.transform("group_ids", lambda g: F.trim(g))))
+    return batches.withColumn("batch_key", F.array_join(ids, ",")).select("start_unix", "end_unix", "batch_key", F.explode(ids).alias("group_id"))
+
+
+def merge_batches(rows: DataFrame) -> DataFrame:
     """Join touching batches of the same group set, then unite groups of equal ranges."""
-    keyed = batches.withColumn("group_key", F.array_join(F.array_sort(F.array_distinct("group_ids")), ","))
-    joined = merge_intervals(keyed, ["group_key"])
-    return rescan_batches(joined.select("start_unix", "end_unix", F.explode(F.split("group_key", ",")).alias("group_id")))
+    joined = merge_intervals(rows.select("start_unix", "end_unix", "batch_key").distinct(), ["batch_key"])
+    members = rows.select("batch_key", "group_id").distinct()
+    return rescan_batches(joined.join(members, "batch_key"))
 
 
 def invalid_batches(batches: DataFrame) -> DataFrame:
@@ -148,10 +162,9 @@ def task_id(group: Column, start: Column, end: Column) -> Column:
     return F.substring(F.sha2(F.concat_ws(":", group, start.cast("string"), end.cast("string")), 256), 1, 20)
 
 
-def backfill_plan(batches: DataFrame, chunk: int = BACKFILL_CHUNK_SECONDS) -> DataFrame:
+def backfill_plan(rows: DataFrame, chunk: int = BACKFILL_CHUNK_SECONDS) -> DataFrame:
     """Tasks of at most ``chunk`` seconds that cover every batch once per group."""
-    exploded = batches.withColumn("group_id", F.explode(F.array_distinct(F.transform("group_ids", lambda g: F.trim(g)))))
-    merged = merge_intervals(exploded)
+    merged = merge_intervals(rows.withColumn("group_id", F.trim("group_id")))
     tasks = merged.withColumn("task_start", F.explode(F.sequence(
         F.col("start_unix"), F.col("end_unix") - 1, F.lit(chunk).cast("long")))).withColumn(
         "task_end", F.least(F.col("task_start") + chunk, F.col("end_unix")))
@@ -159,21 +172,18 @@ def backfill_plan(batches: DataFrame, chunk: int = BACKFILL_CHUNK_SECONDS) -> Da
                         F.col("task_start").alias("start_unix"), F.col("task_end").alias("end_unix"))
 
 
-def plan_totals(tasks: DataFrame, batches: DataFrame) -> DataFrame:
-    """One-row plan header. The plan id folds the task digests order-free, so the task
-    list never has to meet in one place."""
-    parts = [F.bit_xor(F.conv(F.substring(F.sha2("task_id", 256), 1 + 15 * i, 15), 16, 10).cast("long")).alias(f"_x{i}")
-             for i in range(2)]
-    header = tasks.agg(F.count(F.lit(1)).alias("task_count"), F.countDistinct("group_id").alias("group_count"),
-                       F.sum(F.col("end_unix") - F.col("start_unix")).cast("long").alias("total_group_seconds"), *parts)
-    source = batches.agg(F.count(F.lit(1)).alias("source_batch_count"))
-    plan_id = F.substring(F.sha2(F.concat_ws(":", *[F.col(f"_x{i}").cast("string") for i in range(2)], F.col("task_count").cast("string")), 256), 1, 24)
+def plan_totals(tasks: DataFrame, rows: DataFrame) -> DataFrame:
+    """One-row plan header. The plan id folds the task ids order-free, so the task list never
+    has to meet in one place."""
+    header = tasks.agg(digest_sum(F.col("task_id")).alias("_ids"), F.count(F.lit(1)).alias("task_count"), F.countDistinct("group_id").alias("group_count"),
+                       F.coalesce(F.sum(F.col("end_unix") - F.col("start_unix")), F.lit(0)).cast("long").alias("total_group_seconds"))
+    source = rows.agg(F.countDistinct("start_unix", "end_unix", "batch_key").alias("source_batch_count"))
     return header.withColumn("_k", F.lit(1)).join(source.withColumn("_k", F.lit(1)), "_k").select(
-        plan_id.alias("plan_id"), "task_count", "group_count", "total_group_seconds", "source_batch_count")
+        F.substring(F.sha2("_ids", 256), 1, 24).alias("plan_id"), "task_count", "group_count", "total_group_seconds", "source_batch_count")
 
 
 def check_plan(tasks: DataFrame, chunk: int = BACKFILL_CHUNK_SECONDS) -> DataFrame:
-    """Violations of a stored plan: bad ids, bad bounds, duplicates."""
+    """Violations of stored tasks: bad ids, bad bounds, duplicates."""
     span = F.col("end_unix") - F.col("start_unix")
     bounds = (~F.col("group_id").rlike("^[0-9]+$") | (F.col("start_unix") <= 0) | (span <= 0) | (span > chunk))
     wrong = F.col("task_id") != task_id(F.col("group_id"), F.col("start_unix"), F.col("end_unix"))
@@ -182,6 +192,16 @@ def check_plan(tasks: DataFrame, chunk: int = BACKFILL_CHUNK_SECONDS) -> DataFra
     return rows.unionByName(twice)
 
 
+def check_header(header: DataFrame, tasks: DataFrame) -> DataFrame:
+    """Violations of a stored one-row plan header against its tasks."""
+    real = plan_totals(tasks, tasks.select("start_unix", "end_unix", F.lit("").alias("batch_key")))
+    names = ["plan_id", "task_count", "group_count", "total_group_seconds"]
+    both = header.withColumn("_k", F.lit(1)).join(real.select(*[F.col(n).alias(f"_{n}") for n in names], F.lit(1).alias("_k")), "_k")
+    found = [F.when(~F.col(n).eqNullSafe(F.col(f"_{n}")), F.lit(n)) for n in names]
+    found += [F.when(F.coalesce(F.col("source_batch_count"), F.lit(0)) < 1, F.lit("source_batch_count")), F.when(F.col("_task_count") == 0, F.lit("empty"))]
+    return both.select(F.explode(F.array_compact(F.array(*found))).alias("violation"))
+
+
 def pending_tasks(tasks: DataFrame, state: DataFrame) -> DataFrame:
     """Tasks not completed yet. ``state``: task_id, status, message."""
     return tasks.join(state.filter("status = 'done'"), "task_id", "left_anti")

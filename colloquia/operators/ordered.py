@@ -16,8 +16,6 @@ from pyspark.sql import functions as F
 from colloquia.session import durable
 
 DAY_SECONDS = 86400
-SALTS = 64
-PARTIAL_LIMIT = 1000  # up to here Spark limits a ranked window before the shuffle by itself
 
 
 def time_bucket(column: str | Column, width: int = DAY_SECONDS) -> Column:
@@ -92,26 +90,34 @@ def split_window(df: DataFrame, keys: Sequence[str], bucket: str, order: Sequenc
     return detail.join(carried, parts).select(*[F.col(c) for c in df.columns], *final_cols)
 
 
-def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, rank: str = "rank") -> DataFrame:
-    """The first ``n`` rows of every key with their rank.
+def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int | None, rank: str = "rank") -> DataFrame:
+    """The first ``n`` rows of every key with their rank; all rows where ``n`` is None.
 
-    Spark limits the window before its shuffle while ``n`` is small. Above that limit a
-    key is first split over salts and every salt keeps its own first ``n``, so the final
-    sort of a key sees at most ``n`` rows per salt.
+    Spark keeps the first ``n`` of a key in every task before the shuffle (the session sets
+    ``windowGroupLimitThreshold`` beyond any ``n`` in use), so a hot key's final sort sees at
+    most ``n`` rows per map task.
     """
-    final = Window.partitionBy(*keys).orderBy(*order)
-    if n > PARTIAL_LIMIT:
-        salted = df.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(SALTS)))
-        each = Window.partitionBy(*keys, "_salt").orderBy(*order)
-        df = salted.withColumn("_r", F.row_number().over(each)).filter(F.col("_r") <= n).drop("_r", "_salt")
-    return df.withColumn(rank, F.row_number().over(final).cast("long")).filter(F.col(rank) <= n)
+    ranked = df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("int"))
+    return (ranked if n is None else ranked.filter(F.col(rank) <= n)).withColumn(rank, F.col(rank).cast("long"))
 
 
 def ordinal(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "ordinal") -> DataFrame:
-    """1-based position of every row inside its key; safe for a key holding most rows."""
+    """1-based position of every row inside its key; safe for a key holding most rows.
+
+    One range shuffle by (keys, order). A row's place in its sorted partition is known without
+    another shuffle; each (partition, key) adds one offset row, and those are joined back.
+    """
     keys = list(keys)
-    bucketed = range_buckets(df, [*keys, *order])
-    return split_window(bucketed, keys, "_bucket", order, **{name: ("sum_through", F.lit(1).cast("long"))}).drop("_bucket")
+    cut = durable(df.repartitionByRange(*[F.col(c) for c in [*keys, *order]]).sortWithinPartitions(*keys, *order))
+    at = cut.withColumn("_at", F.monotonically_increasing_id())
+    placed = at.withColumn("_part", F.shiftright("_at", 33)).withColumn("_at", F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)))
+    held = placed.groupBy(*keys, "_part").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = held.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_part").alias("_p"), (before - F.col("_first") + 1).alias("_add"))
+    same = F.col("_part") == F.col("_p")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return placed.join(offsets, same).select(*[F.col(c) for c in df.columns], (F.col("_at") + F.col("_add")).cast("long").alias(name))
 
 
 def first_after(probes: DataFrame, candidates: DataFrame, window: int) -> DataFrame:

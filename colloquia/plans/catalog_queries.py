@@ -111,12 +111,12 @@ def _facet(name, sql, n):
 
 
 _FACETS = " UNION ALL ".join(f"SELECT * FROM ({_facet(*a)})" for a in [
-    ("generator", "SELECT generator AS value, count(*) AS images FROM images WHERE generator<>'stripped' GROUP BY 1", 1000), ("group", "SELECT group_id AS value, count(DISTINCT hash) AS images FROM sightings GROUP BY 1", 30),
+    ("generator", "SELECT generator AS value, count(*) AS images FROM images WHERE generator<>'stripped' GROUP BY 1", 1000000), ("group", "SELECT group_id AS value, count(DISTINCT hash) AS images FROM sightings GROUP BY 1", 30),
     ("sender", "SELECT speaker AS value, count(DISTINCT hash) AS images FROM sightings WHERE speaker<>'' GROUP BY 1", 40), ("checkpoint", "SELECT checkpoint AS value, count(*) AS images FROM images WHERE checkpoint<>'' GROUP BY 1", 20),
     ("lora", "SELECT lora_name AS value, count(*) AS images FROM image_loras GROUP BY 1", 20), ("tag", "SELECT tag AS value, count(*) AS images FROM tags GROUP BY 1", 40)])
 query("facets", duck("images sightings image_loras", _FACETS, tags=TAGS))(lambda s, d: cat.facets(v.images(s, d), v.sightings(s, d), v.image_loras(s, d), tags(s, d)))
 MONTHS = """SELECT m.*, EXISTS (SELECT 1 FROM scan_ranges r WHERE r.end_unix>=m.from_unix AND r.start_unix<=m.to_unix) AS summarised, images-attributed AS unattributed FROM (SELECT strftime(make_timestamp(file_mtime*1000000),'%Y-%m') AS month, count(*) AS images,
-  count(*) FILTER (hash IN (SELECT hash FROM sightings)) AS attributed, count(*) FILTER (prompt<>'') AS with_prompt, min(file_mtime) AS from_unix, max(file_mtime) AS to_unix FROM images WHERE generator<>'stripped' AND file_mtime>0 GROUP BY 1 ORDER BY 1 DESC LIMIT 36) m"""
+  count(*) FILTER (hash IN (SELECT hash FROM sightings)) AS attributed, count(*) FILTER (prompt<>'') AS with_prompt, min(file_mtime) AS from_unix, max(file_mtime) AS to_unix FROM images WHERE generator<>'stripped' AND file_mtime>0 GROUP BY 1) m"""
 query("month_coverage", duck("images sightings scan_ranges", MONTHS))(lambda s, d: cat.month_coverage(v.images(s, d), v.sightings(s, d), v.scan_ranges(s, d)))
 query("recoverable", duck("images sightings scan_ranges", "SELECT CAST(coalesce(sum(unattributed),0) AS BIGINT) AS recoverable, count(*) AS months FROM m WHERE NOT summarised", m=MONTHS))(
     lambda s, d: cat.recoverable(cat.month_coverage(v.images(s, d), v.sightings(s, d), v.scan_ranges(s, d))))
@@ -124,17 +124,16 @@ query("group_contribution", duck("named_sightings", "SELECT group_id, max(group_
     lambda s, d: cat.group_contribution(v.named_sightings(s, d)))
 
 
-def thin_sightings(s, d):
-    """Sightings of the suppliers of two regions only, so some groups have none."""
-    wanted = v.table(s, d, "supplier").filter("s_nationkey < 5").select(F.concat(F.lit("supp-"), F.col("s_suppkey").cast("string")).alias("speaker"))
-    return v.named_sightings(s, d).join(wanted, "speaker", "left_semi")
+def moved_sightings(s, d):
+    """All sightings, those of the first five groups posted in the tenth instead, so some groups have none."""
+    return v.named_sightings(s, d).withColumn("group_id", F.when(F.col("group_id") < "1006", "1010").otherwise(F.col("group_id")))
 
 
-_THIN = "SELECT * FROM named_sightings WHERE speaker IN (SELECT 'supp-' || s_suppkey FROM supplier WHERE s_nationkey<5)"
+_MOVED = "SELECT * REPLACE (CASE WHEN group_id < '1006' THEN '1010' ELSE group_id END AS group_id) FROM named_sightings"
 for _name, _strict in {"unattributed_groups": True, "unattributed_groups_listed": False}.items():
-    _k = "SELECT DISTINCT group_id FROM thin" if _strict else "SELECT group_id FROM (SELECT group_id, count(DISTINCT hash) AS n FROM thin GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 40)"
+    _k = "SELECT DISTINCT group_id FROM moved" if _strict else "SELECT group_id FROM (SELECT group_id, count(DISTINCT hash) AS n FROM moved GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 40)"
     query(_name, duck("heads named_sightings group_names", f"""SELECT b.group_id, coalesce(n.name, b.group_id) AS group_name, b.media_messages FROM (SELECT group_id, CAST(sum(is_media) AS BIGINT) AS media_messages FROM heads GROUP BY 1 HAVING sum(is_media)>0) b
-      LEFT JOIN group_names n ON n.group_id=b.group_id WHERE b.group_id NOT IN ({_k})""", thin=_THIN))(lambda s, d, st=_strict: cat.unattributed_groups(v.heads(s, d), v.group_names(s, d), thin_sightings(s, d), st))
+      LEFT JOIN group_names n ON n.group_id=b.group_id WHERE b.group_id NOT IN ({_k})""", moved=_MOVED))(lambda s, d, st=_strict: cat.unattributed_groups(v.heads(s, d), v.group_names(s, d), moved_sightings(s, d), st))
 query("new_since", duck("images", f"SELECT max(file_mtime) AS watermark, count(*) FILTER (generator<>'stripped' AND file_mtime>{START+2592000}) AS new_images, count(*) FILTER (generator<>'stripped') AS images FROM images"))(
     lambda s, d: cat.new_since(v.images(s, d), START + 2592000))
 _HAS = "(file_missing=0 AND file_path<>'') OR object_path<>''"

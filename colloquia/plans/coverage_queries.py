@@ -80,19 +80,17 @@ _SLOT_GAPS = f"""SELECT x.group_id, g.slot_index, greatest(x.start_unix,g.start_
 query("slot_gaps", duck("scan_ranges groups", "SELECT * FROM sg", gap=gaps_sql(START, END), grid=grid_sql(START, END, SLOT), sg=_SLOT_GAPS))(
     lambda s, d: iv.slot_gaps(v.scan_ranges(s, d), v.groups(s, d), START, END, SLOT))
 
-_BATCH = "SELECT start_unix, end_unix, string_agg(group_id, ',' ORDER BY group_id) AS group_ids FROM {0} GROUP BY 1,2"
+_DIGESTS = """CAST(CAST(sum(CAST('0x' || substr(sha256({0}),1,15) AS BIGINT)) AS HUGEINT) AS VARCHAR) || ':' ||
+  CAST(CAST(sum(CAST('0x' || substr(sha256({0}),16,15) AS BIGINT)) AS HUGEINT) AS VARCHAR) || ':' || CAST(count(*) AS VARCHAR)"""
+_BATCH = f"""SELECT g.start_unix, g.end_unix, k.batch_key, g.group_id FROM (SELECT DISTINCT * FROM gap) g JOIN (
+  SELECT start_unix, end_unix, {_DIGESTS.format("group_id")} AS batch_key FROM (SELECT DISTINCT * FROM gap) GROUP BY 1,2) k ON k.start_unix=g.start_unix AND k.end_unix=g.end_unix"""
 
-
-def _ids(df):
-    return df.withColumn("group_ids", F.array_join("group_ids", ","))
-
-
-query("rescan_batches", duck("scan_ranges groups", _BATCH.format("gap"), gap=gaps_sql(START, END)))(
-    lambda s, d: _ids(iv.rescan_batches(iv.gaps(v.scan_ranges(s, d), v.groups(s, d), START, END))))
+query("rescan_batches", duck("scan_ranges groups", _BATCH, gap=gaps_sql(START, END)))(
+    lambda s, d: iv.rescan_batches(iv.gaps(v.scan_ranges(s, d), v.groups(s, d), START, END)))
 
 # slot gaps that touch fold back into the whole gaps, so the batches equal those of the gaps
-query("merge_batches", duck("scan_ranges groups", _BATCH.format("gap"), gap=gaps_sql(START, END)))(
-    lambda s, d: _ids(act.repair_batches(v.scan_ranges(s, d), v.groups(s, d), START, END, SLOT)))
+query("merge_batches", duck("scan_ranges groups", _BATCH, gap=gaps_sql(START, END)))(
+    lambda s, d: act.repair_batches(v.scan_ranges(s, d), v.groups(s, d), START, END, SLOT))
 
 CHUNK = 6 * 3600
 _TASKS = f"""SELECT substr(sha256(group_id || ':' || CAST(a AS VARCHAR) || ':' || CAST(b AS VARCHAR)),1,20) AS task_id, group_id, a AS start_unix, b AS end_unix FROM (
@@ -111,11 +109,19 @@ def _tasks(s, d):
 query("backfill_plan", duck("scan_ranges groups", _TASKS, gap=gaps_sql(START, END)))(_tasks)
 
 
-@query("plan_totals", duck("scan_ranges groups", f"""SELECT count(*) AS task_count, count(DISTINCT group_id) AS group_count,
+@query("plan_totals", duck("scan_ranges groups", f"""SELECT substr(sha256({_DIGESTS.format("task_id")}),1,24) AS plan_id, count(*) AS task_count, count(DISTINCT group_id) AS group_count,
   CAST(sum(end_unix-start_unix) AS BIGINT) AS total_group_seconds, (SELECT count(*) FROM (SELECT DISTINCT start_unix, end_unix FROM gap)) AS source_batch_count FROM tasks""",
                            gap=gaps_sql(START, END), tasks=_TASKS))
 def _plan_totals(s, d):
-    return iv.plan_totals(_tasks(s, d), _batches(s, d)).drop("plan_id")
+    return iv.plan_totals(_tasks(s, d), _batches(s, d))
+
+
+@query("check_header", duck("scan_ranges groups", "SELECT unnest(['plan_id', 'task_count']) AS violation FROM (SELECT count(*) AS n FROM tasks) WHERE n > 0", gap=gaps_sql(START, END), tasks=_TASKS))
+def _check_header(s, d):
+    """A header that claims one task more than the stored plan has."""
+    tasks = _tasks(s, d)
+    claimed = iv.plan_totals(tasks, _batches(s, d)).withColumn("task_count", F.col("task_count") + 1).withColumn("plan_id", F.lit("0" * 24))
+    return iv.check_header(claimed, tasks)
 
 
 @query("check_plan", duck("scan_ranges groups", """SELECT CASE WHEN start_unix % 3 = 0 THEN 'x' || task_id ELSE task_id END AS task_id,

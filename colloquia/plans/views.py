@@ -20,18 +20,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return tune(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Give text-heavy work all cores when the input is one small file.
-
-    Looks only at the planned scan; inputs that already split into enough partitions (any
-    large table) pass through without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
-
-
 def texts(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
-    return spread(table(spark, sf_dir, name), key)
+    """A text table dealt evenly over the tasks, whatever its files are like."""
+    return table(spark, sf_dir, name).repartition(F.col(key))
 
 
 def _group(column: str):
@@ -54,7 +45,7 @@ def heads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     bodies = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return spread(heads(spark, sf_dir), "row_id").join(bodies, "doc_id", "left").withColumn("text", F.coalesce("text", F.lit("")))
+    return heads(spark, sf_dir).join(bodies, "doc_id", "left").withColumn("text", F.coalesce("text", F.lit("")))
 
 
 def scan_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,11 +108,13 @@ def image_loras(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sightings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order line shows a picture; those of every eleventh part show one the catalog lacks."""
+    part = F.col("l_partkey").cast("string")
     rows = table(spark, sf_dir, "lineitem").select(
-        F.md5(F.col("l_partkey").cast("string")).alias("hash"), _group("l_suppkey"),
+        F.md5(F.when(F.col("l_partkey") % 11 == 0, F.concat(F.lit("lost-"), part)).otherwise(part)).alias("hash"), _group("l_suppkey"),
         F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string")).alias("row_id"),
         (F.lit(START) + (F.col("l_orderkey") * 7919) % 2592000).alias("sent_at"),
-        F.concat(F.lit("supp-"), F.col("l_suppkey").cast("string")).alias("speaker")).filter(F.col("l_returnflag") == "R")
+        F.concat(F.lit("supp-"), F.col("l_suppkey").cast("string")).alias("speaker"))
     return rows.groupBy("hash", "group_id", "row_id").agg(F.max("sent_at").alias("sent_at"), F.min("speaker").alias("speaker"))
 
 
@@ -211,10 +204,10 @@ DUCK_VIEWS = {
         CAST({START} AS BIGINT) AS parsed_at FROM part""",
     "image_loras": """SELECT md5(CAST(p_partkey AS VARCHAR)) AS hash, 'style-' || CAST(p_partkey%9 AS VARCHAR) AS lora_name FROM part
         UNION ALL SELECT md5(CAST(p_partkey AS VARCHAR)), 'detail-' || CAST(p_partkey%4 AS VARCHAR) FROM part WHERE p_size > 25""",
-    "sightings": f"""SELECT md5(CAST(l_partkey AS VARCHAR)) AS hash, CAST(1001 + l_suppkey%25 AS VARCHAR) AS group_id,
+    "sightings": f"""SELECT md5(CASE WHEN l_partkey%11=0 THEN 'lost-' ELSE '' END || CAST(l_partkey AS VARCHAR)) AS hash, CAST(1001 + l_suppkey%25 AS VARCHAR) AS group_id,
         CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) || '-' || CAST(l_partkey AS VARCHAR) AS row_id,
         max({START} + (l_orderkey*7919)%2592000) AS sent_at, min('supp-' || CAST(l_suppkey AS VARCHAR)) AS speaker
-        FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1,2,3""",
+        FROM lineitem GROUP BY 1,2,3""",
     "named_sightings": "SELECT s.*, coalesce(n.name,'') AS group_name FROM sightings s LEFT JOIN group_names n ON n.group_id = s.group_id",
     "requests": """SELECT CAST(1001 + user_id % 25 AS VARCHAR) AS group_id, CAST(event_id AS VARCHAR) AS ask_row_id, epoch_us(ts)//1000000 AS ask_sent_at,
         CASE WHEN event_id%2=0 THEN 'prompt' ELSE 'original' END AS intent, 'user-' || CAST(user_id AS VARCHAR) AS asker,

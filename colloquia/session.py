@@ -16,6 +16,8 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # ranked lists of any length are cut in every map task before their shuffle
+    "spark.sql.optimizer.windowGroupLimitThreshold": "1000000000",
 }
 
 
@@ -30,6 +32,7 @@ def build_session(name: str = "colloquia", master: str | None = None, shuffle_pa
     builder = SparkSession.builder.appName(name)
     if master is not None:
         builder = builder.master(master).config("spark.driver.memory", "16g").config("spark.ui.enabled", "false")
+    builder = builder.config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     if shuffle_partitions is not None:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return tune(builder.getOrCreate())
@@ -38,12 +41,16 @@ def build_session(name: str = "colloquia", master: str | None = None, shuffle_pa
 def durable(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder and cut its lineage.
 
-    The folder is the cluster's ``spark.checkpoint.dir``; a private one is made only
-    where none is set (local tests), so a lost executor never loses the cut.
+    The folder is the cluster's ``spark.checkpoint.dir``, so a lost executor never loses the
+    cut. Only a local master may do without: executors of a cluster cannot share a private folder.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        if folder is None:
+            if not context.master.split("[")[0] == "local":
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="spark-")
+        context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)

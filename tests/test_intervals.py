@@ -2,6 +2,8 @@ import hashlib
 import random
 
 
+from pyspark.sql import functions as F
+
 from colloquia.operators import activity as act
 from colloquia.operators import inbox as ib
 from colloquia.operators import intervals as iv
@@ -64,7 +66,9 @@ def test_timeline_slots(spark):
 def test_equal_gaps_make_one_batch_and_plan_splits(spark):
     gaps = spark.createDataFrame([("2", 100, 400), ("1", 100, 400), ("1", 350, 600)], RANGE)
     batches = iv.rescan_batches(gaps)
-    assert sorted((tuple(r.group_ids), r.start_unix, r.end_unix) for r in batches.collect()) == [(("1",), 350, 600), (("1", "2"), 100, 400)]
+    found = batches.collect()
+    assert sorted((r.start_unix, r.end_unix, r.group_id) for r in found) == [(100, 400, "1"), (100, 400, "2"), (350, 600, "1")]
+    assert len({r.batch_key for r in found}) == 2
     tasks = iv.backfill_plan(batches, 100).collect()
     assert sorted((r.group_id, r.start_unix, r.end_unix) for r in tasks) == [("1", a, a + 100) for a in range(100, 600, 100)] + [("2", a, a + 100) for a in range(100, 400, 100)]
     one = next(r for r in tasks if r.group_id == "2" and r.start_unix == 100)
@@ -80,7 +84,27 @@ def test_bad_batches_are_named(spark):
 
 def test_touching_batches_of_the_same_groups_join(spark):
     rows = spark.createDataFrame([(["1", "2"], 0, 10), (["2", "1"], 10, 20), (["3"], 0, 20)], "group_ids array<string>, start_unix long, end_unix long")
-    assert [(r.group_ids, r.start_unix, r.end_unix) for r in iv.merge_batches(rows).collect()] == [(["1", "2", "3"], 0, 20)]
+    assert sorted((r.group_id, r.start_unix, r.end_unix) for r in iv.merge_batches(iv.batch_rows(rows)).collect()) == [("1", 0, 20), ("2", 0, 20), ("3", 0, 20)]
+
+
+def test_more_groups_than_any_former_batch_size_stay_one_batch(spark):
+    """150 adjacent ranges missed by 1,200 groups fold into one batch of 1,200 rows."""
+    rows = spark.range(1200).select(F.col("id").cast("string").alias("group_id"), F.explode(F.sequence(F.lit(0), F.lit(149))).alias("i")).select(
+        (F.col("i") * 10 + 100).cast("long").alias("start_unix"), (F.col("i") * 10 + 110).cast("long").alias("end_unix"), "group_id")
+    merged = iv.merge_batches(iv.rescan_batches(rows))
+    assert merged.select("start_unix", "end_unix", "batch_key").distinct().collect() == [(100, 1600, merged.first().batch_key)]
+    assert merged.count() == 1200
+
+
+def test_headers_are_checked(spark):
+    tasks = iv.backfill_plan(iv.rescan_batches(spark.createDataFrame([("1", 100, 400), ("1", 100, 400), ("2", 100, 300)], RANGE)), 100)
+    header = iv.plan_totals(tasks, tasks.withColumn("batch_key", F.lit("x")))
+    assert iv.check_header(header, tasks).collect() == []
+    wrong = header.withColumn("total_group_seconds", F.lit(1).cast("long")).withColumn("source_batch_count", F.lit(0).cast("long"))
+    assert sorted(r.violation for r in iv.check_header(wrong, tasks).collect()) == ["source_batch_count", "total_group_seconds"]
+    twice = iv.plan_totals(tasks.union(tasks), tasks.withColumn("batch_key", F.lit("x")))
+    assert "plan_id" in [r.violation for r in iv.check_header(twice, tasks).collect()]
+    assert "empty" in [r.violation for r in iv.check_header(header, tasks.limit(0)).collect()]
 
 
 def test_backfill_state_keeps_failures_until_success(spark):
