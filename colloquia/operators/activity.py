@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from colloquia.operators.intervals import gaps, merge_batches, overlap_seconds, slot_coverage, slot_gaps, slot_grid
-from colloquia.operators.ordered import ordinal, points_in_windows, top_per_key
+from colloquia.operators.intervals import at_both_ends, gaps, merge_batches, merge_intervals, overlap_seconds, slot_coverage, slot_gaps, slot_grid, window_ends
+from colloquia.operators.ordered import ordinal, points_in_windows, split_window, time_bucket, top_per_key
 from colloquia.session import durable
 
 COMPLETE_RATIO = 0.999
@@ -120,27 +120,73 @@ def pooled_range(activity: DataFrame, start: int, end: int) -> DataFrame:
         F.sum("message_count").alias("message_count"), F.sum("media_count").alias("media_count"))
 
 
-def event_activity(events: DataFrame, messages: DataFrame, ranges: DataFrame, width: int = 6 * 3600) -> DataFrame:
+def counted_until(messages: DataFrame, points: DataFrame) -> DataFrame:
+    """Messages and media of a group before each point (group_id, at), the last message time
+    before it and the first one at or after it, in one ordered pass."""
+    there = messages.groupBy("group_id", "sent_at").agg(F.count(F.lit(1)).alias("n"), F.sum("is_media").cast("long").alias("media"))
+    there = there.select("group_id", F.col("sent_at").alias("at"), "n", "media")
+    here = points.select("group_id", "at").distinct().withColumns({"n": F.lit(0).cast("long"), "media": F.lit(0).cast("long")})
+    flow = durable(there.unionByName(here).groupBy("group_id", "at").agg(F.sum("n").alias("n"), F.sum("media").alias("media")).withColumn("_day", time_bucket("at")))
+    said = F.when(F.col("n") > 0, F.col("at"))
+    run = split_window(flow, ["group_id"], "_day", ["at"], n_run=("sum_through", F.col("n")), media_run=("sum_through", F.col("media")), last=("max_before", said))
+    back = split_window(flow.withColumns({"_back": -F.col("_day"), "_minus": -F.col("at")}), ["group_id"], "_back", ["_minus"], _next=("max_through", -said))
+    return run.join(back.select("group_id", "at", (-F.col("_next")).alias("next")), ["group_id", "at"]).select(
+        "group_id", "at", (F.col("n_run") - F.col("n")).alias("n"), (F.col("media_run") - F.col("media")).alias("media"), "last", "next")
+
+
+def speakers_inside(messages: DataFrame, spans: DataFrame, width: int) -> DataFrame:
+    """Distinct speakers of every span.
+
+    Whole buckets inside a span count with one row per (bucket, speaker); only its first and
+    last bucket are looked at second by second.
+    """
+    first, last = time_bucket("from_unix", width), time_bucket(F.col("to_unix") - 1, width)
+    edges = spans.withColumn("_bucket", F.explode(F.array_distinct(F.array(first, last))))
+    inner = spans.withColumn("_bucket", F.explode(F.when(last - first > 1, F.sequence(first + 1, last - 1))))
+    seconds = messages.select("group_id", "sent_at", "speaker", time_bucket("sent_at", width).alias("_bucket")).distinct()
+    near = seconds.join(edges, ["group_id", "_bucket"]).filter((F.col("sent_at") >= F.col("from_unix")) & (F.col("sent_at") < F.col("to_unix"))).select("id", "speaker")
+    whole = seconds.select("group_id", "_bucket", "speaker").distinct().join(inner, ["group_id", "_bucket"]).select("id", "speaker")
+    return near.unionByName(whole).distinct().groupBy("id").agg(F.count(F.lit(1)).alias("speaker_count"))
+
+
+def event_activity(events: DataFrame, messages: DataFrame, ranges: DataFrame, width: int = 600) -> DataFrame:
     """Counts, distinct speakers and coverage inside every event window; silent events stay.
 
-    Messages are reduced to (group, second, speaker) before they meet the windows.
+    Counts, times and covered seconds are differences of running values at the two ends of a
+    window, so a busy group costs its seconds plus its windows, not their product.
     """
-    reduced = messages.groupBy("group_id", "sent_at", "speaker").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("is_media").alias("media"))
     spans = events.select("id", "group_id", "from_unix", "to_unix")
-    hits = points_in_windows(reduced, spans, ["group_id"], "sent_at", "from_unix", "to_unix", width)
-    stats = hits.groupBy("id", "speaker").agg(
-        F.sum("n").alias("n"), F.sum("media").alias("media"), F.min("sent_at").alias("a"), F.max("sent_at").alias("b")).groupBy("id").agg(
-        F.sum("n").alias("message_count"), F.sum("media").alias("media_count"), F.count(F.lit(1)).alias("speaker_count"),
-        F.min("a").alias("first_unix"), F.max("b").alias("last_unix"))
+    real = spans.filter("from_unix < to_unix")
+    ends = at_both_ends(real, counted_until(messages, window_ends(real)), ["n", "media", "last", "next"])
+    some = F.col("n_to") > F.col("n_from")
+    stats = ends.select("id", (F.col("n_to") - F.col("n_from")).alias("message_count"), (F.col("media_to") - F.col("media_from")).alias("media_count"),
+                        F.when(some, F.col("next_from")).alias("first_unix"), F.when(some, F.col("last_to")).alias("last_unix"))
+    stats = stats.join(speakers_inside(messages, real, width), "id", "left")
     span = F.col("to_unix") - F.col("from_unix")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
-    return overlap_seconds(ranges, spans, width).join(stats, "id", "left").select(
+    return overlap_seconds(ranges, spans).join(stats, "id", "left").select(
         "id", zero("message_count"), zero("media_count"), zero("speaker_count"), "first_unix", "last_unix",
         F.round(F.col("covered_seconds") / span, 6).alias("coverage_ratio"), (span - F.col("covered_seconds")).alias("missing_seconds"))
 
 
-def event_story(events: DataFrame, messages: DataFrame, context: int = 900, width: int = 6 * 3600) -> DataFrame:
+def event_gaps(events: DataFrame, ranges: DataFrame, context: int = 900) -> DataFrame:
+    """Uncovered parts of every event's story, the context on both sides included."""
+    wide = events.select("id", "group_id", (F.col("from_unix") - context).alias("from_unix"), (F.col("to_unix") + context).alias("to_unix")).filter("from_unix < to_unix")
+    merged = merge_intervals(ranges)
+    # a gap of the group ends where a merged range starts; the last one is open
+    closed = split_window(durable(merged.withColumn("_day", time_bucket("start_unix"))), ["group_id"], "_day", ["start_unix"], gap_from=("prev", F.col("end_unix")))
+    tail = merged.groupBy("group_id").agg(F.max("end_unix").alias("gap_from")).withColumn("gap_to", F.lit(None).cast("long"))
+    never = wide.select("group_id").distinct().join(merged.select("group_id"), "group_id", "left_anti").withColumns({"gap_from": F.lit(None).cast("long"), "gap_to": F.lit(None).cast("long")})
+    open_ends = closed.select("group_id", "gap_from", F.col("start_unix").alias("gap_to")).unionByName(tail).unionByName(never)
+    days = wide.groupBy("group_id").agg(F.min("from_unix").alias("lo"), F.max("to_unix").alias("hi"))
+    gap_rows = open_ends.join(days, "group_id").select("group_id", F.greatest("lo", F.coalesce("gap_from", "lo")).alias("a"), F.least("hi", F.coalesce("gap_to", "hi")).alias("b")).filter("a < b")
+    left = gap_rows.withColumn("_bucket", F.explode(F.sequence(time_bucket("a", 3600), time_bucket(F.col("b") - 1, 3600))))
+    right = wide.withColumn("_bucket", F.explode(F.sequence(time_bucket("from_unix", 3600), time_bucket(F.col("to_unix") - 1, 3600))))
+    low, high = F.greatest("a", "from_unix"), F.least("b", "to_unix")
+    return left.join(right, ["group_id", "_bucket"]).select("id", "group_id", low.alias("start_unix"), high.alias("end_unix")).filter("start_unix < end_unix").distinct()
+
+
+def event_story(events: DataFrame, messages: DataFrame, context: int = 900, width: int = 900) -> DataFrame:
     """Messages around every event labelled before, during or after."""
     wide = events.select("id", "group_id", "from_unix", "to_unix", (F.col("from_unix") - context).alias("_from"), (F.col("to_unix") + context).alias("_to"))
     hits = points_in_windows(messages, wide, ["group_id"], "sent_at", "_from", "_to", width)

@@ -200,17 +200,17 @@ def merge_topics(parsed: DataFrame, keep: int = 10) -> DataFrame:
 
 
 def merge_actions(parsed: DataFrame, keep: int = 15) -> DataFrame:
-    """Actions united by task: resolved in any part wins, open ones first."""
+    """Actions united by task: resolved in any part wins, open ones first (any other status comes after them)."""
     rows = _items(parsed, "actions").filter(_filled(F.col("task"))).withColumn("key", merge_key("task"))
     resolved = F.col("status") == "resolved"
     united = rows.groupBy("group_id", "key").agg(
-        F.min("at").alias("first_at"), F.min_by(F.struct("owner", "task", "evidence"), "at").alias("f"),
+        F.min("at").alias("first_at"), F.min_by(F.struct("owner", "task", "evidence", "status"), "at").alias("f"),
         F.coalesce(F.bool_or(resolved), F.lit(False)).alias("done"),
         F.coalesce(F.max_by("resolution", F.when(resolved & F.col("resolution").isNotNull(), F.col("at"))), F.min_by("resolution", "at")).alias("resolution"))
-    valid = united.select("group_id", "first_at", F.when(_filled(F.col("f.owner")), F.col("f.owner")).alias("owner"), F.col("f.task").alias("task"),
+    valid = united.select("group_id", "first_at", (~F.col("done") & F.col("f.status").eqNullSafe("open")).alias("waits"), F.when(_filled(F.col("f.owner")), F.col("f.owner")).alias("owner"), F.col("f.task").alias("task"),
                           F.when(F.col("done"), "resolved").otherwise("open").alias("status"), F.when(_filled(F.col("resolution")), F.col("resolution")).alias("resolution"), F.col("f.evidence").alias("evidence"))
-    first = top_per_key(valid, ["group_id"], [(F.col("status") == "resolved").asc(), F.col("first_at").asc()], keep)
-    return first.filter(_filled(F.col("evidence"))).drop("first_at")
+    first = top_per_key(valid, ["group_id"], [F.col("waits").desc(), F.col("first_at").asc()], keep)
+    return first.filter(_filled(F.col("evidence"))).drop("first_at", "waits")
 
 
 def merge_first(parsed: DataFrame, name: str, key: Column, valid: Column, keep: int) -> DataFrame:

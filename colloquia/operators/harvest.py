@@ -9,7 +9,7 @@ from colloquia.functions.params import detect_metadata
 from colloquia.operators.graph import parse_graph
 from colloquia.operators.media import first_sighting, original_index
 from colloquia.operators.pairing import pair_requests
-from colloquia.operators.upserts import changed_files, harvest_stats, image_tags, placeholders, upsert_images, upsert_requests, upsert_sightings
+from colloquia.operators.upserts import changed_files, harvest_stats, image_tags, placeholders, replace_children, upsert_images, upsert_requests, upsert_sightings
 
 
 def parse_originals(chunks: DataFrame) -> DataFrame:
@@ -23,8 +23,9 @@ def parse_originals(chunks: DataFrame) -> DataFrame:
 def harvest(messages: DataFrame, refs: DataFrame, quotes: DataFrame, files: DataFrame, chunks: DataFrame, store: dict[str, DataFrame], now: int, parser_version: int = 2) -> dict[str, DataFrame]:
     """New versions of the catalog tables after one run.
 
-    ``store`` holds images, sightings, requests and scan_state. Returns those plus tags,
-    loras and the counters. Running it twice changes nothing.
+    ``store`` holds images, sightings, requests, scan_state and loras. Returns those plus tags
+    and the counters. Running it twice changes nothing, and the second run parses no file
+    again: every file read now is in the returned scan_state.
     """
     pairs = pair_requests(messages, refs, quotes).withColumn("seq", F.lit(1).cast("long")).withColumn("group_name", F.lit(""))
     seen = first_sighting(refs)
@@ -43,6 +44,10 @@ def harvest(messages: DataFrame, refs: DataFrame, quotes: DataFrame, files: Data
     stored = store["requests"].columns
     outcome = parsed.select("hash", F.when(F.col("generator") == "unknown", "stripped").otherwise("parsed").alias("outcome")).unionByName(
         wanted.join(fresh.select("hash"), "hash", "left_anti").select("hash", F.lit("skipped").alias("outcome")))
+    loras = good.select("hash", F.explode("loras").alias("l")).select("hash", F.col("l.name").alias("lora_name"), F.col("l.weight").alias("weight"))
+    state = fresh.select("file_path", "file_size", "file_mtime", F.lit(parser_version).cast("long").alias("parser_version")).distinct()
+    kept_state = store["scan_state"].join(state.select("file_path"), "file_path", "left_anti").select(*state.columns)
     return {"images": all_images, "sightings": upsert_sightings(store["sightings"], sighted), "requests": upsert_requests(store["requests"], pairs.select(*stored, "seq")),
-            "tags": image_tags(all_images), "loras": good.select("hash", F.explode("loras").alias("l")).select("hash", F.col("l.name").alias("lora_name"), F.col("l.weight").alias("weight")),
+            "tags": image_tags(all_images), "loras": replace_children(store["loras"], good, loras) if "loras" in store else loras.distinct(),
+            "scan_state": kept_state.unionByName(state),
             "stats": harvest_stats(seen, originals, outcome, images, pairs, added)}

@@ -58,18 +58,37 @@ def overlap(left_start: Column, left_end: Column, right_start: Column, right_end
     return F.greatest(F.lit(0), F.least(left_end, right_end) - F.greatest(left_start, right_start))
 
 
-def overlap_seconds(ranges: DataFrame, windows: DataFrame, width: int = 6 * 3600) -> DataFrame:
-    """Covered seconds of every window (id, group_id, from_unix, to_unix)."""
-    merged = merge_intervals(ranges)
-    left = merged.withColumn("_bucket", F.explode(F.sequence(
-        time_bucket("start_unix", width), time_bucket(F.col("end_unix") - 1, width))))
-    right = windows.select("id", "group_id", "from_unix", "to_unix").filter("from_unix < to_unix").withColumn(
-        "_bucket", F.explode(F.sequence(time_bucket("from_unix", width), time_bucket(F.col("to_unix") - 1, width))))
-    bucket_start, bucket_end = F.col("_bucket") * width, (F.col("_bucket") + 1) * width
-    # each shared bucket adds only the part of the overlap that lies inside it
-    part = overlap(F.greatest("start_unix", bucket_start), F.least("end_unix", bucket_end), F.col("from_unix"), F.col("to_unix"))
-    covered = left.join(right, ["group_id", "_bucket"]).groupBy("id").agg(F.sum(part).cast("long").alias("covered_seconds"))
-    return windows.join(covered, "id", "left").withColumn("covered_seconds", F.coalesce("covered_seconds", F.lit(0)).cast("long"))
+def covered_until(merged: DataFrame, points: DataFrame) -> DataFrame:
+    """Covered seconds of a group before each point (group_id, at), all history included.
+
+    Merged ranges do not overlap, so a point has behind it the lengths of all ranges that
+    started, less what the last of them still has ahead. One ordered pass over ranges and
+    points together: no range meets a point.
+    """
+    there = merged.select("group_id", F.col("start_unix").alias("at"), (F.col("end_unix") - F.col("start_unix")).alias("length"), F.col("end_unix").alias("reach"))
+    here = points.select("group_id", "at").distinct().withColumns({"length": F.lit(0).cast("long"), "reach": F.lit(None).cast("long")})
+    flow = there.unionByName(here).groupBy("group_id", "at").agg(F.sum("length").alias("length"), F.max("reach").alias("reach"))
+    run = split_window(durable(flow.withColumn("_day", time_bucket("at"))), ["group_id"], "_day", ["at"],
+                       total=("sum_through", F.col("length")), furthest=("max_through", F.col("reach")))
+    return run.select("group_id", "at", (F.col("total") - F.greatest(F.lit(0), F.coalesce("furthest", "at") - F.col("at"))).alias("covered"))
+
+
+def at_both_ends(windows: DataFrame, values: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Windows (id, group_id, from_unix, to_unix) with the values of both ends, as name_from and name_to."""
+    side = lambda end: values.select("group_id", F.col("at").alias(f"{end}_unix"), *[F.col(n).alias(f"{n}_{end}") for n in names])
+    return windows.join(side("from"), ["group_id", "from_unix"], "left").join(side("to"), ["group_id", "to_unix"], "left")
+
+
+def window_ends(windows: DataFrame) -> DataFrame:
+    return windows.select("group_id", F.explode(F.array("from_unix", "to_unix")).alias("at"))
+
+
+def overlap_seconds(ranges: DataFrame, windows: DataFrame) -> DataFrame:
+    """Covered seconds of every window (id, group_id, from_unix, to_unix): what is covered
+    before its end less what is covered before its start."""
+    ends = at_both_ends(windows, covered_until(merge_intervals(ranges), window_ends(windows)), ["covered"])
+    seconds = F.when(F.col("from_unix") < F.col("to_unix"), F.col("covered_to") - F.col("covered_from"))
+    return ends.withColumn("covered_seconds", F.coalesce(seconds, F.lit(0)).cast("long")).select(*windows.columns, "covered_seconds")
 
 
 def slot_grid(groups: DataFrame, start: int, end: int, slot: int) -> DataFrame:

@@ -17,12 +17,12 @@ EVENT_GAP_SECONDS = 1200
 def scan_messages(raw: DataFrame, groups: DataFrame, start: int, end: int, cap: int) -> DataFrame:
     """Rows of the wanted groups inside the window, newest first up to the row budget.
 
-    ``truncated`` marks groups with rows beyond the budget. ``raw`` carries msg_seq.
+    ``truncated`` marks groups with more rows in the window than the budget; older history
+    neither counts nor is read. ``raw`` carries msg_seq.
     """
-    seen = raw.join(groups.select("group_id").distinct(), "group_id", "left_semi").filter(F.col("sent_at") < end)
-    counted = seen.groupBy("group_id").agg((F.count(F.lit(1)) > cap).alias("truncated"))
-    kept = top_per_key(seen, ["group_id"], [F.col("msg_seq").desc()], cap, "scan_rank")
-    return kept.filter(F.col("sent_at") >= start).join(counted, "group_id")
+    inside = raw.filter((F.col("sent_at") >= start) & (F.col("sent_at") < end)).join(groups.select("group_id").distinct(), "group_id", "left_semi")
+    counted = inside.groupBy("group_id").agg((F.count(F.lit(1)) > cap).alias("truncated"))
+    return top_per_key(inside, ["group_id"], [F.col("msg_seq").desc()], cap, "scan_rank").join(counted, "group_id")
 
 
 def scan_outcome(groups: DataFrame, start: int) -> DataFrame:

@@ -196,6 +196,12 @@ query("event_activity", duck("heads merged", """SELECT o.id, coalesce(a.n,0) AS
 query("event_story", duck("heads", """SELECT s.id, h.group_id, h.row_id, h.sent_at, CASE WHEN h.sent_at<s.from_unix THEN 'before' WHEN h.sent_at<s.to_unix THEN 'during' ELSE 'after' END AS phase
   FROM spans s JOIN heads h ON h.group_id=s.group_id AND h.sent_at>=s.from_unix-900 AND h.sent_at<s.to_unix+900""", spans=SPANS))(
     lambda s, d: act.event_story(gallery_spans(s, d), v.heads(s, d)))
+query("event_gaps", duck("merged", """SELECT s.id, s.group_id, greatest(g.a, s.from_unix-900) AS start_unix, least(g.b, s.to_unix+900) AS end_unix FROM spans s JOIN (
+  SELECT group_id, coalesce(lag(end_unix) OVER w, 0) AS a, start_unix AS b FROM merged WINDOW w AS (PARTITION BY group_id ORDER BY start_unix)
+  UNION ALL SELECT group_id, max(end_unix), 99999999999 FROM merged GROUP BY 1
+  UNION ALL SELECT DISTINCT group_id, 0, 99999999999 FROM spans WHERE group_id NOT IN (SELECT group_id FROM merged)) g
+  ON g.group_id=s.group_id AND g.a < s.to_unix+900 AND g.b > s.from_unix-900""", spans=SPANS))(
+    lambda s, d: act.event_gaps(gallery_spans(s, d), v.scan_ranges(s, d)))
 query("slots_for_events", duck("groups", """SELECT DISTINCT s.id, g.group_id, g.slot_index FROM spans s JOIN grid g ON g.group_id=s.group_id AND g.start_unix < s.to_unix+1 AND g.end_unix > s.from_unix""",
                                spans=SPANS, grid=grid_sql(START, END, SLOT)))(
     lambda s, d: iv.slots_touching(iv.slot_grid(v.groups(s, d), START, END, SLOT), gallery_spans(s, d).withColumn("to_unix", F.col("to_unix") + 1)))

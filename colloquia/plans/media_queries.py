@@ -16,7 +16,7 @@ from colloquia.plans.coverage_queries import _RANGE, R0, R1, _range
 from colloquia.plans.registry import query
 from colloquia.plans.views import END, START, duck
 
-CAP = 300
+CAP = 45  # below and above the window's rows of a group at the small scales, so both outcomes occur
 
 
 def raw(s, d):
@@ -24,7 +24,7 @@ def raw(s, d):
 
 
 _SCAN = f"""SELECT * FROM (SELECT h.*, row_number() OVER (PARTITION BY group_id ORDER BY input_order DESC) AS scan_rank, count(*) OVER (PARTITION BY group_id) > {CAP} AS truncated
-  FROM heads h WHERE sent_at < {END} AND group_id IN (SELECT group_id FROM watchlist)) WHERE scan_rank <= {CAP} AND sent_at >= {R0}"""
+  FROM heads h WHERE sent_at >= {R0} AND sent_at < {END} AND group_id IN (SELECT group_id FROM watchlist)) WHERE scan_rank <= {CAP}"""
 query("scan_messages", duck("heads watchlist", f"SELECT group_id, row_id, scan_rank, truncated FROM ({_SCAN})"))(
     lambda s, d: md.scan_messages(raw(s, d), v.watchlist(s, d), R0, END, CAP).select("group_id", "row_id", "scan_rank", "truncated"))
 query("scan_cap", duck("heads", "SELECT group_id, row_id FROM (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY input_order DESC) AS r FROM heads) WHERE r<=2000"))(

@@ -2,11 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from pathlib import Path
-
-from pyspark.sql import DataFrame, Row
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 
 def write_transcripts(lines: DataFrame, path: str) -> None:
@@ -34,12 +30,6 @@ def write_lines(lines: DataFrame, order: list[str], path: str) -> None:
 
 
 def write_sidecars(files: DataFrame, folder: str) -> None:
-    """One small text file per (path, content) row, written by the tasks into a shared folder.
-    Rewriting the same name with the same content makes retries harmless."""
-    def save(rows: Iterator[Row]) -> None:
-        for row in rows:
-            target = Path(folder) / row["path"]
-            target.parent.mkdir(parents=True, exist_ok=True)
-            target.write_text(row["content"], encoding="utf-8")
-
-    files.select("path", F.col("content")).foreachPartition(save)
+    """One text file per (path, content) row: ``<folder>/path=<path>/part-*.txt``, through Spark's
+    own writer, so any file system works and a retried task leaves one copy."""
+    files.select("path", "content").write.mode("overwrite").partitionBy("path").option("lineSep", "\n").text(folder)

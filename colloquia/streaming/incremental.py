@@ -6,7 +6,6 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,23 +48,36 @@ def ingest_stream(documents: DataFrame, lake: str, checkpoint: str) -> Streaming
 
         def before(name: str, like: DataFrame) -> DataFrame:
             schema = T.StructType([*like.schema.fields, T.StructField("batch", T.LongType())])
-            try:
-                stored = spark.read.schema(schema).parquet(f"{lake}/{name}")
-            except AnalysisException:  # nothing was written yet
+            if not exists(spark, f"{lake}/{name}"):  # nothing was written yet; any other failure to read must rise
                 return like.limit(0)
-            return stored.filter(F.col("batch") < batch_id).drop("batch")
+            stored = spark.read.schema(schema).parquet(f"{lake}/{name}")
+            return stored.filter(F.col("batch") < batch_id)
 
         columns = ["group_id", "row_id", "sent_at", "speaker", "text", "is_media", "media_kinds", "speaker_uin"]
         delta = tables["text"].select(*columns, "file", "input_order").unionByName(tables["media"].select(*columns, "file", "input_order"))
-        fresh = ingest_messages(before("messages", delta.select(*columns)), delta.withColumn("input_order", F.struct("file", "input_order"))).select(*columns)
+        fresh = ingest_messages(before("messages", delta.select(*columns)).select(*columns), delta.withColumn("input_order", F.struct("file", "input_order"))).select(*columns)
         fresh.write.mode("overwrite").parquet(f"{lake}/messages/batch={batch_id}")
         append_coverage(tables["scans"]).write.mode("overwrite").parquet(f"{lake}/scan_ranges/batch={batch_id}")
         names = tables["names"]
-        upsert_names(names.select("group_id", "name").limit(0), names).write.mode("overwrite").parquet(f"{lake}/group_names/batch={batch_id}")
+        known = before("group_names", names.select("group_id", "name"))
+        known = (current_names(known) if "batch" in known.columns else known).join(names.select("group_id"), "group_id", "left_semi")
+        # a batch writes the merged name of each group it mentions, so the newest batch of a group is its name
+        upsert_names(known, names).write.mode("overwrite").parquet(f"{lake}/group_names/batch={batch_id}")
 
     return documents.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a folder is there, in whatever file system the path names."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
+def current_names(stored: DataFrame) -> DataFrame:
+    """Name of each group from the lake's (group_id, name, batch) rows."""
+    return stored.groupBy("group_id").agg(F.max_by("name", "batch").alias("name"))
+
+
 def slot_activity_stream(messages: DataFrame, slot: int, offset: int = 0, late: int = LATE_SECONDS) -> DataFrame:
     """Counts per (group, slot) as messages arrive. Exact speaker counts come from the
     second stage, ``speakers_of``, over the per-speaker counts of this one."""

@@ -123,7 +123,7 @@ def test_harvest_twice_changes_nothing(spark):
     media = spark.createDataFrame([("g", "3", 50, "b", "nb", 1, "image", h("a"), "p.png"), ("g", "4", 60, "c", "nc", 2, "image", h("b"), "q.png")], REF)
     quotes = spark.createDataFrame([("g", "1", [h("b")])], QUOTE)
     files = spark.createDataFrame([(f"Pic/Ori/{h('a')}.png",)], "path string")
-    chunks = spark.createDataFrame([(h("a"), "f/a", 1, 1, {"parameters": "a cat\nSteps: 3, Sampler: x"})], "hash string, file_path string, file_size long, file_mtime long, chunks map<string,string>")
+    chunks = spark.createDataFrame([(h("a"), "f/a", 1, 1, {"parameters": "a cat <lora:thin:0.5>\nSteps: 3, Sampler: x"})], "hash string, file_path string, file_size long, file_mtime long, chunks map<string,string>")
     none = lambda ddl: spark.createDataFrame([], ddl)
     store = {"images": none("hash string, file_path string, file_size long, file_mtime long, generator string, prompt string, negative_prompt string, checkpoint string, params_json string, parsed_at long, file_missing long, object_path string"),
              "sightings": none("hash string, group_id string, row_id string, sent_at long, speaker string, speaker_uin string, group_name string"), "scan_state": none("file_path string, file_size long, file_mtime long, parser_version long"),
@@ -131,10 +131,12 @@ def test_harvest_twice_changes_nothing(spark):
                               "answer_text string, answer_kind string, answer_media array<struct<kind:string,hash:string,file_name:string>>, answer_by string, answer_sent_at long")}
     first = harvest.harvest(texts, media, quotes, files, chunks, store, 9)
     images = {r.hash: (r.generator, r.prompt) for r in first["images"].collect()}
-    assert images == {h("a"): ("webui", "a cat"), h("b"): ("stripped", "")}
+    assert images == {h("a"): ("webui", "a cat <lora:thin:0.5>"), h("b"): ("stripped", "")}
     assert {r.counter: r.value for r in first["stats"].collect()} == {"image_refs": 2, "original_missing": 1, "parsed": 1, "stripped": 0, "skipped": 0, "attributed": 1, "requests": 1, "answered_requests": 1, "placeholders": 1}
-    again = {**{k: first[k] for k in ("images", "sightings", "requests")}, "scan_state": chunks.select("file_path", "file_size", "file_mtime", F.lit(2).alias("parser_version"))}
+    again = {k: first[k] for k in ("images", "sightings", "requests", "scan_state", "loras")}
     second = harvest.harvest(texts, media, quotes, files, chunks, again, 10)
     assert {r.hash: (r.generator, r.prompt) for r in second["images"].collect()} == images
     assert second["sightings"].count() == first["sightings"].count() == 2 and second["requests"].count() == 1
     assert {r.counter: r.value for r in second["stats"].collect()}["skipped"] == 1
+    for part in ("scan_state", "loras"):
+        assert sorted(map(tuple, first[part].collect())) == sorted(map(tuple, second[part].collect())) and first[part].count() == 1
