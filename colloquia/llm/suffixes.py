@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from colloquia.llm.common import pick, whole
 from colloquia.llm.phrases import SPAN, Phrases, mix, parse
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 6 << 20
 LAST = np.iinfo(np.int64).max  # stands for a missing doc_id: larger than every other
 
 
@@ -145,13 +145,19 @@ def send_phrases(block: pa.Table, repeated: pa.Table, buckets: int) -> pa.Table:
 
 def sorted_spans(data: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Suffix array, to the length of a span: the order of the spans at ``start``, and where a new one begins in it."""
-    words = np.zeros((len(start), 7), ">u8")
-    raw = words.view(np.uint8)
-    for i in range(SPAN):
-        raw[:, i] = data[start + i]
-    order = np.lexsort(words.astype(np.uint64).T[::-1])
-    ranked = words[order]
-    return order, np.r_[True, (ranked[1:] != ranked[:-1]).any(axis=1)]
+    words = []
+    for at in range(0, SPAN, 8):  # eight bytes a number, first byte highest
+        word = np.zeros(len(start), np.uint64)
+        for i in range(at, min(at + 8, SPAN)):
+            word = (word << np.uint64(8)) | data[start + i]
+        words.append(word)
+    order = np.lexsort(words[::-1])
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for word in words:
+        ranked = word[order]
+        new[1:] |= ranked[1:] != ranked[:-1]
+    return order, new
 
 
 ANSWERS = "block long, n long, names binary, least binary, first binary, last binary"
