@@ -17,7 +17,7 @@ from colloquia.operators.intervals import inside_coverage
 from colloquia.operators.ordered import split_window, time_bucket, top_per_key
 from colloquia.session import durable
 
-PAGE_DEFAULT, PAGE_MAX, MAX_TERMS, CARD_CHILDREN, LISTED_GROUPS = 60, 200, 12, 8, 40
+PAGE_DEFAULT, PAGE_MAX, CARD_CHILDREN, LISTED_GROUPS = 60, 200, 8, 40
 
 
 # letters with diacritics and their plain forms, derived from their Unicode decomposition
@@ -100,21 +100,27 @@ def f_flags(images: DataFrame, flags: Mapping[str, bool], loras: DataFrame, sigh
     return images
 
 
-def search_tokens(images: DataFrame, loras: DataFrame) -> DataFrame:
-    """Inverted index (hash, token): prompt, negative, checkpoint and style names, cut at
-    non-alphanumerics, case and diacritics folded."""
+def text_tokens(images: DataFrame, loras: DataFrame) -> DataFrame:
+    """(hash, token), repeats included: prompt, negative, checkpoint and style names, cut at
+    non-alphanumerics, case and diacritics folded. No shuffle."""
     fold = lambda c: F.lower(F.translate(c, _MARKED, _PLAIN))
     words = images.select("hash", F.concat_ws(" ", "prompt", "negative_prompt", "checkpoint").alias("t")).unionByName(loras.select("hash", F.col("lora_name").alias("t")))
-    return words.select("hash", F.explode(F.split(fold("t"), r"[^\p{L}\p{N}]+")).alias("token")).filter("token <> ''").distinct()
+    return words.select("hash", F.explode(F.split(fold("t"), r"[^\p{L}\p{N}]+")).alias("token")).filter("token <> ''")
+
+
+def search_tokens(images: DataFrame, loras: DataFrame) -> DataFrame:
+    """Inverted index of the catalog: its distinct (hash, token) pairs."""
+    return text_tokens(images, loras).distinct()
 
 
 def search_terms(query: str) -> list[str]:
-    return [t for t in re.split(r"[^\w]+", query[:200]) if t][:MAX_TERMS]
+    return [t for t in re.split(r"[^\w]+", query) if t]
 
 
 def f_text(images: DataFrame, tokens: DataFrame, query: str) -> DataFrame:
-    """Every term must start some token of the asset. One pass over the index: matched
-    terms are counted per asset instead of one join per term."""
+    """Every term must start some token of the asset. One pass over the tokens: those that match
+    no term go before anything is shuffled, and matched terms are gathered per asset instead
+    of one join per term. All terms of a query count, however long it is."""
     parts = sorted({p.lower().translate(str.maketrans(_MARKED, _PLAIN)) for t in search_terms(query) for p in t.split("_") if p})
     if not parts:
         return images
@@ -153,7 +159,7 @@ def catalog_filter(images: DataFrame, spec: Mapping[str, Any], tags: DataFrame,
     wanted_groups = dropdown("groups", "group_id")
     out = f_group(out, sightings, wanted_groups) if wanted_groups else out
     if spec.get("text"):
-        out = f_text(out, search_tokens(images, loras), spec["text"])
+        out = f_text(out, text_tokens(out, loras), spec["text"])
     return f_selection(out, spec.get("hashes", []))
 
 

@@ -106,10 +106,10 @@ def topic_summary(members: DataFrame, speakers: int = 8, keywords: int = 10) ->
     by = ["group_id", "topic"]
     joined = lambda df, item, n: df.groupBy(*by).agg(F.array_join(F.transform(
         F.sort_array(F.collect_list(F.struct("rank", item, n))), lambda s: F.concat(s[item], F.lit(":"), s[n].cast("string"))), ",").alias(f"{item}s"))
-    people = members.groupBy(*by, "speaker").agg(F.count(F.lit(1)).alias("n"))
+    people = durable(members.groupBy(*by, "speaker").agg(F.count(F.lit(1)).alias("n"), F.min("sent_at").alias("a"), F.max("sent_at").alias("b")))
     top = joined(top_per_key(people, by, [F.col("n").desc(), F.col("speaker").asc()], speakers), "speaker", "n")
     words = joined(top_per_key(token_stats(members, by), by, token_order(), keywords), "token", "messages")
-    base = members.groupBy(*by).agg(F.count(F.lit(1)).alias("message_count"), F.min("sent_at").alias("first_unix"), F.max("sent_at").alias("last_unix"))
+    base = people.groupBy(*by).agg(F.sum("n").alias("message_count"), F.min("a").alias("first_unix"), F.max("b").alias("last_unix"))
     return base.join(top, by, "left").join(words, by, "left").select(
         *by, "message_count", "first_unix", "last_unix", F.coalesce("speakers", F.lit("")).alias("top_speakers"), F.coalesce("tokens", F.lit("")).alias("keywords"))
 

@@ -109,9 +109,18 @@ _body, _blk = blocks_sql("group_id")
 query("time_blocks", duck("heads", _body, blk=_blk))(lambda s, d: ct.time_blocks(v.heads(s, d)))
 _body, _blk = blocks_sql("")
 query("time_blocks_combined", duck("heads", _body.replace("1800", "600"), blk=_blk.replace(">1800", ">120")))(lambda s, d: ct.time_blocks(v.heads(s, d), [], gap=120))
+_ASKED = f"SELECT * REPLACE (text || CASE WHEN input_order%9=0 THEN ' {fv.ACTION_WORDS[0]}' WHEN input_order%9=1 THEN ' {fv.RISK_WORDS[0]}' WHEN input_order%9=2 THEN ' {fv.ACTION_WORDS[1]}{fv.RISK_WORDS[2]}' ELSE '' END AS text) FROM messages"
+
+
+def asked(s, d):
+    """Messages of which every ninth asks for something, every ninth reports a fault, every ninth both."""
+    turn = F.col("input_order") % 9
+    return v.messages(s, d).withColumn("text", F.concat("text", F.when(turn == 0, f" {fv.ACTION_WORDS[0]}").when(turn == 1, f" {fv.RISK_WORDS[0]}").when(turn == 2, f" {fv.ACTION_WORDS[1]}{fv.RISK_WORDS[2]}").otherwise("")))
+
+
 query("signals", duck("messages", f"""SELECT group_id, row_id, sent_at, input_order, signal, from_end FROM (SELECT *, row_number() OVER (PARTITION BY group_id, signal ORDER BY sent_at DESC, input_order DESC) AS from_end FROM (
-  SELECT group_id, row_id, sent_at, input_order, 'action' AS signal FROM messages WHERE regexp_matches(text,'(?i){"|".join(fv.ACTION_WORDS)}') UNION ALL SELECT group_id, row_id, sent_at, input_order, 'risk' FROM messages WHERE regexp_matches(text,'(?i){"|".join(fv.RISK_WORDS)}'))) WHERE from_end<=80"""))(
-    lambda s, d: ct.signals(v.messages(s, d)))
+  SELECT group_id, row_id, sent_at, input_order, 'action' AS signal FROM asked WHERE regexp_matches(text,'(?i){"|".join(fv.ACTION_WORDS)}') UNION ALL SELECT group_id, row_id, sent_at, input_order, 'risk' FROM asked WHERE regexp_matches(text,'(?i){"|".join(fv.RISK_WORDS)}'))) WHERE from_end<=80""", asked=_ASKED))(
+    lambda s, d: ct.signals(asked(s, d)))
 query("last_n", duck("heads", "SELECT group_id, row_id, from_end FROM (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY sent_at DESC, input_order DESC) AS from_end FROM heads) WHERE from_end<=40"))(
     lambda s, d: ct.last_n(v.heads(s, d), ["group_id"], 40).select("group_id", "row_id", "from_end"))
 query("filter_group", duck("heads", "SELECT row_id, sent_at FROM heads WHERE group_id='1007'"))(lambda s, d: ct.filter_group(v.heads(s, d), "1007").select("row_id", "sent_at"))

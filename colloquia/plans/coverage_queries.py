@@ -302,8 +302,8 @@ query("group_sections", duck("heads scan_ranges watchlist groups", f"""SELECT gr
   SELECT DISTINCT group_id, CAST(0 AS BIGINT) AS k FROM gap UNION ALL SELECT group_id, 1 FROM watchlist UNION ALL SELECT * FROM (SELECT group_id, 2 FROM ({_ACTIVITY}) ORDER BY latest_scan_unix DESC, group_id LIMIT 20) UNION ALL SELECT group_id, 3 FROM groups)
   WHERE group_id IN (SELECT group_id FROM groups) GROUP BY 1)""", gap=gaps_sql(WATCH_START, NOW, "watchlist")))(
     lambda s, d: ib.group_sections(v.groups(s, d), _health(s, d), v.watchlist(s, d), ib.group_activity(v.heads(s, d), v.scan_ranges(s, d))))
-query("search_groups", duck("group_names", "SELECT group_id, name FROM group_names WHERE contains(group_id,'an') OR contains(lower(name),'an') ORDER BY group_id LIMIT 80"))(
-    lambda s, d: ib.search_groups(v.group_names(s, d), "an"))
+query("search_groups", duck("group_names", "SELECT group_id, name FROM group_names WHERE contains(group_id,'on_1') OR contains(lower(name),'on_1') ORDER BY group_id LIMIT 80"))(
+    lambda s, d: ib.search_groups(v.group_names(s, d), "ON_1"))
 
 
 # ---- collections and runs ----

@@ -153,8 +153,8 @@ for _mode in ["unreviewed", "reviewed", "follow-up", "favorite"]:
         lambda s, d, m=_mode: md.review_filter(v.table(s, d, "customer").select(F.col("c_custkey").cast("string").alias("event_id")), reviews(s, d), m))
 query("manifest_lines", duck("media_index", f"SELECT row_id, '[' || {local_sql('sent_at')} || '] ' || speaker || ' ' || kind || ': ' || web_path AS line FROM media_index"))(
     lambda s, d: md.manifest_lines(v.media_index(s, d).withColumn("copied_path", F.lit("")).withColumn("url", F.col("web_path"))))
-query("empty_state", duck("heads merged groups", "SELECT group_id, CASE WHEN coverage_ratio<=0 THEN 'unscanned' WHEN coverage_ratio<0.999 THEN 'partial' WHEN message_count=0 THEN 'no-messages' WHEN media_count>0 THEN 'media-unavailable' ELSE 'no-media' END AS state FROM r", r=_RANGE))(
-    lambda s, d: _range(s, d).select("group_id", val.empty_state(F.col("coverage_ratio"), F.col("message_count"), F.col("media_count")).alias("state")))
+query("empty_state", duck("", "SELECT group_id, CASE WHEN coverage_ratio<=0 THEN 'unscanned' WHEN coverage_ratio<0.999 THEN 'partial' WHEN message_count=0 THEN 'no-messages' WHEN media_count>0 THEN 'media-unavailable' ELSE 'no-media' END AS state FROM r", r="SELECT o_orderkey AS group_id, (o_orderkey%4)/3.0 AS coverage_ratio, o_custkey%3 AS message_count, (o_orderkey//4)%2 AS media_count FROM orders"))(
+    lambda s, d: v.table(s, d, "orders").select(F.col("o_orderkey").alias("group_id"), (F.col("o_orderkey") % 4 / 3.0).alias("coverage_ratio"), (F.col("o_custkey") % 3).alias("message_count"), F.expr("(o_orderkey div 4) % 2").alias("media_count")).select("group_id", val.empty_state(F.col("coverage_ratio"), F.col("message_count"), F.col("media_count")).alias("state")))
 
 # ---- ask / answer ----
 _MARKERS = "(?i)(?:Negative prompt:|Steps:\\s*\\d+|Sampler:|CFG scale:|Model hash:)"

@@ -65,8 +65,8 @@ def chunk_rows(s, d):
 query("parse_comment_json", duck("", """SELECT md5(CAST(p_partkey AS VARCHAR)) AS hash, 'nai ' || p_partkey AS prompt, 'bad' AS negative_prompt, CAST(p_partkey%50 AS VARCHAR) AS steps, NULL::VARCHAR AS cfg, '512x768' AS size FROM part WHERE p_partkey%4=1"""))(
     lambda s, d: chunk_rows(s, d).filter(F.map_contains_key("chunks", "Comment")).select("hash", pm.parse_comment_json(F.col("chunks")).alias("c")).select(
         "hash", "c.prompt", "c.negative_prompt", F.col("c.params")["steps"].alias("steps"), F.try_element_at("c.params", F.lit("cfgScale")).alias("cfg"), F.col("c.params")["size"].alias("size")))
-query("relax_json", duck("", """SELECT p_partkey, '{"a":null,"b":"NaN, -Infinity","c":[null, 1]}' AS relaxed FROM part"""))(
-    lambda s, d: v.table(s, d, "part").select("p_partkey", pm.relax_json(F.concat(F.lit('{"a":-Infinity,"b":"NaN, -Infinity","c":[NaN, 1]}'), F.substring("p_name", 1, 0))).alias("relaxed")))
+query("relax_json", duck("", """SELECT p_partkey, '{"a":null,"b":"NaN, -Infinity ' || p_name || '","c":[null, ' || p_size || CASE WHEN p_partkey%2=0 THEN ', null' ELSE '' END || ']}' AS relaxed FROM part"""))(
+    lambda s, d: v.table(s, d, "part").select("p_partkey", pm.relax_json(F.concat(F.lit('{"a":-Infinity,"b":"NaN, -Infinity '), F.col("p_name"), F.lit('","c":[NaN, '), F.col("p_size").cast("string"), F.when(F.col("p_partkey") % 2 == 0, ", Infinity").otherwise(""), F.lit("]}"))).alias("relaxed")))
 
 
 @query("detect_metadata", duck("", """SELECT md5(CAST(p_partkey AS VARCHAR)) AS hash, CASE p_partkey%4 WHEN 0 THEN 'forge' WHEN 1 THEN 'nai' WHEN 2 THEN 'comfyui' ELSE 'unknown' END AS generator,
@@ -203,9 +203,11 @@ query("run_rows", duck("media_index", f"""SELECT r.run_id, r.m AS created_unix,
     lambda s, d: listing(s, d).drop("group_ids"))
 query("runs_total", duck("media_index", "SELECT count(DISTINCT run_id) AS runs, count(*) AS text_messages, count(*) FILTER (kind='video') AS media_messages, count(*) FILTER (input_order%3=0) AS copied, count(*) FILTER (input_order%3=2) AS missing FROM media_index"))(lambda s, d: rn.runs_total(listing(s, d)))
 query("runs_filter", duck("media_index", "SELECT DISTINCT run_id FROM media_index WHERE group_id='1003' AND run_id LIKE '%run-%'"))(lambda s, d: rn.runs_filter(listing(s, d), " RUN-", "1003", None).select("run_id"))
-query("expired_runs", duck("media_index", f"SELECT run_id, m AS created_unix FROM (SELECT run_id, max(sent_at) AS m FROM media_index GROUP BY 1) WHERE m < {v.END}-1*86400+43200"))(
-    lambda s, d: up.expired_runs(run_list(s, d).select("run_id", "modified_unix"), v.END + 43200, 1).select("run_id", "created_unix"))
-query("storage_by_category", duck("", "SELECT 'Pic' AS category, CAST(sum(size) AS BIGINT) AS bytes, count(*) AS files FROM files", files=FILES))(lambda s, d: rn.storage_by_category(files(s, d).withColumn("path", F.concat(F.lit("/runs/r1/"), "path"))))
+query("expired_runs", duck("media_index", f"SELECT run_id, m AS created_unix FROM (SELECT 'day-' || (sent_at-{START})//86400 AS run_id, max(sent_at) AS m FROM media_index GROUP BY 1) WHERE m < {v.END}-10*86400"))(
+    lambda s, d: up.expired_runs(v.media_index(s, d).groupBy(F.concat(F.lit("day-"), F.floor((F.col("sent_at") - START) / 86400).cast("string")).alias("run_id")).agg(
+        F.max("sent_at").alias("modified_unix")), v.END, 10).select("run_id", "created_unix"))
+query("storage_by_category", duck("", "SELECT CASE size%4 WHEN 0 THEN 'Pic' WHEN 1 THEN 'media' WHEN 2 THEN 'analysis' ELSE 'other' END AS category, CAST(sum(size) AS BIGINT) AS bytes, count(*) AS files FROM files GROUP BY 1", files=FILES))(
+    lambda s, d: rn.storage_by_category(files(s, d).withColumn("path", F.concat(F.when(F.col("size") % 4 == 0, "/runs/r1/").when(F.col("size") % 4 == 1, "/runs/r2/media/").when(F.col("size") % 4 == 2, "/runs/r3/analysis/").otherwise("/elsewhere/"), "path"))))
 
 
 # ---- digest ----
