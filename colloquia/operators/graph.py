@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,28 +62,59 @@ def edges_of(inputs: DataFrame) -> DataFrame:
     return inputs.filter("link is not null").select("hash", "node_id", "key", order.alias("edge_ord"), F.col("link").alias("target"))
 
 
+def first_literal(start: str, literals: dict[str, str], links: dict[str, list[str]], hops: int = fv.MAX_LINK_DEPTH) -> str | None:
+    """First literal upstream of ``start``, links in their order, at most ``hops`` links away.
+
+    A node tried before with as many hops left cannot give anything new, so work is bounded
+    by nodes times hops whatever the graph's shape, cycles included.
+    """
+    tried: dict[str, int] = {}
+    stack = [(start, hops)]
+    while stack:
+        node, left = stack.pop()
+        if tried.get(node, -1) >= left:
+            continue
+        tried[node] = left
+        if node in literals:
+            return literals[node]
+        if left:
+            stack += [(target, left - 1) for target in reversed(links.get(node, []))]
+    return None
+
+
 def resolve_text(inputs: DataFrame, roots: DataFrame) -> DataFrame:
-    """Upstream text of each root link (hash, root, node_id): first literal found in link
-    order, never visiting a node twice on one path, at most 17 hops.
+    """Upstream text of each root link (hash, root, node_id): first literal found in link order.
 
-    All roots of all graphs advance one hop per join round. Paths that reach the same node
-    in the same round share everything below it, so only the first in link order goes on.
+    A graph has at most 4,000 nodes, so its literals and links are gathered into one row, with
+    one shuffle for all graphs, and followed there.
     """
-    literals = durable(literal_text(inputs))
-    edges = durable(edges_of(inputs))
     known = inputs.select("hash", "node_id").distinct()
-    frontier = roots.select("hash", "root", "node_id", F.array().cast("array<bigint>").alias("order_key"), F.array("node_id").alias("path")).join(known, ["hash", "node_id"], "left_semi")
-    found: DataFrame | None = None
-    for _ in range(fv.MAX_LINK_DEPTH + 1):
-        here = durable(frontier.join(literals, ["hash", "node_id"], "left"))
-        hits = here.filter("literal is not null").select("hash", "root", "order_key", "literal")
-        found = hits if found is None else found.unionByName(hits)
-        onward = here.filter("literal is null").join(edges, ["hash", "node_id"]).filter(~F.array_contains("path", F.col("target"))).select(
-            "hash", "root", F.col("target").alias("node_id"), F.array_append("order_key", F.col("edge_ord")).alias("order_key"), F.array_append("path", F.col("target")).alias("path"))
-        frontier = onward.groupBy("hash", "root", "node_id").agg(F.min_by(F.struct("order_key", "path"), "order_key").alias("f")).select("hash", "root", "node_id", "f.*")
-        if here.filter("literal is null").isEmpty():
-            break
-    return found.groupBy("hash", "root").agg(F.min_by("literal", "order_key").alias("text"))
+    first = roots.join(known, ["hash", "node_id"], "left_semi")
+    gather = lambda c: F.collect_list(F.when(F.col(c).isNotNull(), F.col(c))).alias(f"{c}s")
+    parts = [("literal", literal_text(inputs), ["node_id", "literal"]), ("edge", edges_of(inputs), ["node_id", "edge_ord", "target"]), ("root", first, ["root", "node_id"])]
+    types = {n: f"struct<{', '.join(f'{c}:{df.schema[c].dataType.simpleString()}' for c in columns)}>" for n, df, columns in parts}
+    rows = None
+    for name, df, columns in parts:
+        one = df.select("hash", *[(F.struct(*columns) if n == name else F.lit(None)).cast(types[n]).alias(n) for n, _, _ in parts])
+        rows = one if rows is None else rows.unionByName(one)
+    whole = rows.groupBy("hash").agg(*[gather(n) for n, _, _ in parts]).filter(F.size("roots") > 0)
+
+    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for graph in batch.to_pylist():
+                literals = {x["node_id"]: x["literal"] for x in graph["literals"]}
+                links: dict[str, list[str]] = {}
+                for x in sorted(graph["edges"], key=lambda x: x["edge_ord"]):
+                    links.setdefault(x["node_id"], []).append(x["target"])
+                for x in graph["roots"]:
+                    text = first_literal(x["node_id"], literals, links)
+                    if text is not None:
+                        out.append((graph["hash"], x["root"], text))
+            columns = list(zip(*out)) or [[], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], ["hash", "root", "text"])
+
+    return whole.mapInArrow(follow, "hash string, root string, text string")
 
 
 def pick_sampler(inputs: DataFrame) -> DataFrame:

@@ -64,3 +64,15 @@ def test_link_order_and_cycles(spark):
     assert {r.root: r.text for r in gr.resolve_text(inputs, roots).collect()} == {"r3": "a dog", "r6": "wrong branch"}
     edges = [(r.node_id, r.key) for r in gr.edges_of(inputs).filter("node_id = '3'").orderBy("edge_ord").collect()]
     assert edges == [("3", "conditioning"), ("3", "zeta")]
+
+
+def test_links_are_followed_in_order_through_cycles_and_not_too_far():
+    from colloquia.operators.graph import first_literal
+    links = {"a": ["b", "c"], "b": ["a", "d"], "c": ["e"]}
+    assert first_literal("a", {"e": "late"}, links) == "late"
+    assert first_literal("a", {"d": "early", "e": "late"}, links) == "early"
+    assert first_literal("a", {}, links) is None
+    chain = {str(i): [str(i + 1)] for i in range(40)}
+    assert first_literal("0", {"16": "near"}, chain) == "near" and first_literal("0", {"30": "far"}, chain) is None
+    ladder = {str(i): [str(i + 1), str(i + 2), "0"] for i in range(16)}  # many paths, little work
+    assert first_literal("0", {"17": "top"}, ladder) == "top"
