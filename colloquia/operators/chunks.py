@@ -144,7 +144,7 @@ def normalize_summary(answers: DataFrame) -> DataFrame:
     p = lambda n: F.col(f"p.{n}")
     texts = lambda c: c.isNotNull() & F.forall(F.coalesce(c, F.array()), _filled)
     rules = [
-        (F.col("p").isNotNull() & F.col("answer").isNotNull(), "not-json"), (_filled(p("summary")), "summary"), (p("topics").isNotNull(), "topics"),
+        (F.json_object_keys("answer").isNotNull(), "not-json"), (_filled(p("summary")), "summary"), (p("topics").isNotNull(), "topics"),
         (every(p("topics"), lambda t: _filled(t["title"]) & _filled(t["summary"]) & level(t["importance"]) & t["messageCountEstimate"].isNotNull() & texts(t["details"]) & texts(t["evidence"])), "topic"),
         (every(p("timeline"), lambda t: _filled(t["start"]) & _filled(t["title"]) & _filled(t["summary"])), "timeline"),
         (every(p("uncategorized"), lambda u: _filled(u["hkt"]) & _filled(u["speaker"]) & _filled(u["note"])), "uncategorized"),

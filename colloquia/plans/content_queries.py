@@ -252,7 +252,14 @@ query("merge_topics", duck("", f"""SELECT group_id, title, message_count_estimat
 query("merge_actions", duck("", f"""SELECT group_id, task, status, rank FROM (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY status='resolved', first_at) AS rank FROM (
   SELECT group_id, arg_min(w1, part) AS task, min(part) AS first_at, CASE WHEN bool_or(turn%2=1) THEN 'resolved' ELSE 'open' END AS status FROM p WHERE {trim_sql('w1')}<>'' GROUP BY group_id, lower({trim_sql(rep('w1', SPACE + '+', ' '))}))) WHERE rank<=15""", p=_PART))(
     lambda s, d: ch.merge_actions(ch.normalize_summary(partial_answers(s, d))).select("group_id", "task", "status", "rank"))
-query("normalize_summary")(lambda s, d: ch.normalize_summary(partial_answers(s, d)).groupBy("reason").count())
+def damaged_answers(s, d):
+    """The partial answers, of which some are cut, some lack a title and some rate an odd importance."""
+    turn = F.col("chunk") + F.col("group_id").cast("long")
+    return partial_answers(s, d).withColumn("answer", F.when(turn % 5 == 0, F.substring("answer", 1, 20)).when(turn % 5 == 1, F.replace("answer", F.lit('"importance":"'), F.lit('"importance":"odd '))).when(
+        turn % 5 == 2, F.regexp_replace("answer", '"evidence":\\["e1"\\]', '"evidence":[]')).otherwise(F.col("answer")))
+
+
+query("normalize_summary", duck("", """SELECT CASE (turn+1+conv_id)%5 WHEN 0 THEN 'not-json' WHEN 1 THEN 'topic' END AS reason, count(*) AS count FROM conversations WHERE text IS NOT NULL GROUP BY 1"""))(lambda s, d: ch.normalize_summary(damaged_answers(s, d)).groupBy("reason").count())
 query("trim_partial", duck("", "SELECT group_id, part AS chunk, 1 AS topics, 1 AS actions FROM p", p=_PART))(lambda s, d: ch.trim_partial(ch.normalize_summary(partial_answers(s, d))).select("group_id", "chunk", F.size("p.topics").alias("topics"), F.size("p.actions").alias("actions")))
 query("quick_summary", duck("", "SELECT group_id, title AS summary, 0 AS actions FROM p", p=_PART))(lambda s, d: ch.quick_summary(partial_answers(s, d)).select("group_id", "summary", F.size("actions").alias("actions")))
 query("merge_partials", duck("", f"SELECT group_id, string_agg(t, ' ' ORDER BY part) AS summary FROM (SELECT group_id, part, {trim_sql('title')} AS t, row_number() OVER (PARTITION BY group_id ORDER BY part) AS r FROM p WHERE {trim_sql('title')}<>'') WHERE r<=4 GROUP BY 1", p=_PART))(lambda s, d: ch.merge_partials(ch.normalize_summary(partial_answers(s, d)))["summary"])

@@ -49,7 +49,8 @@ def _block(s, d):
                     F.col("p.extra")["Mood"].alias("mood"), F.array_join(F.transform("p.loras", lambda x: F.concat(x["name"], F.lit(":"), F.coalesce(x["weight"].cast("string"), F.lit("-")))), ",").alias("loras"))
 
 
-query("parse_param_fields")(lambda s, d: blocks(s, d).select("hash", pm.parse_param_fields(F.element_at(F.split("block", "\n"), -1)).alias("f")).select("hash", F.explode("f.params")))
+query("parse_param_fields", duck("", """SELECT md5(CAST(p_partkey AS VARCHAR)) AS hash, unnest(['steps', 'sampler', 'cfgScale', 'seed', 'model', 'loraHashes', 'version']) AS key,
+  unnest([CAST(p_size AS VARCHAR), 'Euler a', CAST(1+p_partkey%9 AS VARCHAR) || '.5', CAST(p_partkey AS VARCHAR), p_brand, 'Style' || p_partkey%5 || ': ab, Other' || p_partkey%3 || ': cd', CASE WHEN p_partkey%2=0 THEN 'f2.0' ELSE 'v1.9' END]) AS value FROM part"""))(lambda s, d: blocks(s, d).select("hash", pm.parse_param_fields(F.element_at(F.split("block", "\n"), -1)).alias("f")).select("hash", F.explode("f.params")))
 query("loras", duck("", """SELECT md5(CAST(p_partkey AS VARCHAR)) AS hash, 'Style' || p_partkey%5 AS name, 0.8::DOUBLE AS weight FROM part UNION ALL SELECT md5(CAST(p_partkey AS VARCHAR)), unnest(['A','B']), NULL FROM part"""))(lambda s, d: blocks(s, d).select("hash", F.explode(pm.loras(F.col("block"), F.lit('"A: x, B: y"')))).select("hash", "col.*"))
 
 
@@ -253,7 +254,17 @@ def media_entries(s, d):
     return v.chat_media(s, d).select("hash", F.when(k % 4 != 0, F.concat(F.lit("Pic/2024-01/Ori/"), "hash", F.lit(".png"))).alias("copied_path"), F.when(k % 5 == 0, "not-found").otherwise("downloaded").alias("remote_status"), k.alias("position"))
 
 
-@query("reconcile_media")
+@query("reconcile_media", duck("chat_media images", f"""SELECT hash, status, CASE WHEN status IN ('reused','stored') AND known IS NULL AND gen<>'unknown' THEN 'discovered' WHEN status IN ('reused','stored') AND known='stripped' AND gen<>'unknown' THEN 'upgraded' ELSE 'none' END AS change,
+  CASE WHEN status IN ('reused','stored') THEN coalesce(object_path, 'objects/' || hash[1:2] || '/' || hash) END AS object_path FROM (
+  SELECT c.*, i.generator AS known, o.object_path, i.generator IS NULL AND o.object_path IS NULL AS fresh,
+    CASE WHEN i.generator IS NULL AND o.object_path IS NULL AND (coalesce(c.remote,'')<>'downloaded' OR c.md5 IS NULL) THEN 'untracked'
+         WHEN i.generator IS NULL AND o.object_path IS NULL AND c.md5<>c.hash THEN 'hash-mismatch' WHEN i.generator IS NULL AND o.object_path IS NULL AND NOT coalesce(c.gen<>'unknown',false) THEN 'untracked'
+         WHEN o.object_path IS NOT NULL THEN 'reused' WHEN c.md5 IS NULL THEN 'source-missing' WHEN c.md5<>c.hash THEN 'hash-mismatch' ELSE 'stored' END AS status
+  FROM (SELECT DISTINCT ON (e.hash) e.hash, e.remote, f.md5, f.gen FROM (
+      SELECT hash, CASE WHEN input_order%4<>0 THEN 'Pic/2024-01/Ori/' || hash || '.png' END AS path, CASE WHEN input_order%5=0 THEN 'not-found' ELSE 'downloaded' END AS remote, input_order FROM chat_media) e
+    LEFT JOIN (SELECT path, CASE WHEN size%7000=0 THEN repeat('0',32) ELSE regexp_extract(path,'[a-f0-9]{{32}}') END AS md5, CASE WHEN size%3000=0 THEN 'unknown' ELSE 'webui' END AS gen FROM files) f ON f.path=e.path
+    ORDER BY e.hash, f.md5 IS NULL, e.input_order) c
+  LEFT JOIN (SELECT * FROM images WHERE generator<>'nai') i ON i.hash=c.hash LEFT JOIN (SELECT hash, object_path FROM images WHERE object_path<>'') o ON o.hash=c.hash)""", files=FILES))
 def _reconcile(s, d):
     digests = files(s, d).select("path", F.when(F.col("size") % 7000 == 0, F.lit("0" * 32)).otherwise(F.regexp_extract("path", "[a-f0-9]{32}", 0)).alias("md5"), F.when(F.col("size") % 3000 == 0, "unknown").otherwise("webui").alias("generator"))
     objects = v.images(s, d).filter("object_path <> ''").select("hash", "object_path")
