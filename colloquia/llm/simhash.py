@@ -33,9 +33,9 @@ _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuv
 
 
 def bits_for(similarity: float, bits: int) -> int:
-    """Differing bits expected of two equally large shingle sets of this Jaccard similarity, plus half a standard deviation."""
+    """Differing bits expected of two equally large shingle sets of this Jaccard similarity, plus one standard deviation."""
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return round(bits * share + 0.5 * math.sqrt(bits * share * (1 - share)))
+    return round(bits * share + math.sqrt(bits * share * (1 - share)))
 
 
 def fingerprint(text: str | None, width: int = WIDTH, words: int = 1) -> np.ndarray:
