@@ -12,9 +12,10 @@ from pyspark.sql import types as T
 
 from colloquia.functions.text import merge_key, message_line, trim_space
 from colloquia.functions.values import importance_rank, to_local
-from colloquia.operators.ordered import top_per_key
+from colloquia.operators.ordered import ordinal, top_per_key
+from colloquia.session import durable
 
-MAX_LINES, MAX_CHARS, MAX_CHUNKS = 400, 50000, 40
+MAX_LINES, MAX_CHARS = 400, 50000
 
 
 def summary_lines(messages: DataFrame, names: DataFrame) -> DataFrame:
@@ -25,31 +26,67 @@ def summary_lines(messages: DataFrame, names: DataFrame) -> DataFrame:
     return messages.join(names, "group_id", "left").select("group_id", "row_id", "sent_at", "input_order", line.alias("line")).withColumn("line_length", F.length("line").cast("long"))
 
 
-def pack_chunks(lines: DataFrame, max_lines: int = MAX_LINES, max_chars: int = MAX_CHARS, max_chunks: int = MAX_CHUNKS) -> DataFrame:
-    """(group_id, row_id, chunk): consecutive lines packed greedily, at most ``max_chunks``.
+def next_starts(lengths: np.ndarray, max_lines: int, max_chars: int) -> np.ndarray:
+    """For every line, where the next chunk begins if a chunk begins at this line."""
+    upto = np.concatenate([[0], np.cumsum(lengths + 1)])
+    here = np.arange(len(lengths))
+    fits = np.searchsorted(upto, upto[here] + max_chars, side="right") - 1
+    return np.minimum(np.maximum(fits, here + 1), here + max_lines)
 
-    A chunk holds at most ``max_lines`` lines, so only a group's first
-    ``max_lines * max_chunks`` rows can be placed; the ordered fold sees only those.
+
+def pack_chunks(lines: DataFrame, max_lines: int = MAX_LINES, max_chars: int = MAX_CHARS, max_chunks: int | None = None, bucket_lines: int | None = None) -> DataFrame:
+    """(group_id, row_id, line_no, chunk): consecutive lines packed greedily; ``max_chunks`` drops later chunks.
+
+    A chunk begins at most ``max_lines`` lines after the one before it, so a bucket of lines is
+    entered at one of its first ``max_lines`` places. Each bucket answers all of them (chunks
+    begun, place of entry into the next bucket); per group only these small tables are
+    followed, then each bucket numbers its own lines.
     """
-    slim = lines.select("group_id", "row_id", "sent_at", "input_order", "line_length")
-    head = top_per_key(slim, ["group_id"], [F.col("sent_at").asc(), F.col("input_order").asc()], max_lines * max_chunks, "line_no")
+    width = bucket_lines or 32 * max_lines
+    slim = ordinal(lines.select("group_id", "row_id", "sent_at", "input_order", "line_length"), ["group_id"], ["sent_at", "input_order", "row_id"], "line_no")
+    slim = durable(slim.select("group_id", "row_id", "line_no", "line_length").withColumn("bucket", F.floor((F.col("line_no") - 1) / width).cast("long")))
+    ahead = (F.col("line_no") - 1) % width < max_lines  # the first lines also help the bucket before them
+    shared = slim.withColumn("for", F.explode(F.when(ahead & (F.col("bucket") > 0), F.array("bucket", F.col("bucket") - 1)).otherwise(F.array("bucket"))))
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+    def steps(rows: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, int]:
         rows = rows.sort_values("line_no")
-        chunk, count, used = 1, 0, 0
-        placed = np.zeros(len(rows), dtype="int64")
-        for i, length in enumerate(rows["line_length"].to_numpy()):
-            if count >= max_lines or (count > 0 and used + length + 1 > max_chars):
-                chunk, count, used = chunk + 1, 0, 0
-                if chunk > max_chunks:
-                    break
-            placed[i] = chunk
-            count, used = count + 1, used + length + 1
-        rows = rows.assign(chunk=placed)
-        return rows.loc[rows["chunk"] > 0, ["group_id", "row_id", "line_no", "chunk"]]
-
-    return head.select("group_id", "row_id", "line_no", "line_length").groupBy("group_id").applyInPandas(
-        fold, "group_id string, row_id string, line_no long, chunk long")
+        own = int((rows["bucket"] == rows["for"]).sum())
+        return rows, next_starts(rows["line_length"].to_numpy(), max_lines, max_chars), own
+
+    def table(rows: pd.DataFrame) -> pd.DataFrame:
+        rows, following, own = steps(rows)
+        begun, leave = np.zeros(own, "int64"), np.zeros(own, "int64")
+        for i in range(own - 1, -1, -1):
+            inside = following[i] < own
+            begun[i] = 1 + (begun[following[i]] if inside else 0)
+            leave[i] = leave[following[i]] if inside else following[i] - own
+        entries = min(own, max_lines)
+        return pd.DataFrame({"group_id": rows["group_id"].iloc[0], "bucket": rows["for"].iloc[0], "lines": own, "entry": np.arange(entries), "begun": begun[:entries], "leave": leave[:entries]})
+
+    def follow(tables: pd.DataFrame) -> pd.DataFrame:
+        out, entry, chunk = [], 0, 0
+        for bucket, t in tables.sort_values(["bucket", "entry"]).groupby("bucket", sort=True):
+            out.append((t["group_id"].iloc[0], bucket, entry, chunk))
+            if entry < len(t):
+                row = t.iloc[entry]
+                entry, chunk = int(row["leave"]), chunk + int(row["begun"])
+            else:
+                entry -= int(t["lines"].iloc[0])
+        return pd.DataFrame(out, columns=["group_id", "for", "entry", "before"])
+
+    def number(rows: pd.DataFrame) -> pd.DataFrame:
+        rows, following, own = steps(rows)
+        chunk, at = np.zeros(own, "int64"), int(rows["entry"].iloc[0])
+        while at < own:
+            chunk[at] = 1
+            at = int(following[at])
+        rows = rows.iloc[:own].assign(chunk=np.cumsum(chunk) + int(rows["before"].iloc[0]))
+        return rows[["group_id", "row_id", "line_no", "chunk"]]
+
+    tables = shared.groupBy("group_id", "for").applyInPandas(table, "group_id string, bucket long, lines long, entry long, begun long, leave long")
+    entered = tables.groupBy("group_id").applyInPandas(follow, "group_id string, for long, entry long, before long")
+    packed = shared.join(entered, ["group_id", "for"]).groupBy("group_id", "for").applyInPandas(number, "group_id string, row_id string, line_no long, chunk long")
+    return packed if max_chunks is None else packed.filter(F.col("chunk") <= max_chunks)
 
 
 def chunk_coverage(lines: DataFrame, packed: DataFrame) -> DataFrame:

@@ -205,13 +205,18 @@ def lines(s, d):
     return ch.summary_lines(v.messages(s, d), v.group_names(s, d))
 
 
-query("pack_chunks")(lambda s, d: ch.pack_chunks(lines(s, d), 50, 40000, 40))
+_NUMBERED = """SELECT group_id, row_id, line_length, row_number() OVER w AS n, sum(line_length+1) OVER w AS upto FROM l WINDOW w AS (PARTITION BY group_id ORDER BY sent_at, input_order, row_id)"""
+_NEXT = """SELECT a.group_id, a.n, min(b.n) AS nxt FROM o a JOIN o b ON b.group_id=a.group_id AND b.n>a.n AND b.n<=a.n+50 AND (b.n=a.n+50 OR b.upto-a.upto+a.line_length+1>40000) GROUP BY 1,2"""
+_PACKED = """SELECT o.group_id, o.row_id, o.n AS line_no, s.chunk FROM o ASOF JOIN (WITH RECURSIVE starts AS (SELECT DISTINCT group_id, CAST(1 AS BIGINT) AS n, CAST(1 AS BIGINT) AS chunk FROM o
+  UNION ALL SELECT s.group_id, x.nxt, s.chunk+1 FROM starts s JOIN nx x ON x.group_id=s.group_id AND x.n=s.n) SELECT * FROM starts) s ON s.group_id=o.group_id AND o.n>=s.n"""
+query("pack_chunks", duck("messages group_names", _PACKED, l=LINES, o=_NUMBERED, nx=_NEXT))(lambda s, d: ch.pack_chunks(lines(s, d), 50, 40000))
 
 
-@query("chunk_coverage")
+@query("chunk_coverage", duck("messages group_names", """SELECT group_id, count(*) AS total_messages, count(*) FILTER (chunk<=6) AS included_messages, least(max(chunk),6) AS chunks, max(chunk)>6 AS capped, CASE WHEN max(chunk)<=1 THEN 'single' ELSE 'mapreduce' END AS mode FROM p GROUP BY 1""",
+                              l=LINES, o=_NUMBERED, nx=_NEXT, p=_PACKED))
 def _chunk_coverage(s, d):
     all_lines = lines(s, d)
-    return ch.chunk_coverage(all_lines, ch.pack_chunks(all_lines, 50, 40000, 40))
+    return ch.chunk_coverage(all_lines, ch.pack_chunks(all_lines, 50, 40000, 6))
 
 
 query("cap_tail", duck("messages group_names", """SELECT group_id, row_id, from_end FROM (SELECT *, min(CASE WHEN from_end>1 AND before+line_length>20000 THEN from_end END) OVER (PARTITION BY group_id) AS stop FROM (
@@ -229,7 +234,7 @@ def _requests(s, d):
     m = members(s, d)
     named = tp.topic_summary(m).join(tp.topic_names(m), ["group_id", "topic"])
     header = ct.analysis_header(v.heads(s, d), v.chat_media(s, d), v.group_names(s, d))
-    return ch.summary_requests(all_lines, ch.pack_chunks(all_lines, 50, 40000, 40), header, named, ct.time_blocks(v.heads(s, d))).withColumn("request", F.md5("request"))
+    return ch.summary_requests(all_lines, ch.pack_chunks(all_lines, 50, 40000), header, named, ct.time_blocks(v.heads(s, d))).withColumn("request", F.md5("request"))
 
 
 def partial_answers(s, d):

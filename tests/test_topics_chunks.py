@@ -85,6 +85,18 @@ def test_packing_equals_the_loop(spark):
     assert cover["a"].capped and cover["a"].mode == "mapreduce" and cover["a"].total_messages == 150
 
 
+def test_packing_has_no_limit_and_spans_buckets(spark):
+    rng = random.Random(3)
+    rows = [(g, f"{g}{i:04d}", i, i, rng.randrange(1, 90)) for g, n in (("a", 900), ("b", 31), ("c", 1)) for i in range(n)]
+    df = spark.createDataFrame(rows, "group_id string, row_id string, sent_at long, input_order long, line_length long")
+    for width in (7, 10, 64, None):
+        got = {r.row_id: r.chunk for r in ch.pack_chunks(df, 7, 150, bucket_lines=width).collect()}
+        for g in ("a", "b", "c"):
+            mine = [r for r in rows if r[0] == g]
+            assert [got[r[1]] for r in mine] == pack([r[4] for r in mine], 7, 150, 10**9)
+    assert max(got.values()) > 150
+
+
 def test_caps_from_both_ends(spark):
     df = spark.createDataFrame([("g", str(i), i, i, 10) for i in range(10)], "group_id string, row_id string, sent_at long, input_order long, line_length long")
     assert sorted(int(r.row_id) for r in ch.cap_tail(df, 8, 33).collect()) == [7, 8, 9]
