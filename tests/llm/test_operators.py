@@ -258,7 +258,7 @@ def test_counts_and_ratio_by_definition(spark, tricky):
         if d in good:
             target.update(grams(t))
     sums = sum(target.values()) + 0.5 * buckets, sum(raw.values()) + 0.5 * buckets
-    weight = [np.log((target[b] + 0.5) / sums[0]) - np.log((raw[b] + 0.5) / sums[1]) for b in range(buckets)]
+    weight = [round(np.log((target[b] + 0.5) / sums[0]) - np.log((raw[b] + 0.5) / sums[1]), 4) for b in range(buckets)]
     for row in quality.judge(docs, marked, buckets=buckets).collect():
         text = texts[row["doc_id"]]
         words, lines = WORD.findall(text), [x for x in text.split("\n") if WORD.search(x)]
