@@ -14,13 +14,17 @@ GAP = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table; Python workers on this machine find the package also where it is not installed
-    (on a cluster, install it or pass it with ``--py-files``)."""
+def reachable(spark: SparkSession) -> SparkSession:
+    """Let Python workers on this machine find the package also where it is not installed (on a
+    cluster, install it or pass it with ``--py-files``)."""
     root, own = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
     if root not in own.get("PYTHONPATH", "").split(os.pathsep):
         own["PYTHONPATH"] = os.pathsep.join(filter(None, [root, own.get("PYTHONPATH")]))
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return reachable(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def pick(df: DataFrame, *names: str) -> DataFrame:

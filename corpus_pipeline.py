@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from colloquia.llm import mixing, packing, quality, simhash, suffixes
-from colloquia.llm.common import read
+from colloquia.llm.common import reachable, read
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,11 +19,13 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
+    reachable(spark)
     return simhash.keep_one(docs, simhash.similar(docs, width=5, similarity=0.8))
 
 
 def shared_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the 50-byte spans that a document with a smaller id has."""
+    reachable(spark)
     return suffixes.deduplicated(docs)
 
 
@@ -34,6 +36,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row per token piece with its place in a sequence."""
+    reachable(spark)
     return packing.pack(docs)
 
 
