@@ -126,6 +126,16 @@ def earliest_answers(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("group_id", "ask_row_id", "ask_at").agg(F.min_by(F.struct("answer_at", "answer_sender", "text"), F.struct("answer_at", "answer_order")).alias("a")).select("group_id", "ask_row_id", "ask_at", "a.*")
 
 
+def merge_answers(stored: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Fold new candidate pairs into the stored first answers: (group_id, ask_row_id, ask_at,
+    answer_at, answer_order, answer_sender, text). An earlier answer that comes late, in a later
+    batch, replaces the stored one; folding a batch again changes nothing."""
+    columns = ["group_id", "ask_row_id", "ask_at", "answer_at", "answer_order", "answer_sender", "text"]
+    every = stored.select(*columns).unionByName(pairs.select(*columns))
+    best = F.min_by(F.struct(*columns[3:]), F.struct("answer_at", "answer_order"))
+    return every.groupBy(*columns[:3]).agg(best.alias("a")).select(*columns[:3], "a.*")
+
+
 def to_batches(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> StreamingQuery:
     """Run a stream over the data available now, handing each batch to ``sink``."""
     return stream.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

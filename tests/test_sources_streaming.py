@@ -142,3 +142,13 @@ def test_media_rules(spark):
     flagged = media.owned_refs(refs)
     assert {r.row_id: r.owned for r in flagged.collect()} == {"10": False, "9": True, "11": True, "12": True, "1": True}
     assert [(r.row_id, r.quoted_hash) for r in media.quote_links(flagged).collect()] == [("10", "x")]
+
+
+def test_a_late_earlier_answer_replaces_the_stored_one(spark):
+    from colloquia.streaming.incremental import merge_answers
+    schema = "group_id string, ask_row_id string, ask_at long, answer_at long, answer_order long, answer_sender string, text string"
+    first = merge_answers(spark.createDataFrame([], schema), spark.createDataFrame([("g", "1", 10, 40, 4, "b", "later"), ("g", "1", 10, 45, 5, "c", "last"), ("g", "2", 12, 30, 3, "d", "own")], schema))
+    late = spark.createDataFrame([("g", "1", 10, 20, 2, "e", "early")], schema)
+    second = merge_answers(first, late)
+    assert sorted((r.ask_row_id, r.answer_at, r.text) for r in second.collect()) == [("1", 20, "early"), ("2", 30, "own")]
+    assert sorted(map(tuple, merge_answers(second, late).collect())) == sorted(map(tuple, second.collect()))
