@@ -190,6 +190,40 @@ def test_similar_finds_near_copies_and_spares_others(spark):
     assert found == {i: i for i, _ in base} | {100 + i: i for i in range(30)}
 
 
+def planted(similarities, pairs, size=360):
+    """Texts of ``size`` shingles in pairs of just these Jaccard similarities, and chains whose ends are below 0.8."""
+    fresh = iter(range(10**9))
+    word = lambda n: [f"w{next(fresh)}" for _ in range(n)]
+    texts = []
+    for similarity in similarities:
+        shared = -(-2 * size * round(100 * similarity) // (100 + round(100 * similarity)))
+        for _ in range(pairs):
+            start = word(shared + 4)
+            texts += [start + word(size - shared), start + word(size - shared)]
+    for _ in range(pairs):
+        line = word(size + 74)
+        texts += [line[:364], line[35:399], line[70:434]]  # 0.82 from step to step, 0.67 from end to end
+    return [" ".join(t) for t in texts]
+
+
+@pytest.mark.parametrize("cell", [simhash.CELL, 700])
+def test_similar_equals_exact_jaccard(spark, cell):
+    texts = planted((0.70, 0.78, 0.80, 0.82), 40) + ["same words here and there " * 30, "same words here and there " * 50]
+    sets, at = [shingles(t) for t in texts], {}
+    for i, s in enumerate(sets):
+        for x in s:
+            at.setdefault(x, set()).add(i)
+    want = list(range(len(texts)))
+    for i, s in enumerate(sets):
+        for j in sorted({j for x in s for j in at[x] if j > i}):
+            if len(s & sets[j]) / len(s | sets[j]) >= 0.8:
+                old, new = max(want[i], want[j]), min(want[i], want[j])
+                want = [new if w == old else w for w in want]
+    assert len(set(want)) == 2 * 160 - 80 + 40 + 1
+    found = dict(rows(simhash.similar(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), cell=cell), "doc_id", "component_id"))
+    assert [found[i] for i in range(len(texts))] == want
+
+
 # ---- spans
 
 def brute_spans(docs, span=50):
