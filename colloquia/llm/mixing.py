@@ -75,18 +75,17 @@ def source_plan(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs:
     sums = rows.groupBy("no_source", "of", bucket.alias("bucket")).agg(F.sum("size").alias("in_bucket"))
     upto = F.sum("in_bucket").over(W.partitionBy("no_source", "of").orderBy("bucket"))  # at most 2^14 rows a source
     border = sums.withColumn("upto", upto).join(plan, ["no_source", "of"]).filter(
-        (F.col("upto") > F.col("part")) & (F.col("upto") - F.col("in_bucket") < F.col("part"))).select(
+        (F.col("upto") >= F.col("part")) & (F.col("upto") - F.col("in_bucket") < F.col("part"))).select(  # one a source with a part
         "no_source", "of", "bucket", "part", (F.col("upto") - F.col("in_bucket")).alias("below"))
     inside = rows.withColumn("bucket", bucket).join(border, ["no_source", "of", "bucket"]).groupBy(
         "no_source", "of", "bucket", "part", "below", "key").agg(F.sum("size").alias("here"))
     before = F.col("below") + F.sum("here").over(W.partitionBy("no_source", "of").orderBy("key")) - F.col("here")
     bounds = inside.withColumn("before", before).groupBy("no_source", "of").agg(
-        F.max(F.when(2 * F.col("before") + F.col("here") <= 2 * F.col("part"), F.col("key"))).alias("last"),
+        F.max(F.when((F.col("before") < F.col("part")) & (2 * F.col("before") + F.col("here") <= 2 * F.col("part")), F.col("key"))).alias("last"),
         F.min(F.shiftleft(F.col("bucket"), KEY_BITS - BUCKET_BITS) - 1).alias("floor"))
-    # no bucket holds the border: the part is nothing (none taken) or everything
     found = plan.join(bounds, ["no_source", "of"], "left").select(
         "no_source", "of", "source_size", "target", "times",
-        F.when(F.col("part") <= 0, F.lit(-1)).otherwise(F.coalesce("last", "floor", F.lit((1 << KEY_BITS) - 1))).cast("long").alias("bound"))
+        F.when(F.col("part") <= 0, F.lit(-1)).otherwise(F.coalesce("last", "floor")).cast("long").alias("bound"))
     found = durable(found)
     return F.broadcast(found) if found.count() <= SMALL_PLAN else found  # larger ones are left to Spark's skew join
 

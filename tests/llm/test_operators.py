@@ -65,6 +65,24 @@ def test_targets_by_hand(spark):
     assert target == {"a": 200.0, "b": 2745.0, "c": 20.0, None: 800.0}
 
 
+def test_equal_documents_end_on_a_bucket_border(spark):
+    """Sums that hit the fraction exactly, also with documents without a word around the border."""
+    docs = [(i, "w " * 100, "even") for i in range(2)] + [(10 + i, "w " * 50, "many") for i in range(40)] + [(100 + i, "" if i % 3 else "w " * 20, "blank") for i in range(90)]
+    con = duckdb.connect()
+    for names in (["even"], ["many"], ["blank"], ["even", "many", "blank"]):
+        mine = [d for d in docs if d[2] in names]
+        con.execute("CREATE OR REPLACE TABLE documents (doc_id BIGINT, text VARCHAR, source VARCHAR)")
+        con.executemany("INSERT INTO documents VALUES (?, ?, ?)", mine)
+        want = con.execute(queries.ORACLES["op6_water_filling_mix"])
+        columns = [c[0] for c in want.description]
+        frame = spark.createDataFrame(mine, "doc_id long, text string, source string")
+        found = mixing.mix(frame)
+        assert sorted(map(repr, rows(found, *columns))) == sorted(map(repr, want.fetchall()))
+        if len(names) == 1:
+            assert found.agg(F.sum("taken")).first()[0] == 1.5 * sum(len(t.split()) for _, t, _ in mine)
+        assert mixing.mixed_documents(frame).count() == found.agg(F.sum("copies")).first()[0]
+
+
 def test_taken_words_meet_targets(spark):
     hot = spark.range(3000).select(F.col("id").alias("doc_id"), F.expr("repeat('w ', cast(1 + id % 50 as int))").alias("text"),
                                    F.when(F.col("id") % 3 > 0, "hot").otherwise(F.concat(F.lit("s"), F.col("id") % 30)).alias("source"))
