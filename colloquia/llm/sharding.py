@@ -15,6 +15,7 @@ from colloquia.llm.common import durable, pick, ranked, whole
 
 SHARDS = 24
 BITS = 6
+SMALL_RANKS = 10000  # distinct values up to which their ranks are broadcast
 
 
 def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -45,10 +46,12 @@ def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
-def order_number(text: Column) -> Column:
-    """A number that keeps the order of strings by their first seven bytes; null comes first."""
-    first = F.rpad(F.hex(F.substring(F.encode(text, "UTF-8"), 1, 7)), 14, "0")
-    return F.coalesce(F.conv(first, 16, 10).cast("long"), F.lit(-1))
+def value_ranks(rows: DataFrame, name: str) -> DataFrame:
+    """Add ``name``_order: the rank of the whole value among all distinct ones; null comes first."""
+    values = durable(rows.groupBy(name).agg(F.count(F.lit(1)).alias("n")))
+    ranks = durable(ranked(values, name, name=f"{name}_order").select(F.col(name).alias("_value"), f"{name}_order"))
+    side = F.broadcast(ranks) if ranks.count() <= SMALL_RANKS else ranks
+    return rows.join(side, rows[name].eqNullSafe(side["_value"])).drop("_value")
 
 
 def quantised(df: DataFrame, dims: list[str], bits: int = BITS) -> DataFrame:
@@ -63,25 +66,26 @@ def quantised(df: DataFrame, dims: list[str], bits: int = BITS) -> DataFrame:
     return df.withColumns({f"{d}_cell": cell(d) for d in dims})
 
 
+def slim(rows: DataFrame, *more: str) -> DataFrame:
+    text = whole(F.col("text"))
+    return rows.select("doc_id", (F.octet_length(text).cast("long") + 8).alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), "source", "lang", *more)
+
+
 def hilbert_shards(docs: DataFrame, shards: int = SHARDS, bits: int = BITS) -> DataFrame:
     """Deal all documents into ``shards`` runs of the curve over (source, lang, text size).
 
     Returns doc_id, size (UTF-8 bytes plus 8; a null text has none), text_crc32, curve, the
-    three cells, shard and slot. Shard counts differ by one at most (law ``rows``); slots are
+    three cells, shard and slot, besides source and lang and their ranks. Shard counts differ by one at most (law ``rows``); slots are
     gapless from 0. Ties on the curve go by doc_id, then by checksum; equal rows take
     neighbouring slots. Null metadata sort first. An empty table gives no rows.
     """
-    text = whole(F.col("text"))
-    rows = pick(docs, "doc_id", "text", "lang", "source").select(
-        "doc_id", (F.octet_length(text).cast("long") + 8).alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
-        order_number(F.col("source")).alias("source_order"), order_number(F.col("lang")).alias("lang_order"))
-    rows = durable(rows)
+    rows = durable(slim(pick(docs, "doc_id", "text", "lang", "source")))
 
     @F.pandas_udf("long")
     def curve(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
         return pd.Series(hilbert_index(np.stack([a, b, c], axis=1).reshape(-1, 3), bits))
 
-    cells = quantised(rows, ["source_order", "lang_order", "size"], bits)
+    cells = quantised(value_ranks(value_ranks(rows, "source"), "lang"), ["source_order", "lang_order", "size"], bits)
     placed = cells.withColumn("curve", curve("source_order_cell", "lang_order_cell", "size_cell"))
     order = ranked(placed, "curve", "doc_id", "text_crc32", name="place")
     total = max(1, rows.count())
@@ -91,10 +95,11 @@ def hilbert_shards(docs: DataFrame, shards: int = SHARDS, bits: int = BITS) -> D
 
 
 def shard_ranges(sharded: DataFrame) -> DataFrame:
-    """The pruning table: per shard its rows, bytes and the range of every dimension."""
-    dims = ["source_order", "lang_order", "size", "curve"]
+    """The pruning table: per shard its rows, bytes and the range of every dimension, also by its real values (besides nulls)."""
+    dims = ["source_order", "lang_order", "size", "curve", "source", "lang"]
     ends = [f(d).alias(f"{n}_{d}") for d in dims for n, f in (("least", F.min), ("most", F.max))]
-    return sharded.groupBy("shard").agg(F.count(F.lit(1)).alias("rows"), F.sum("size").alias("bytes"), *ends)
+    nulls = [F.count_if(F.col(d).isNull()).alias(f"null_{d}") for d in ("source", "lang")]
+    return sharded.groupBy("shard").agg(F.count(F.lit(1)).alias("rows"), F.sum("size").alias("bytes"), *ends, *nulls)
 
 
 def write_shards(docs: DataFrame, sharded: DataFrame, path: str) -> None:

@@ -47,6 +47,25 @@ def test_shards_are_even_and_prune(spark):
         assert np.mean(read) < 0.65, (dim, np.mean(read))
 
 
+def test_sources_with_one_beginning_stay_apart(spark):
+    docs = spark.range(2400).select(F.col("id").alias("doc_id"), F.expr("repeat('w ', cast(1 + id * 7 % 50 as int))").alias("text"), F.lit("en").alias("lang"),
+                                    F.when(F.col("id") % 9 > 0, F.concat(F.lit("https://site-"), F.col("id") * 5 % 8)).alias("source"))
+    found = sharding.hilbert_shards(docs, 24).toPandas()
+    assert found.groupby("source", dropna=False).source_order.nunique().max() == 1 and found.source_order.nunique() == 9
+    assert found.source_order_cell.nunique() == 9 and (found[found.source.isna()].source_order == 0).all()
+    ranges = sharding.shard_ranges(sharding.hilbert_shards(docs, 24)).toPandas()
+    read = [((ranges.least_source <= f"https://site-{i}") & (ranges.most_source >= f"https://site-{i}")).mean() for i in range(8)]
+    assert np.mean(read) < 0.5 and ranges.null_source.sum() == found.source.isna().sum()
+
+
+@pytest.mark.parametrize("small", [10000, 0])
+def test_ranks_do_not_need_a_broadcast(spark, tricky, monkeypatch, small):
+    monkeypatch.setattr(sharding, "SMALL_RANKS", small)
+    found = sharding.hilbert_shards(tricky, 4).collect()
+    order = sorted({t[3] for t in TRICKY}, key=lambda v: (v is not None, (v or "").encode()))
+    assert Counter((r["source"], r["source_order"]) for r in found) == Counter((t[3], order.index(t[3])) for t in TRICKY)
+
+
 # ---- mixing
 
 def test_mix_equals_its_sql(spark):
