@@ -103,7 +103,19 @@ def shard_ranges(sharded: DataFrame) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, sharded: DataFrame, path: str) -> None:
-    """Write the documents' texts shard by shard, each shard sorted along the curve."""
-    placed = sharded.select("doc_id", "text_crc32", "shard", "slot").dropDuplicates(["doc_id", "text_crc32"])
-    rows = docs.withColumn("text_crc32", F.crc32(F.encode(whole(F.col("text")), "UTF-8"))).join(placed, ["doc_id", "text_crc32"])
-    rows.repartition("shard").sortWithinPartitions("shard", "slot").drop("text_crc32").write.partitionBy("shard").parquet(path)
+    """Write all documents with all columns and their slot shard by shard, each shard sorted along the curve.
+
+    Takes the result of ``hilbert_shards`` on the same rows. Both sides are ranked by what places a
+    row and joined on the rank, so null ids and repeated rows each get a slot of their own.
+    """
+    keys = [k for k in ("doc_id", "text_crc32", "size", "source", "lang") if k in sharded.columns]
+    marks = [f"c{i}" for i in range(len(docs.columns))]
+    flat = docs.toDF(*marks).withColumn("row", F.struct(*marks))
+    named = [F.col(marks[docs.columns.index(n)]).alias(n) for n in ("doc_id", "text", "source", "lang")]
+    rows = ranked(slim(flat.select("row", *named), "row"), *keys, name="place")
+    placed = ranked(sharded.select(*keys, "shard", "slot"), *keys, name="place")
+    sums = [d.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*keys).cast("decimal(38,0)"))).first() for d in (rows, placed)]
+    if tuple(sums[0]) != tuple(sums[1]):
+        raise ValueError("the shards were made of other documents")
+    out = rows.select("row", "place").join(placed.select("place", "shard", "slot"), "place").select("row.*", "shard", "slot")
+    out.repartition("shard").sortWithinPartitions("shard", "slot").toDF(*docs.columns, "shard", "slot").write.partitionBy("shard").parquet(path)

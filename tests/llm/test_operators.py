@@ -66,6 +66,20 @@ def test_ranks_do_not_need_a_broadcast(spark, tricky, monkeypatch, small):
     assert Counter((r["source"], r["source_order"]) for r in found) == Counter((t[3], order.index(t[3])) for t in TRICKY)
 
 
+def test_written_shards_hold_every_row(spark, tmp_path):
+    docs = spark.createDataFrame(TRICKY, "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.union(spark.createDataFrame([(None, "same", "en", None, 4)] * 5 + [(None, None, None, None, None), (3, prose(3, 130), "de", "z", 5)], docs.schema))
+    sharded = sharding.hilbert_shards(docs, 4)
+    sharding.write_shards(docs, sharded, str(tmp_path / "out"))
+    out = spark.read.parquet(str(tmp_path / "out"))
+    assert Counter(rows(out, *docs.columns)) == Counter(rows(docs, *docs.columns))
+    assert Counter(rows(out, "shard", "slot", "doc_id", "source")) == Counter(rows(sharded, "shard", "slot", "doc_id", "source"))
+    for shard, n, last in rows(out.groupBy("shard").agg(F.countDistinct("slot").alias("n"), F.max("slot").alias("last")), "shard", "n", "last"):
+        assert last == n - 1
+    with pytest.raises(ValueError):
+        sharding.write_shards(docs.filter("doc_id is not null"), sharded, str(tmp_path / "other"))
+
+
 # ---- mixing
 
 def test_mix_equals_its_sql(spark):
