@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquia.llm import alignment, language, mixing, neighbours, packing, quality, sharding, simhash, suffixes, toxicity, urls
+from colloquia.llm import alignment, language, mixing, neighbours, packing, quality, secrets, sharding, simhash, suffixes, toxicity, urls
 from colloquia.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -115,3 +115,8 @@ def prefix_free_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op13_token_alignment")
 def token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.usual_links(read(spark, sf_dir, "documents"))
+
+
+@query("op12_trigram_secrets")
+def trigram_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.listed(secrets.find_secrets(read(spark, sf_dir, "documents")))
