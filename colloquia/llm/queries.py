@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquia.llm import alignment, language, mixing, neighbours, packing, quality, secrets, sharding, simhash, suffixes, toxicity, urls
+from colloquia.llm import alignment, language, mixing, neighbours, packing, quality, secrets, sharding, simhash, suffixes, toxicity, trie, urls
 from colloquia.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -120,3 +120,35 @@ def token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_trigram_secrets")
 def trigram_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.listed(secrets.find_secrets(read(spark, sf_dir, "documents")))
+
+
+TRIE_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (
+  SELECT DISTINCT conv_id, (4294967295 - list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), s -> [CAST(ascii(s) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))),
+    (crc, x) -> xor(xor(crc, x) >> 1, 3988292384 * (xor(crc, x) & 1)))) % 4 AS h FROM turns),
+paths AS (
+  SELECT c.conv_id, t.i AS place, t.role, t.text FROM ids c JOIN turns t ON t.conv_id = c.conv_id - c.conv_id % 20 AND t.i <= c.h
+  UNION ALL SELECT c.conv_id, t.i, t.role, t.text FROM ids c JOIN turns t ON t.conv_id = c.conv_id AND t.i > c.h),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY place) AS depth FROM paths),
+keyed AS (
+  SELECT conv_id, depth, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words,
+    string_agg(md5(role) || md5(text), '' ORDER BY depth) OVER (PARTITION BY conv_id ORDER BY depth ROWS UNBOUNDED PRECEDING) AS key FROM placed
+  UNION ALL SELECT conv_id, 0, 0, '' FROM ids),
+nodes AS (SELECT key, min(depth) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, max(words) AS words FROM keyed GROUP BY key),
+rolled AS (
+  SELECT n.*, p.conv_id AS parent_conv_id, (SELECT count(*) FROM nodes c WHERE c.depth = n.depth + 1 AND starts_with(c.key, n.key)) AS n_children
+  FROM nodes n LEFT JOIN nodes p ON n.depth > 0 AND p.key = left(n.key, 64 * (n.depth - 1))),
+above AS (SELECT r.*, left(r.key, 64 * g.d) AS top FROM rolled r, LATERAL (SELECT unnest(generate_series(0, r.depth)) AS d) g),
+sums AS (SELECT top, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((n_convs - 1) * words) AS saved_tokens FROM above GROUP BY top),
+lasts AS (SELECT key, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS ends FROM (SELECT conv_id, arg_max(key, depth) AS key FROM keyed GROUP BY conv_id) GROUP BY key)
+SELECT r.conv_id, CAST(r.depth AS BIGINT) AS depth, r.parent_conv_id, CAST(r.n_convs AS BIGINT) AS n_convs, CAST(r.n_children AS BIGINT) AS n_children, CAST(s.n_leaves AS BIGINT) AS n_leaves,
+  CAST(s.saved_tokens AS BIGINT) AS saved_tokens, sha256(coalesce(l.ends, '')) AS ends_sha256
+FROM rolled r JOIN sums s ON s.top = r.key LEFT JOIN lasts l ON l.key = r.key"""
+
+
+@query("op11_conversation_trie", TRIE_SQL)
+def conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(read(spark, sf_dir, "conversations"))
