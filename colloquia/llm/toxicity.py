@@ -2,7 +2,9 @@
 
 A document is toxic if one of its sentences is: sentence probabilities are combined by
 noisy-or, and the word weights are trained from document labels only. The same sentence
-probabilities then locate the offending sentences.
+probabilities then locate the offending sentences. Length says nothing: a sentence without a
+marking word, or with faint ones only, is harmless for certain, and a document's sentences that hold the same marking
+words count once.
 """
 
 from __future__ import annotations
@@ -21,8 +23,9 @@ from colloquia.llm.language import held_out
 SAMPLE = 2500  # expected number of training documents per label value
 PREFIXES = (5, 6, 7, 8)
 MIN_DOCS, ODDS, SURE = 3, 1.0, 3.0  # a marking word: toxic sample documents, log odds, standard errors
-STEPS, RATE, DECAY, BIAS = 250, 0.3, 0.02, -7.0
+STEPS, RATE, DECAY, BIAS, FLOOR = 250, 0.3, 0.02, -7.0, 0.02  # FLOOR bounds the pull of a document no word of which is known yet
 OFFENDING = 0.3
+LEAST = -2.0  # log odds of a sentence that count at all: faint doubts about many sentences do not add up to a toxic document
 PIECE = 1 << 22  # bytes read at once; pieces end at a sentence end where there is one
 
 
@@ -79,27 +82,32 @@ def pieces(text: str | None) -> Iterator[tuple[int, np.ndarray]]:
         at = stop
 
 
-def noisy_or(q: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
-    """1 - product of the sentences' clean probabilities, per document."""
-    return 1 - np.exp(np.bincount(of, weights=np.log(np.maximum(q, 1e-12)), minlength=n))
+def clean_log(z: np.ndarray, least: float = BIAS) -> np.ndarray:
+    """Logarithm of the probability that a sentence is harmless: 0 where its words do not lift it above ``least``."""
+    return np.minimum(0, np.logaddexp(0, least) - np.logaddexp(0, z))
 
 
-def train(word: np.ndarray, sentence: np.ndarray, of: np.ndarray, label: np.ndarray, vocabulary: int) -> tuple[np.ndarray, float]:
+def alike(sentence: np.ndarray, word: np.ndarray, n: int) -> np.ndarray:
+    """A number per sentence that tells sets of marking words apart."""
+    mixed = (word.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    keys = np.zeros(n, np.uint64)
+    np.add.at(keys, sentence, mixed ^ (mixed >> np.uint64(29)))
+    return keys
+
+
+def train(word: np.ndarray, sentence: np.ndarray, of: np.ndarray, label: np.ndarray, vocabulary: int) -> np.ndarray:
     """Gradient ascent on the noisy-or likelihood. word/sentence: pairs; of: document of each sentence."""
-    weight, bias = np.zeros(vocabulary), BIAS
-    memory, bias_memory = np.full(vocabulary, 1e-8), 1e-8
+    weight, memory = np.zeros(vocabulary), np.full(vocabulary, 1e-8)
     for _ in range(STEPS):
-        z = bias + np.bincount(sentence, weights=weight[word], minlength=len(of))
-        p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        doc = np.clip(noisy_or(1 - p, of, len(label)), 1e-6, 1 - 1e-6)
-        pull = np.where(label[of] == 1, (1 - doc[of]) / doc[of], -1.0) * p  # derivative of the log-likelihood by z
+        z = BIAS + np.bincount(sentence, weights=weight[word], minlength=len(of))
+        doc = np.clip(-np.expm1(np.bincount(of, weights=clean_log(z), minlength=len(label))), FLOOR, 1 - 1e-6)
+        pull = np.where(label[of] == 1, (1 - doc[of]) / doc[of], -1.0) / (1 + np.exp(-np.clip(z, -30, 30)))
+        pull[z < BIAS] = 0  # derivative of the log-likelihood by z
         slope = np.bincount(word, weights=pull[sentence], minlength=vocabulary) - DECAY * weight
         memory += slope * slope
         weight += RATE * slope / np.sqrt(memory)
-        step = pull.sum()
-        bias_memory += step * step
-        bias += RATE * step / np.sqrt(bias_memory)
-    return weight, bias
+    return weight
 
 
 def matches(hashes: np.ndarray, known: np.ndarray, maybe: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -117,15 +125,16 @@ def first_bits(known: np.ndarray) -> np.ndarray:
     return maybe
 
 
-def text_features(text: str | None, known: np.ndarray, maybe: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(sentence numbers, known features), each feature once a sentence, and the last row the number of sentences."""
-    pairs, passed = [np.empty((2, 0), np.int64)], 0
-    for _, data in pieces(text):
+def text_features(text: str | None, known: np.ndarray, maybe: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Piece by piece: (sentence, known feature) pairs of the sentences that hold one, each pair
+    once and sentences numbered anew, then where these sentences begin and end in the text."""
+    for at, data in pieces(text):
         hashes, number, ends = sentence_words(data)
         row, spot = matches(hashes, known, maybe)
-        pairs.append(np.unique(np.stack([number[row] + passed, spot]), axis=1))
-        passed += len(ends)
-    return np.concatenate(pairs, axis=1), passed
+        pair = np.unique(np.stack([number[row], spot]), axis=1)
+        held, sentence = np.unique(pair[0], return_inverse=True)
+        begin = np.concatenate([[0], ends[:-1]])
+        yield sentence, pair[1], at + begin[held], at + ends[held]
 
 
 def vocabulary(chosen: DataFrame) -> np.ndarray:
@@ -158,8 +167,8 @@ def vocabulary(chosen: DataFrame) -> np.ndarray:
     return np.sort(marking.union(under).distinct().toArrow()["word"].to_numpy().view(np.uint64))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray, float]:
-    """Sorted word hashes, their weights and the bias, from about ``sample`` documents per label value.
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted word hashes and their weights, from about ``sample`` documents per label value.
 
     The sample depends only on a hash of the id. Words are counted and selected in Spark; only
     the places of selected words in sample documents come to the driver.
@@ -168,7 +177,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.nd
     marked = marked.groupBy("doc_id").agg(F.max("toxic").cast("long").alias("toxic"))
     sizes = {r["toxic"]: r["n"] for r in marked.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes.get(1):
-        return np.empty(0, np.uint64), np.empty(0), -30.0
+        return np.empty(0, np.uint64), np.empty(0)
     limit = lambda t: F.lit(int(min(1, sample / max(1, sizes.get(t, 0))) * (1 << 31)))
     taken = marked.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)) <= F.when(F.col("toxic") == 1, limit(1)).otherwise(limit(0)))
     chosen = durable(pick(docs, "doc_id", "text").join(F.broadcast(taken), "doc_id").select("text", "toxic"))  # about 2 * sample rows
@@ -179,28 +188,29 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.nd
         for batch in batches:
             rows = []
             for text, toxic in zip(batch.column(0), batch.column(1).to_pylist()):
-                pair, n = text_features(text.as_py(), known, maybe)
-                rows.append((pair[0].tolist(), pair[1].tolist(), n, toxic))
-            cols = list(zip(*rows)) or [[]] * 4
-            types = (pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["sentences", "features", "n", "toxic"])
-
-    got = chosen.mapInArrow(places, "sentences array<long>, features array<long>, n long, toxic long").orderBy("n", "toxic", F.xxhash64("sentences", "features")).toArrow()
-    counts = got["n"].to_numpy()
-    if not counts.sum():
-        return known[:0], np.empty(0), -30.0
-    base = np.concatenate([[0], np.cumsum(counts)[:-1]])
-    flat = lambda c: np.concatenate([np.asarray(v, np.int64) for v in got[c].to_pylist()] or [np.empty(0, np.int64)])
-    each = np.array([len(v) for v in got["features"].to_pylist()])
-    weight, bias = train(flat("features"), flat("sentences") + np.repeat(base, each), np.repeat(np.arange(len(counts)), counts), got["toxic"].to_numpy(), len(known))
-    return known, weight, float(bias)
-
-
-def score(docs: DataFrame, known: np.ndarray, weight: np.ndarray, bias: float) -> DataFrame:
+                seen: dict[int, list[int]] = {}
+                for sentence, feature, begin, _ in text_features(text.as_py(), known, maybe):
+                    keys, bounds = alike(sentence, feature, len(begin)), np.searchsorted(sentence, np.arange(len(begin) + 1))
+                    for i in np.unique(keys, return_index=True)[1].tolist():
+                        seen.setdefault(int(keys[i]), feature[bounds[i]:bounds[i + 1]].tolist())
+                rows.append((sorted(seen.values()), toxic))
+            cols = list(zip(*rows)) or [[]] * 2
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.list_(pa.list_(pa.int64()))), pa.array(cols[1], pa.int64())], ["sentences", "toxic"])
+
+    got = chosen.mapInArrow(places, "sentences array<array<long>>, toxic long").orderBy("toxic", F.xxhash64("sentences")).toArrow()
+    sentences = [(doc, features) for doc, each in enumerate(got["sentences"].to_pylist()) for features in each]
+    if not sentences:
+        return known[:0], np.empty(0)
+    word = np.concatenate([np.asarray(f, np.int64) for _, f in sentences])
+    number = np.repeat(np.arange(len(sentences)), [len(f) for _, f in sentences])
+    return known, train(word, number, np.array([d for d, _ in sentences]), got["toxic"].to_numpy(), len(known))
+
+
+def score(docs: DataFrame, known: np.ndarray, weight: np.ndarray) -> DataFrame:
     """doc_id, score and the offending sentences (byte range in the UTF-8 text, probability) of every document.
 
-    Null and empty texts have no sentence, so their score is 0. Long texts are read piece by
-    piece; the score is of the whole text.
+    Null and empty texts have no sentence, so their score is 0, like that of any text without a
+    marking word, however long. Long texts are read piece by piece; the score is of the whole text.
     """
     kind = "doc_id long, score double, offending array<struct<start:long,end:long,score:double>>"
     model = docs.sparkSession.sparkContext.broadcast((known, weight))  # words of the bounded sample
@@ -212,16 +222,15 @@ def score(docs: DataFrame, known: np.ndarray, weight: np.ndarray, bias: float) -
         for batch in batches:
             scores, found = [], []
             for text in batch.column(1):
-                clean, bad = 0.0, []
-                for at, data in pieces(text.as_py()):
-                    hashes, number, ends = sentence_words(data)
-                    row, spot = matches(hashes, known, maybe)
-                    pair = np.unique(np.stack([number[row], spot]), axis=1)
-                    z = bias + np.bincount(pair[0], weights=weight[pair[1]], minlength=len(ends))
-                    clean -= np.logaddexp(0, z).sum()
-                    p = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
-                    begin = np.concatenate([[0], ends[:-1]])
-                    bad += [{"start": int(at + begin[i]), "end": int(at + ends[i]), "score": float(p[i])} for i in np.flatnonzero(p >= OFFENDING)]
+                clean, bad, seen = 0.0, [], set()
+                for sentence, feature, begin, end in text_features(text.as_py(), known, maybe):
+                    z = BIAS + np.bincount(sentence, weights=weight[feature], minlength=len(begin))
+                    log, keys = clean_log(z, LEAST), alike(sentence, feature, len(begin)).tolist()
+                    for i in np.flatnonzero(log < 0).tolist():
+                        clean += 0 if keys[i] in seen else log[i]
+                        seen.add(keys[i])
+                    p = -np.expm1(log)
+                    bad += [{"start": int(begin[i]), "end": int(end[i]), "score": float(p[i])} for i in np.flatnonzero(p >= OFFENDING)]
                 scores.append(float(-np.expm1(clean)))
                 found.append(bad)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(found, spans)], ["doc_id", "score", "offending"])

@@ -492,5 +492,47 @@ def test_noisy_or_learns_the_word_from_document_labels():
             sentence += [n] * (6 + (1 if label[-1] and s == bad else 0))
             of.append(d)
             n += 1
-    weight, bias = toxicity.train(np.array(word), np.array(sentence), np.array(of), np.array(label), 30)
-    assert weight[0] > 5 and np.abs(weight[1:]).max() < weight[0] / 2 and bias < -2
+    weight = toxicity.train(np.array(word), np.array(sentence), np.array(of), np.array(label), 30)
+    assert weight[0] > 5 and np.abs(weight[1:]).max() < weight[0] / 2
+
+
+def test_length_is_no_toxicity(spark):
+    """100,000 harmless sentences stay harmless, whatever their words; one offending sentence among them is found."""
+    docs, marked = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    label = {d: t for d, _, t in table("labels", "/root/testdata/sf0.1")}
+    texts = {d: t for d, t, *_ in table("documents", "/root/testdata/sf0.1")}
+    known, weight = toxicity.fit(docs, marked)
+    alone = {r["doc_id"] for r in toxicity.score(docs, known, weight).filter("score < 0.1").collect()}
+    clean = " ".join(texts[d].replace("\n", " ") for d in sorted(texts) if label.get(d) == 0 and d in alone)
+    sentences = [s for s in clean.split(". ") if s]
+    long = ". ".join((sentences * (100_000 // len(sentences) + 1))[:100_000])
+    rude = "You are a pathetic idiot and worthless trash"
+    rows = [(1, "The cat sat on the mat. " * 100_000), (2, long), (3, long + ". " + rude + ". " + "The cat sat. " * 5), (4, rude), (5, (rude + ". ") * 3), (6, "")]
+    found = {r["doc_id"]: r for r in toxicity.score(spark.createDataFrame(rows, "doc_id long, text string"), known, weight).collect()}
+    assert found[1]["score"] == found[6]["score"] == 0.0 and not found[1]["offending"]
+    assert found[2]["score"] < 0.3 < found[3]["score"] and found[4]["score"] > 0.3
+    assert found[5]["score"] == pytest.approx(found[4]["score"]) and len(found[5]["offending"]) == 3
+    assert [s["start"] >= len(long.encode()) for s in found[3]["offending"]].count(True) == 1
+
+
+def test_scores_equal_plain_noisy_or(spark):
+    """Scores and offending sentences of whole texts from the weights, by plain loops over sentences and words."""
+    hashed = lambda part: toxicity.sentence_words(np.frombuffer(part.encode(), np.uint8))[0]
+    texts = [t for _, t, *_ in table("documents", SMALL)][:40] + ["alpha beta! alpha beta! gamma. ", "alpha", "x"]
+    known = np.unique(np.concatenate([hashed(w)[:, 0] for w in sorted({w for t in texts for w in re.findall(r"[a-z]{4,}", t.lower())})]))
+    weight = np.random.default_rng(2).uniform(-3, 6, len(known))
+    of_word = dict(zip(known.tolist(), weight.tolist()))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    found = {r["doc_id"]: r for r in toxicity.score(frame, known, weight).collect()}
+    for i, text in enumerate(texts):
+        clean, seen, offending = 1.0, set(), 0
+        for part in re.split(r"(?<=[\n!.?])", text):
+            features = frozenset(h for h in hashed(part).ravel().tolist() if h in of_word)
+            odds = toxicity.BIAS + sum(of_word[h] for h in features)
+            if odds > toxicity.LEAST:
+                p = 1 - (1 - 1 / (1 + np.exp(-odds))) / (1 - 1 / (1 + np.exp(-toxicity.LEAST)))
+                clean *= 1 if features in seen else 1 - p
+                offending += p >= 0.3
+                seen.add(features)
+        assert found[i]["score"] == pytest.approx(1 - clean, abs=1e-9) and len(found[i]["offending"]) == offending
+    assert sum(r["score"] > 0.3 for r in found.values()) > 5
