@@ -20,9 +20,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return tune(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """Rows dealt evenly over the tasks, whatever the files are like. With a number, adaptive
+    execution leaves the partitions apart: text work is CPU, however few bytes it reads."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.col(key))
+
+
 def texts(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
-    """A text table dealt evenly over the tasks, whatever its files are like."""
-    return table(spark, sf_dir, name).repartition(F.col(key))
+    return dealt(table(spark, sf_dir, name), key)
 
 
 def _group(column: str):
@@ -45,7 +50,8 @@ def heads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     bodies = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return heads(spark, sf_dir).join(bodies, "doc_id", "left").withColumn("text", F.coalesce("text", F.lit("")))
+    # dealt before the join: a filter on the text would move in front of a later shuffle
+    return dealt(heads(spark, sf_dir), "row_id").join(bodies, "doc_id", "left").withColumn("text", F.coalesce("text", F.lit("")))
 
 
 def scan_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
