@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
 from colloquia.functions import text as tx
@@ -12,8 +14,10 @@ from colloquia.operators import upserts as up
 from colloquia.plans import views as v
 from colloquia.plans.content_queries import SPACE, rep, trim_sql
 from colloquia.plans.media_queries import FILES, files
-from colloquia.plans.registry import query
+from colloquia.plans.registry import ORACLES, query
 from colloquia.plans.views import START, duck
+from colloquia.session import shared_folder
+from colloquia.sources.lake import BATCH, EventLake, KeyedTable
 
 
 def tags(s, d):
@@ -263,6 +267,32 @@ def request_delta(s, d):
 
 query("upsert_requests", duck("requests", "SELECT group_id, ask_row_id, image_hash, answer_kind, answer_text, 'low' AS confidence, 'g' AS group_name FROM requests"))(
     lambda s, d: up.upsert_requests(request_rows(s, d), request_delta(s, d)).select("group_id", "ask_row_id", "image_hash", "answer_kind", "answer_text", "confidence", "group_name"))
+
+
+def stored_twice(s, d):
+    """Requests folded bucket by bucket into a keyed table, then their later scan."""
+    table = KeyedTable(f"{shared_folder(s)}/requests-{uuid4().hex}", ("group_id", "ask_row_id"), 32)
+    rows = request_rows(s, d)
+    table.upsert(rows.withColumn("seq", F.lit(0).cast("long")), up.upsert_requests, rows)
+    table.upsert(request_delta(s, d), up.upsert_requests, rows)
+    return table.read(s, rows)
+
+
+query("upsert_requests_by_bucket", ORACLES["upsert_requests"])(
+    lambda s, d: stored_twice(s, d).select("group_id", "ask_row_id", "image_hash", "answer_kind", "answer_text", "confidence", "group_name"))
+
+
+def appended(s, d):
+    """The message lake after two batches: what was stored, and what the delta adds."""
+    lake, new = EventLake(f"{shared_folder(s)}/messages-{uuid4().hex}"), delta(s, d)
+    old = v.heads(s, d).filter("input_order % 5 = 0").withColumn("text", F.lit("")).select(*[c for c in new.columns])
+    lake.append(old, lambda stored, rows: rows, 0)
+    lake.append(new, up.ingest_messages, 1)
+    return lake.read(s, new).filter(F.col(BATCH) == 1)
+
+
+query("ingest_into_lake", ORACLES["ingest_messages"])(
+    lambda s, d: appended(s, d).select("group_id", "row_id", F.when(F.col("text").contains("\x07"), "bell").otherwise(F.col("text")).alias("text")))
 query("invalid_answers", duck("requests", "SELECT ask_row_id, 'media-missing' AS reason FROM requests WHERE answer_kind='media'"))(
     lambda s, d: up.invalid_answers(request_rows(s, d).withColumn("answer_media", F.array().cast("array<struct<hash:string>>"))).select("ask_row_id", "reason"))
 

@@ -38,13 +38,11 @@ def build_session(name: str = "colloquia", master: str | None = None, shuffle_pa
     return tune(builder.getOrCreate())
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and cut its lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the cluster's ``spark.checkpoint.dir``.
 
-    The folder is the cluster's ``spark.checkpoint.dir``, so a lost executor never loses the
-    cut. Only a local master may do without: executors of a cluster cannot share a private folder.
+    Only a local master may do without: executors of a cluster cannot share a private folder.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -53,4 +51,11 @@ def durable(df: DataFrame) -> DataFrame:
                 raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="spark-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the shared checkpoint folder and cut its lineage, so that a lost
+    executor never loses the cut."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -17,6 +17,7 @@ from colloquia.functions.asks import looks_like_prompt
 from colloquia.functions.text import clean_extracted
 from colloquia.operators.upserts import append_coverage, ingest_messages, upsert_names
 from colloquia.sources.exports import explode_exports, parse_exports
+from colloquia.sources.lake import EventLake, KeyedTable
 
 LATE_SECONDS = 600  # scans overlap by ten minutes, so rows can come that late
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -39,43 +40,31 @@ def first_of_each(messages: DataFrame, late: int = LATE_SECONDS) -> DataFrame:
 def ingest_stream(documents: DataFrame, lake: str, checkpoint: str) -> StreamingQuery:
     """Fold export documents into the Parquet lake.
 
-    Every batch writes to its own ``batch=<id>`` folder in overwrite mode and reads only the
-    batches before it, so a batch that is run again after a failure gives the same rows.
+    Messages go to an ``EventLake``: a batch opens the (group bucket, day) folders its rows fall
+    into, and others only where a membership sketch has all bits of one of its keys, so what
+    it reads depends on the batch and not on the lake. Names are a keyed table of which only
+    the mentioned buckets are rewritten. Coverage is one folder per batch. A batch that is run
+    again after a failure gives the same rows.
     """
     def fold(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
         tables = explode_exports(parse_exports(batch))
-
-        def before(name: str, like: DataFrame) -> DataFrame:
-            schema = T.StructType([*like.schema.fields, T.StructField("batch", T.LongType())])
-            if not exists(spark, f"{lake}/{name}"):  # nothing was written yet; any other failure to read must rise
-                return like.limit(0)
-            stored = spark.read.schema(schema).parquet(f"{lake}/{name}")
-            return stored.filter(F.col("batch") < batch_id)
-
         columns = ["group_id", "row_id", "sent_at", "speaker", "text", "is_media", "media_kinds", "speaker_uin"]
         delta = tables["text"].select(*columns, "file", "input_order").unionByName(tables["media"].select(*columns, "file", "input_order"))
-        fresh = ingest_messages(before("messages", delta.select(*columns)).select(*columns), delta.withColumn("input_order", F.struct("file", "input_order"))).select(*columns)
-        fresh.write.mode("overwrite").parquet(f"{lake}/messages/batch={batch_id}")
+        delta = delta.withColumn("input_order", F.struct("file", "input_order")).drop("file")
+        message_lake(lake).append(delta, lambda stored, new: ingest_messages(stored, new).select(*columns), batch_id)
         append_coverage(tables["scans"]).write.mode("overwrite").parquet(f"{lake}/scan_ranges/batch={batch_id}")
         names = tables["names"]
-        known = before("group_names", names.select("group_id", "name"))
-        known = (current_names(known) if "batch" in known.columns else known).join(names.select("group_id"), "group_id", "left_semi")
-        # a batch writes the merged name of each group it mentions, so the newest batch of a group is its name
-        upsert_names(known, names).write.mode("overwrite").parquet(f"{lake}/group_names/batch={batch_id}")
+        name_table(lake).upsert(names.withColumn("seq", F.col("seq").cast("long")), upsert_names, names.select("group_id", "name"))
 
     return documents.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    """Whether a folder is there, in whatever file system the path names."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+def message_lake(lake: str) -> EventLake:
+    return EventLake(f"{lake}/messages")
 
 
-def current_names(stored: DataFrame) -> DataFrame:
-    """Name of each group from the lake's (group_id, name, batch) rows."""
-    return stored.groupBy("group_id").agg(F.max_by("name", "batch").alias("name"))
+def name_table(lake: str) -> KeyedTable:
+    return KeyedTable(f"{lake}/group_names", ("group_id",), 64)
 
 
 def slot_activity_stream(messages: DataFrame, slot: int, offset: int = 0, late: int = LATE_SECONDS) -> DataFrame:

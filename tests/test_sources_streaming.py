@@ -98,7 +98,8 @@ def test_ingest_stream_equals_batch_and_repeats_are_harmless(spark, tmp_path):
         query.awaitTermination()
         write_docs(tmp_path / "in", docs[1:], "later")
         del step
-    got = spark.read.parquet(f"{tmp_path}/lake/messages")
+    got = spark.read.parquet(inc.message_lake(f"{tmp_path}/lake").rows_path)
+    assert [tuple(r) for r in inc.name_table(f"{tmp_path}/lake").read(spark, spark.createDataFrame([], "group_id string, name string")).collect()] == [("1", "name 1")]
     assert got.count() == 6 and got.select("row_id").distinct().count() == 6
     assert {(r.start_unix, r.end_unix) for r in intervals.merge_intervals(spark.read.parquet(f"{tmp_path}/lake/scan_ranges")).collect()} == {(100, 250)}
 
