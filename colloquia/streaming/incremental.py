@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -111,6 +112,84 @@ def answer_pairs(asks: DataFrame, messages: DataFrame, window: int = fv.ANSWER_W
     return left.join(right, near).drop("g", "ask_ts", "answer_ts")
 
 
+class FirstAnswers(StatefulProcessor):
+    """First answer of every ask of one (group, window-wide bucket), told once the watermark has passed all that could answer.
+
+    State: the asks of the bucket, and per second of it and the next one the first candidate
+    and the first of another sender. That is all any ask can need, so a busy second costs its
+    rows and never their product. A timer ends the bucket and clears its state.
+    """
+
+    def __init__(self, window: int) -> None:
+        self.window = window
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.asks = handle.getMapState("asks", "row_id string", "sent_at long, sender string")
+        self.seconds = handle.getMapState("seconds", "sent_at long", "ord_1 long, sender_1 string, text_1 string, ord_2 long, sender_2 string, text_2 string")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        for frame in rows:
+            for ask in frame[frame["is_ask"]].itertuples():
+                self.asks.updateValue((ask.row_id,), (int(ask.sent_at), ask.sender))
+            said = frame[~frame["is_ask"]].sort_values(["sent_at", "ord"], kind="stable").drop_duplicates(["sent_at", "sender"])
+            for second, group in said.groupby("sent_at").head(2).groupby("sent_at"):
+                found = [(int(c.ord), c.sender, c.text) for c in group.itertuples()]
+                if self.seconds.containsKey((int(second),)):
+                    known = self.seconds.getValue((int(second),))
+                    found += [tuple(known[:3])] + ([tuple(known[3:])] if known[3] is not None else [])
+                found.sort(key=lambda c: c[0])
+                other = next((c for c in found if c[1] != found[0][1]), (None, None, None))
+                self.seconds.updateValue((int(second),), (*found[0], *other))
+        self.handle.registerTimer((int(key[1]) + 2) * self.window * 1000)
+        return iter([])
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        candidates = sorted((int(k[0]), tuple(v)) for k, v in self.seconds.iterator())
+        # from each second on: the nearest candidate and the nearest of another sender
+        ahead: list[tuple[tuple, tuple | None]] = []
+        for second, c in reversed(candidates):
+            one = (second, c[1], c[2])
+            two = (second, c[4], c[5]) if c[3] is not None else None
+            if two is None and ahead:
+                two = next((x for x in ahead[-1] if x is not None and x[1] != one[1]), None)
+            ahead.append((one, two))
+        ahead.reverse()
+        times, out = [second for second, _ in candidates], []
+        for (row_id,), (sent_at, sender) in self.asks.iterator():
+            at = bisect_left(times, sent_at)
+            best = None
+            if at < len(times):
+                one, two = ahead[at]
+                best = two if sender and one[1] == sender else one
+            if best is None or best[0] - sent_at > self.window:
+                best = (None, None, None)
+            out.append((key[0], row_id, int(sent_at), sender, *best))
+        self.asks.clear()
+        self.seconds.clear()
+        frame = pd.DataFrame(out, columns=["group_id", "ask_row_id", "ask_at", "asker", "answer_at", "answer_sender", "text"])
+        yield frame.astype({"answer_at": "Int64"})
+
+    def close(self) -> None:
+        pass
+
+
+def first_answers_stream(asks: DataFrame, messages: DataFrame, window: int = fv.ANSWER_WINDOW, late: int = LATE_SECONDS) -> DataFrame:
+    """Every ask once, with the first prompt-shaped text of somebody else within ``window`` seconds, or nulls.
+
+    The streaming form of ``first_answer``: a row comes out when the watermark has passed its
+    bucket's last possible answer. Candidates go to their own and the previous bucket, asks to
+    their own. Needs the RocksDB state store (``STATE_STORE``).
+    """
+    bucket = F.floor(F.col("sent_at") / window).cast("long")
+    texts = messages.withColumn("text", clean_extracted("text")).filter(looks_like_prompt("text"))
+    null = F.lit(None)
+    left = with_time(asks, late=late).select("group_id", bucket.alias("bucket"), F.lit(True).alias("is_ask"), "row_id", "sent_at", "sender", null.cast("long").alias("ord"), null.cast("string").alias("text"), "ts")
+    right = with_time(texts, late=late).select("group_id", F.explode(F.array(bucket, bucket - 1)).alias("bucket"), F.lit(False).alias("is_ask"), null.cast("string").alias("row_id"), "sent_at", "sender", F.col("input_order").alias("ord"), "text", "ts")
+    return left.unionByName(right).groupBy("group_id", "bucket").transformWithStateInPandas(
+        statefulProcessor=FirstAnswers(window), outputStructType="group_id string, ask_row_id string, ask_at long, asker string, answer_at long, answer_sender string, text string", outputMode="Append", timeMode="EventTime")
+
+
 def earliest_answers(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("group_id", "ask_row_id", "ask_at").agg(F.min_by(F.struct("answer_at", "answer_sender", "text"), F.struct("answer_at", "answer_order")).alias("a")).select("group_id", "ask_row_id", "ask_at", "a.*")
 
