@@ -120,6 +120,19 @@ def ordinal(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str
     return placed.join(offsets, same).select(*[F.col(c) for c in df.columns], (F.col("_at") + F.col("_add")).cast("long").alias(name))
 
 
+def positions(ordered: DataFrame, name: str = "position") -> DataFrame:
+    """1-based place of every row of a globally ordered frame, as it stands: rows keep their
+    partition and place, and one count a partition gives the offsets."""
+    at = durable(ordered).withColumn("_at", F.monotonically_increasing_id())
+    part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    starts, total = [], 0
+    for row in sorted(at.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()):
+        starts.append((row["part"], total))
+        total += row["n"]
+    offsets = ordered.sparkSession.createDataFrame(starts or [(0, 0)], "_part long, _start long")
+    return at.withColumn("_part", part).join(F.broadcast(offsets), "_part").withColumn(name, F.col("_start") + place + 1).drop("_part", "_start", "_at")
+
+
 def first_after(probes: DataFrame, candidates: DataFrame, window: int) -> DataFrame:
     """As-of join: the first candidate in ``[t, t+window]`` sent by somebody else.
 

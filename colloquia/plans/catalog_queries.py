@@ -11,6 +11,7 @@ from colloquia.functions import values as val
 from colloquia.operators import catalog as cat
 from colloquia.operators import export as ex
 from colloquia.operators import upserts as up
+from colloquia.operators.ordered import positions
 from colloquia.plans import views as v
 from colloquia.plans.content_queries import SPACE, rep, trim_sql
 from colloquia.plans.media_queries import FILES, files
@@ -84,14 +85,14 @@ RECENCY = "coalesce((SELECT max(sent_at) FROM sightings x WHERE x.hash=i.hash),
 ORDERS = {"recent": f"{RECENCY} DESC, parsed_at DESC, hash DESC", "oldest": f"{RECENCY}, parsed_at, hash", "asked": "(SELECT count(*) FROM requests r WHERE r.image_hash=i.hash) DESC, file_mtime DESC, hash DESC",
           "loras": "(SELECT count(*) FROM image_loras l WHERE l.hash=i.hash) DESC, file_mtime DESC, hash DESC", "largest": "file_size DESC, hash DESC", "promptLength": "length(prompt) DESC, hash DESC"}
 for _mode, _order in ORDERS.items():
-    query(f"catalog_sort_{_mode}", duck("images sightings image_loras requests", f"SELECT hash FROM images i ORDER BY {_order} LIMIT 60 OFFSET 30"))(
-        lambda s, d, m=_mode: cat.catalog_page(v.images(s, d), m, v.image_loras(s, d), v.sightings(s, d), requests(s, d), None, 30)[0].select("hash"))
-query("catalog_page", duck(CATALOG, f"SELECT hash, file_size FROM images i WHERE generator='nai' ORDER BY {ORDERS['largest']} LIMIT 200 OFFSET 10"))(
-    lambda s, d: cat.catalog_page(filtered(s, d, {"generators": ["nai"]}), "largest", v.image_loras(s, d), v.sightings(s, d), requests(s, d), 999, 10)[0].select("hash", "file_size"))
+    query(f"catalog_sort_{_mode}", duck("images sightings image_loras requests", f"SELECT *, row_number() OVER () AS position FROM (SELECT hash FROM images i ORDER BY {_order} LIMIT 60 OFFSET 30)"))(
+        lambda s, d, m=_mode: positions(cat.catalog_page(v.images(s, d), m, v.image_loras(s, d), v.sightings(s, d), requests(s, d), None, 30)[0]).select("hash", "position"))
+query("catalog_page", duck(CATALOG, f"SELECT *, row_number() OVER () AS position FROM (SELECT hash, file_size FROM images i WHERE generator='nai' ORDER BY {ORDERS['largest']} LIMIT 200 OFFSET 10)"))(
+    lambda s, d: positions(cat.catalog_page(filtered(s, d, {"generators": ["nai"]}), "largest", v.image_loras(s, d), v.sightings(s, d), requests(s, d), 999, 10)[0]).select("hash", "file_size", "position"))
 query("catalog_total", duck("images", "SELECT count(*) AS total FROM images WHERE generator='nai'"))(
     lambda s, d: cat.catalog_page(filtered(s, d, {"generators": ["nai"]}), "largest", v.image_loras(s, d), v.sightings(s, d), requests(s, d))[1])
-query("export_rows", duck("images sightings", f"SELECT hash, CASE WHEN file_missing<>1 AND file_path<>'' THEN file_path ELSE object_path END AS export_path FROM images i ORDER BY {ORDERS['recent']} LIMIT 100000"))(
-    lambda s, d: cat.export_rows(v.images(s, d), "recent", v.image_loras(s, d), v.sightings(s, d), requests(s, d)).select("hash", "export_path"))
+query("export_rows", duck("images sightings", f"SELECT *, row_number() OVER () AS position FROM (SELECT hash, CASE WHEN file_missing<>1 AND file_path<>'' THEN file_path ELSE object_path END AS export_path FROM images i ORDER BY {ORDERS['recent']})"))(
+    lambda s, d: positions(cat.export_rows(v.images(s, d), "recent", v.image_loras(s, d), v.sightings(s, d), requests(s, d))).select("hash", "export_path", "position"))
 
 REASON = """SELECT hash, generator, CASE WHEN hash IN (SELECT hash FROM sightings) THEN 'attributed' WHEN object_path='' AND file_missing=1 THEN 'evicted' WHEN object_path='' AND file_path='' THEN 'unavailable'
   WHEN file_mtime>0 AND EXISTS (SELECT 1 FROM allr r WHERE i.file_mtime BETWEEN r.a AND r.b) THEN 'not-in-messages' ELSE 'outside-coverage' END AS reason FROM images i"""

@@ -10,6 +10,7 @@ from colloquia.functions import media as fm
 from colloquia.functions import values as val
 from colloquia.operators import media as md
 from colloquia.operators import pairing as pr
+from colloquia.operators.ordered import positions
 from colloquia.plans import views as v
 from colloquia.plans.content_queries import PAGE_TEXT, SPACE, local_sql, page_text, trim_sql
 from colloquia.plans.coverage_queries import _RANGE, R0, R1, _range
@@ -80,8 +81,8 @@ query("media_filter_primary", duck("media_index", f"SELECT web_path FROM f WHERE
 query("media_filter_all", duck("media_index", f"SELECT web_path FROM f WHERE {_FILTER}", f=FLAGGED))(
     lambda s, d: md.media_filter(md.flag_duplicates(v.media_index(s, d)), "1009", "image", "USER-", R0, END, False).select("web_path"))
 for _mode, _order in {"time-desc": "sent_at DESC", "time-asc": "sent_at", "size-desc": "bytes DESC, sent_at DESC"}.items():
-    query(f"media_sort_{_mode.replace('-', '_')}", duck("media_index", f"SELECT web_path, bytes FROM media_index"))(
-        lambda s, d, m=_mode: md.media_sort(v.media_index(s, d), m).select("web_path", "bytes"))
+    query(f"media_sort_{_mode.replace('-', '_')}", duck("media_index", f"SELECT web_path, bytes, row_number() OVER (ORDER BY {_order}, input_order) AS position FROM media_index"))(
+        lambda s, d, m=_mode: positions(md.media_sort(v.media_index(s, d), m)).select("web_path", "bytes", "position"))
 query("media_summary", duck("media_index", "SELECT count(*) AS item_count, count(DISTINCT group_id) AS group_count, count(DISTINCT speaker) AS speaker_count, min(sent_at) AS first_unix, max(sent_at) AS last_unix, CAST(sum(bytes) AS BIGINT) AS total_bytes FROM media_index"))(
     lambda s, d: md.media_summary(v.media_index(s, d)))
 query("media_by_day", duck("media_index", f"SELECT substr({local_sql('sent_at')},1,10) AS day, count(*) AS item_count, CAST(sum(bytes) AS BIGINT) AS total_bytes FROM media_index GROUP BY 1"))(lambda s, d: md.by_day(v.media_index(s, d)))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
 from colloquia.functions import params as pm
@@ -20,6 +22,7 @@ from colloquia.plans.content_queries import members, partial_answers
 from colloquia.plans.media_queries import FILES, files
 from colloquia.plans.registry import ORACLES, query
 from colloquia.plans.views import START, duck
+from colloquia.session import shared_folder
 from colloquia.sources import exports as src
 
 
@@ -149,6 +152,17 @@ def exploded(s, d):
 
 query("read_exports", duck("heads", "SELECT group_id, row_id, sent_at, speaker, CASE WHEN is_media=1 THEN row_id || '.png' ELSE 'text ' || row_id END AS text, is_media, media_kinds FROM heads"))(
     lambda s, d: exploded(s, d)["text"].unionByName(exploded(s, d)["media"]).select("group_id", "row_id", "sent_at", "speaker", "text", "is_media", "media_kinds"))
+
+
+def exports_in_splits(s, d):
+    """The documents as files, each read in splits."""
+    folder = f"{shared_folder(s)}/exports-{uuid4().hex}"
+    export_docs(s, d).repartition("file").write.partitionBy("file").text(folder)
+    return src.read_exports(s, f"{folder}/*", whole=0)
+
+
+query("read_exports_in_splits", ORACLES["read_exports"])(
+    lambda s, d: (lambda t: t["text"].unionByName(t["media"]))(exports_in_splits(s, d)).select("group_id", "row_id", "sent_at", "speaker", "text", "is_media", "media_kinds"))
 query("export_coverage", duck("heads", f"SELECT group_id, {START}+day*86400+CASE WHEN day%3=2 THEN 3600 ELSE 0 END AS start_unix, {START}+(day+1)*86400 AS end_unix FROM (SELECT DISTINCT group_id, (sent_at-{START})//86400 AS day FROM heads) WHERE day%3<>1"))(
     lambda s, d: up.append_coverage(exploded(s, d)["scans"]).select("group_id", "start_unix", "end_unix"))
 

@@ -69,8 +69,8 @@ def test_sinks(spark, tmp_path):
     assert text[1] == '"h","\'=x","","g","none","c","a | b","1","2","\'-s","q""n","3","p",""'
     sinks.write_jsonl(df, f"{tmp_path}/j")
     assert spark.read.json(f"{tmp_path}/j").first().loras == ["a", "b"]
-    sinks.write_sidecars(spark.createDataFrame([("a.txt", "one"), ("b.txt", "two")], "path string, content string"), f"{tmp_path}/s")
-    assert {(r.path, r.value) for r in spark.read.text(f"{tmp_path}/s").collect()} == {("a.txt", "one"), ("b.txt", "two")}
+    sinks.write_report({"lines": lines}, f"{tmp_path}/by", {"lines": ["day"]})
+    assert spark.read.parquet(f"{tmp_path}/by/lines").filter("day = '2024-01-01'").count() == 2 and (tmp_path / "by" / "lines" / "day=2024-01-02").is_dir()
     sinks.write_lines(lines, ["sent_at"], f"{tmp_path}/l")
     assert spark.read.text(f"{tmp_path}/l").count() == 3
 
@@ -153,3 +153,20 @@ def test_a_late_earlier_answer_replaces_the_stored_one(spark):
     second = merge_answers(first, late)
     assert sorted((r.ask_row_id, r.answer_at, r.text) for r in second.collect()) == [("1", 20, "early"), ("2", 30, "own")]
     assert sorted(map(tuple, merge_answers(second, late).collect())) == sorted(map(tuple, second.collect()))
+
+
+def test_sidecars_have_the_asked_names(spark, tmp_path):
+    rows = [(f"{'ab'[i % 2]}/stem {i}_2.txt", f"prompt {i} é") for i in range(40)] + [("top.txt", None)]
+    files = spark.createDataFrame(rows, "path string, content string").repartition(5)
+    for _ in range(2):  # a second export writes the same files again
+        sinks.write_sidecars(files, f"{tmp_path}/s")
+        assert {(str(p.relative_to(tmp_path / "s")), p.read_text()) for p in (tmp_path / "s").rglob("*") if p.is_file()} == {(n, c or "") for n, c in rows}
+        assert not list((tmp_path / "s").glob("_staging*"))
+
+
+def test_an_aborted_write_leaves_nothing(spark, tmp_path):
+    import pytest
+    good = spark.createDataFrame([(f"x{i}.txt", "c") for i in range(20)], "path string, content string").repartition(2)
+    with pytest.raises(Exception, match="not a file below"):
+        sinks.write_sidecars(good.unionByName(spark.createDataFrame([("../out.txt", "c")], "path string, content string")), f"{tmp_path}/s")
+    assert not [p for p in tmp_path.rglob("*") if p.is_file()]
