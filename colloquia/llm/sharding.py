@@ -106,7 +106,8 @@ def write_shards(docs: DataFrame, sharded: DataFrame, path: str) -> None:
     """Write all documents with all columns and their slot shard by shard, each shard sorted along the curve.
 
     Takes the result of ``hilbert_shards`` on the same rows. Both sides are ranked by what places a
-    row and joined on the rank, so null ids and repeated rows each get a slot of their own.
+    row and joined on the rank, so null ids and repeated rows each get a slot of their own. Tasks
+    take ranges of (shard, slot), so a large shard is several files, in order.
     """
     keys = [k for k in ("doc_id", "text_crc32", "size", "source", "lang") if k in sharded.columns]
     marks = [f"c{i}" for i in range(len(docs.columns))]
@@ -118,4 +119,4 @@ def write_shards(docs: DataFrame, sharded: DataFrame, path: str) -> None:
     if tuple(sums[0]) != tuple(sums[1]):
         raise ValueError("the shards were made of other documents")
     out = rows.select("row", "place").join(placed.select("place", "shard", "slot"), "place").select("row.*", "shard", "slot")
-    out.repartition("shard").sortWithinPartitions("shard", "slot").toDF(*docs.columns, "shard", "slot").write.partitionBy("shard").parquet(path)
+    out.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").toDF(*docs.columns, "shard", "slot").write.partitionBy("shard").parquet(path)
