@@ -75,7 +75,8 @@ def nearest(vectors: DataFrame, is_query="vec_id % 20 = 0", k: int = NEAREST, li
     """The k nearest found of every query row, over all rows but its own.
 
     Returns query_id, rank (from 1), vec_id, score. Unusable vectors (null, zero, null or
-    non-finite components) and rows without id take no part. Ids are expected to be unique;
+    non-finite components), rows without id, and vectors that have not the commonest length
+    (of equally common ones the smaller) take no part. Ids are expected to be unique;
     of rows with one id a single one is used. Equal scores go by smaller vec_id: all vectors
     over the threshold are verified, however many share a place. Blocks have about
     ``block_rows`` rows, so one task holds one block and one block of queries at any size.
@@ -83,8 +84,9 @@ def nearest(vectors: DataFrame, is_query="vec_id % 20 = 0", k: int = NEAREST, li
     rows = pick(vectors, "vec_id", "embedding").filter(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
     rows = rows.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("v"))
     norm = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
-    stats = rows.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.expr(is_query), 1)).alias("q"), F.max(norm).alias("longest")).first()
-    longest = float(np.sqrt(stats["longest"] or 1.0))
+    stats = rows.groupBy(F.size("v").alias("size")).agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.expr(is_query), 1)).alias("q"), F.max(norm).alias("longest")).orderBy(F.desc("n"), "size").first()
+    stats = stats or {"size": 0, "n": 0, "q": 0, "longest": 1.0}
+    rows, longest = rows.filter(F.size("v") == stats["size"]), float(np.sqrt(stats["longest"]))
     blocks, query_blocks = max(1, -(-stats["n"] // block_rows)), max(1, -(-stats["q"] // query_rows))
     place = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))

@@ -78,6 +78,13 @@ def test_written_shards_hold_every_row(spark, tmp_path):
         assert last == n - 1
     with pytest.raises(ValueError):
         sharding.write_shards(docs.filter("doc_id is not null"), sharded, str(tmp_path / "other"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:  # a large shard is several files, each a range of slots
+        sharding.write_shards(docs, sharding.hilbert_shards(docs, 1), str(tmp_path / "one"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    ends = [(r["a"], r["b"], r["n"]) for r in spark.read.parquet(str(tmp_path / "one")).groupBy(F.input_file_name()).agg(F.min("slot").alias("a"), F.max("slot").alias("b"), F.count("*").alias("n")).collect()]
+    assert len(ends) > 1 and all(b - a + 1 == n for a, b, n in ends)
 
 
 # ---- mixing
@@ -432,7 +439,7 @@ def test_odd_vectors_ties_and_small_blocks(spark):
     rng = np.random.default_rng(2)
     base = rng.standard_normal((60, 8)).astype(np.float32)
     data = [(i, [float(x) for x in base[i % 30]]) for i in range(60)]
-    odd = [(100, None), (120, [0.0] * 8), (140, [float("nan")] + [1.0] * 7), (160, [None] + [1.0] * 7), (None, [1.0] * 8), (180, [float("inf")] * 8), (20, data[20][1])]
+    odd = [(100, None), (120, [0.0] * 8), (140, [float("nan")] + [1.0] * 7), (160, [None] + [1.0] * 7), (None, [1.0] * 8), (180, [float("inf")] * 8), (20, data[20][1]), (200, [9.0] * 3), (220, [9.0] * 16), (201, [9.0] * 16)]
     frame = spark.createDataFrame(data + odd, "vec_id long, embedding array<float>")
     ids, matrix = np.arange(60), np.array([v for _, v in data])
     want = [x for q in (0, 20, 40) for x in exact(ids, matrix, q, 5)]
