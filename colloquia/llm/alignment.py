@@ -50,10 +50,11 @@ def _tokenizers(files: tuple[str, str, str]) -> tuple[Callable, list[bytes], Cal
     return _loaded[files]
 
 
-def slices(a_ends: list[int], b_ends: list[int]) -> list[tuple[int, int]]:
-    """(index in a, index in b) of the tokens that end together, in order: each closes a group."""
+def slices(a_ends: list[int], b_ends: list[int]) -> tuple[tuple[int, ...], tuple[int, ...]]:
+    """Indices in a and in b of the tokens that end together, in order: each two close a group."""
     a_at, b_at = dict(zip(a_ends, range(len(a_ends)))), dict(zip(b_ends, range(len(b_ends))))
-    return [(a_at[end], b_at[end]) for end in sorted(a_at.keys() & b_at.keys())]
+    ends = sorted(a_at.keys() & b_at.keys())
+    return tuple(map(a_at.__getitem__, ends)), tuple(map(b_at.__getitem__, ends))
 
 
 def align(docs: DataFrame, files: tuple[str, str, str] | None = None) -> DataFrame:
@@ -78,20 +79,17 @@ def align(docs: DataFrame, files: tuple[str, str, str] | None = None) -> DataFra
                 text, row = text.as_py(), (doc_id, 0, 0, 0, "", [], [])
                 if text:
                     a, b, wanted = a_encode(" " + text), b_encode(text), (" " + text).encode()
-                    if b"".join([a_bytes[i] for i in a]) == wanted == b"".join([b_bytes[i] for i in b]):
+                    if b"".join(map(a_bytes.__getitem__, a)) == wanted == b"".join(map(b_bytes.__getitem__, b)):
                         a_id, b_id = np.array(a), np.array(b)
-                        a_end, b_end = np.cumsum(a_size[a_id]), np.cumsum(b_size[b_id])
-                        shared = np.array(slices(a_end.tolist(), b_end.tolist()))
-                        a_group, b_group = np.zeros(len(a), int), np.zeros(len(b), int)
-                        a_group[shared[:-1, 0] + 1] = 1
-                        b_group[shared[:-1, 1] + 1] = 1
-                        order = np.argsort(np.concatenate([2 * np.cumsum(a_group), 2 * np.cumsum(b_group) + 1]), kind="stable")
-                        a_last, b_last = np.zeros(len(a), int), np.zeros(len(b), int)
-                        a_last[shared[:, 0]] = len(a_bytes)
-                        b_last[shared[:, 1]] = len(b_bytes)
-                        marked = np.concatenate([a_text[a_id + a_last], b_text[b_id + b_last]])[order]
-                        pair, times = np.unique(a_id[shared[:, 0]] * _SIDE + b_id[shared[:, 1]], return_counts=True)
-                        row = (doc_id, len(a), len(b), len(shared), "".join(marked.tolist())[:-1], pair, times)
+                        a_cut, b_cut = map(np.array, slices(np.cumsum(a_size[a_id]).tolist(), np.cumsum(b_size[b_id]).tolist()))
+                        a_last, b_last = np.zeros(len(a), bool), np.zeros(len(b), bool)
+                        a_last[a_cut] = b_last[b_cut] = True
+                        # group g stands behind all a tokens up to its end and all b tokens before it, and so on
+                        marked = np.empty(len(a) + len(b), object)
+                        marked[np.arange(len(a)) + np.concatenate([[0], b_cut + 1])[np.cumsum(a_last) - a_last]] = a_text[a_id + a_last * len(a_bytes)]
+                        marked[np.arange(len(b)) + (a_cut + 1)[np.cumsum(b_last) - b_last]] = b_text[b_id + b_last * len(b_bytes)]
+                        pair, times = np.unique(a_id[a_cut] * _SIDE + b_id[b_cut], return_counts=True)
+                        row = (doc_id, len(a), len(b), len(a_cut), "".join(marked.tolist())[:-1], pair, times)
                 out.append(row)
             columns = list(zip(*out)) or [[]] * 7
             types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32()))
