@@ -23,7 +23,7 @@ from colloquia.llm.common import durable, pick, ranked, whole, word_count
 from colloquia.operators.ordered import split_window
 
 #: Rows of a component that one task splits; also the rows of a conversation that one task sums.
-BOUND = 4096
+BOUND = 512
 #: Keys that hold more than one in so many rows are joined by broadcast: there are fewer than so many.
 HOT_SHARE = 4096
 KEY = ["k1", "k2"]
