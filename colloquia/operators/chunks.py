@@ -34,13 +34,37 @@ def next_starts(lengths: np.ndarray, max_lines: int, max_chars: int) -> np.ndarr
     return np.minimum(np.maximum(fits, here + 1), here + max_lines)
 
 
+def entries(tables: DataFrame) -> DataFrame:
+    """(group_id, for, entry, before): where every bucket is entered and how many chunks begin before it.
+
+    ``tables`` (cut): group_id, segment, entry, begun, leave. Tables of neighbours are composed
+    to tables of twice the length until one covers a group, then entries go down again: rounds
+    grow with the logarithm of the buckets, and every join has a row for each (segment, entry),
+    so a group of any size is spread evenly.
+    """
+    by = ["group_id", "segment"]
+    levels, last = [tables], tables.agg(F.max("segment")).first()[0] or 0
+    while last > 0:
+        now, last = levels[-1], last // 2
+        right = now.filter("segment % 2 = 1").select("group_id", (F.col("segment") - 1).alias("segment"), F.col("entry").alias("leave"), F.col("begun").alias("_begun"), F.col("leave").alias("_leave"))
+        both = now.filter("segment % 2 = 0").join(right, [*by, "leave"], "left")
+        levels.append(durable(both.select("group_id", F.expr("segment div 2").alias("segment"), "entry", (F.col("begun") + F.coalesce("_begun", F.lit(0))).alias("begun"), F.coalesce("_leave", "leave").alias("leave"))))
+    zero = F.lit(0).cast("long")
+    at = tables.filter("segment = 0 and entry = 0").select(*by, "entry", zero.alias("before"))
+    for level in reversed(levels[:-1]):
+        left = at.withColumn("segment", F.col("segment") * 2)
+        right = left.join(level, [*by, "entry"]).select("group_id", (F.col("segment") + 1).alias("segment"), F.col("leave").alias("entry"), (F.col("before") + F.col("begun")).alias("before"))
+        at = durable(left.unionByName(right))
+    return at.withColumnRenamed("segment", "for")
+
+
 def pack_chunks(lines: DataFrame, max_lines: int = MAX_LINES, max_chars: int = MAX_CHARS, max_chunks: int | None = None, bucket_lines: int | None = None) -> DataFrame:
     """(group_id, row_id, line_no, chunk): consecutive lines packed greedily; ``max_chunks`` drops later chunks.
 
     A chunk begins at most ``max_lines`` lines after the one before it, so a bucket of lines is
     entered at one of its first ``max_lines`` places. Each bucket answers all of them (chunks
-    begun, place of entry into the next bucket); per group only these small tables are
-    followed, then each bucket numbers its own lines.
+    begun, place of entry into the next bucket); these small tables are composed by joins (see
+    ``entries``), then each bucket numbers its own lines.
     """
     width = bucket_lines or 32 * max_lines
     slim = ordinal(lines.select("group_id", "row_id", "sent_at", "input_order", "line_length"), ["group_id"], ["sent_at", "input_order", "row_id"], "line_no")
@@ -61,18 +85,7 @@ def pack_chunks(lines: DataFrame, max_lines: int = MAX_LINES, max_chars: int = M
             begun[i] = 1 + (begun[following[i]] if inside else 0)
             leave[i] = leave[following[i]] if inside else following[i] - own
         entries = min(own, max_lines)
-        return pd.DataFrame({"group_id": rows["group_id"].iloc[0], "bucket": rows["for"].iloc[0], "lines": own, "entry": np.arange(entries), "begun": begun[:entries], "leave": leave[:entries]})
-
-    def follow(tables: pd.DataFrame) -> pd.DataFrame:
-        out, entry, chunk = [], 0, 0
-        for bucket, t in tables.sort_values(["bucket", "entry"]).groupby("bucket", sort=True):
-            out.append((t["group_id"].iloc[0], bucket, entry, chunk))
-            if entry < len(t):
-                row = t.iloc[entry]
-                entry, chunk = int(row["leave"]), chunk + int(row["begun"])
-            else:
-                entry -= int(t["lines"].iloc[0])
-        return pd.DataFrame(out, columns=["group_id", "for", "entry", "before"])
+        return pd.DataFrame({"group_id": rows["group_id"].iloc[0], "bucket": rows["for"].iloc[0], "entry": np.arange(entries), "begun": begun[:entries], "leave": leave[:entries]})
 
     def number(rows: pd.DataFrame) -> pd.DataFrame:
         rows, following, own = steps(rows)
@@ -83,8 +96,8 @@ def pack_chunks(lines: DataFrame, max_lines: int = MAX_LINES, max_chars: int = M
         rows = rows.iloc[:own].assign(chunk=np.cumsum(chunk) + int(rows["before"].iloc[0]))
         return rows[["group_id", "row_id", "line_no", "chunk"]]
 
-    tables = shared.groupBy("group_id", "for").applyInPandas(table, "group_id string, bucket long, lines long, entry long, begun long, leave long")
-    entered = tables.groupBy("group_id").applyInPandas(follow, "group_id string, for long, entry long, before long")
+    tables = shared.groupBy("group_id", "for").applyInPandas(table, "group_id string, bucket long, entry long, begun long, leave long")
+    entered = entries(durable(tables.select("group_id", F.col("bucket").alias("segment"), "entry", "begun", "leave")))
     packed = shared.join(entered, ["group_id", "for"]).groupBy("group_id", "for").applyInPandas(number, "group_id string, row_id string, line_no long, chunk long")
     return packed if max_chunks is None else packed.filter(F.col("chunk") <= max_chunks)
 

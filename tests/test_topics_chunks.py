@@ -144,3 +144,24 @@ def test_user_summariser_failures_stay_local(spark):
 def test_short_summary(spark):
     row = ch.quick_summary(answers(spark, {"summary": "s", "points": [str(i) for i in range(20)], "actions": [{"text": ""}, {"text": "a", "status": "resolved"}]})).first()
     assert len(row.points) == 12 and [(a.text, a.status, a.resolution) for a in row.actions] == [("a", "resolved", "")]
+
+
+def test_buckets_of_a_hot_group_are_composed(spark):
+    """One group in hundreds of buckets and others in one: chunks as by a straight loop, and no task takes a whole group."""
+    import random
+
+    from colloquia.operators import chunks as ch
+    rng = random.Random(8)
+    rows = [("hot", str(i), i, i, rng.choice([1, 5, 30, 90, 300])) for i in range(2500)] + [("cold", str(i), i, i, 7) for i in range(9)] + [("edge", str(i), i, i, 3) for i in range(33)]
+    frame = spark.createDataFrame(rows, "group_id string, row_id string, sent_at long, input_order long, line_length long")
+    want, state = {}, {}
+    for group, row, _, _, length in rows:
+        chunk, lines, used = state.get(group, (0, 0, 0))
+        if not chunk or lines == 8 or used + length + 1 > 200:
+            chunk, lines, used = chunk + 1, 0, 0
+        state[group] = (chunk, lines + 1, used + length + 1)
+        want[group, row] = chunk
+    for width in (8, 32):
+        packed = ch.pack_chunks(frame, 8, 200, bucket_lines=width)
+        assert {(r.group_id, r.row_id): r.chunk for r in packed.collect()} == want
+        assert packed._jdf.queryExecution().optimizedPlan().toString().count("FlatMapGroupsInPandas") == 1
