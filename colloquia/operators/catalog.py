@@ -117,11 +117,16 @@ def search_terms(query: str) -> list[str]:
     return [t for t in re.split(r"[^\w]+", query) if t]
 
 
+def search_parts(query: str) -> list[str]:
+    """The folded terms of a search, each once."""
+    return sorted({p.lower().translate(str.maketrans(_MARKED, _PLAIN)) for t in search_terms(query) for p in t.split("_") if p})
+
+
 def f_text(images: DataFrame, tokens: DataFrame, query: str) -> DataFrame:
     """Every term must start some token of the asset. One pass over the tokens: those that match
     no term go before anything is shuffled, and matched terms are gathered per asset instead
     of one join per term. All terms of a query count, however long it is."""
-    parts = sorted({p.lower().translate(str.maketrans(_MARKED, _PLAIN)) for t in search_terms(query) for p in t.split("_") if p})
+    parts = search_parts(query)
     if not parts:
         return images
     matched = F.filter(F.array(*[F.lit(p) for p in parts]), lambda p: F.startswith(F.col("token"), p))

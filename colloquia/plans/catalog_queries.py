@@ -19,6 +19,7 @@ from colloquia.plans.registry import ORACLES, query
 from colloquia.plans.views import START, duck
 from colloquia.session import shared_folder
 from colloquia.sources.lake import BATCH, EventLake, KeyedTable
+from colloquia.sources.search import SearchIndex
 
 
 def tags(s, d):
@@ -79,6 +80,17 @@ def filtered(s, d, spec):
 
 for _name, (_spec, _cond) in SPECS.items():
     query(_name, duck(CATALOG, f"SELECT hash FROM images WHERE {_cond}", tags=TAGS, tok=TOK))(lambda s, d, sp=_spec: filtered(s, d, sp).select("hash"))
+
+
+def indexed(s, d):
+    """The stored index of the catalog: first without styles, then with them, as a later parse finds them."""
+    index = SearchIndex(f"{shared_folder(s)}/search-{uuid4().hex}", 64)
+    index.update(v.images(s, d), v.image_loras(s, d).limit(0))
+    index.update(v.images(s, d), v.image_loras(s, d))
+    return index
+
+
+query("f_text_indexed", ORACLES["f_text"])(lambda s, d: indexed(s, d).search(v.images(s, d), SPECS["f_text"][0]["text"]).select("hash"))
 query("search_tokens", duck("images image_loras", TOK))(lambda s, d: cat.search_tokens(v.images(s, d), v.image_loras(s, d)))
 
 RECENCY = "coalesce((SELECT max(sent_at) FROM sightings x WHERE x.hash=i.hash), file_mtime)"
