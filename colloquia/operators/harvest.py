@@ -23,7 +23,7 @@ def parse_originals(chunks: DataFrame) -> DataFrame:
 def harvest(messages: DataFrame, refs: DataFrame, quotes: DataFrame, files: DataFrame, chunks: DataFrame, store: dict[str, DataFrame], now: int, parser_version: int = 2) -> dict[str, DataFrame]:
     """New versions of the catalog tables after one run.
 
-    ``store`` holds images, sightings, requests, scan_state and loras. Returns those plus tags
+    ``store`` holds images (columns that a parse does not give stay), sightings, requests, scan_state and loras. Returns those plus tags
     and the counters. Running it twice changes nothing, and the second run parses no file
     again: every file read now is in the returned scan_state.
     """
@@ -35,11 +35,11 @@ def harvest(messages: DataFrame, refs: DataFrame, quotes: DataFrame, files: Data
     parsed = parse_originals(fresh)
     good = parsed.filter("generator <> 'unknown'").withColumn("parsed_at", F.lit(now).cast("long"))
     fields = ["file_path", "file_size", "file_mtime", "generator", "prompt", "negative_prompt", "checkpoint", "params_json", "parsed_at"]
-    images = upsert_images(store["images"].select("hash", *fields, "file_missing", "object_path"), good.select("hash", *fields))
+    images = upsert_images(store["images"], good.select("hash", *fields))
     added = placeholders(pairs, images, originals)
     blank = added.select("hash", "file_path", F.lit(0).cast("long").alias("file_size"), F.lit(0).cast("long").alias("file_mtime"), "generator", F.lit("").alias("prompt"), F.lit("").alias("negative_prompt"),
                          F.lit("").alias("checkpoint"), F.lit("{}").alias("params_json"), F.lit(now).cast("long").alias("parsed_at"), F.lit(0).cast("long").alias("file_missing"), F.lit("").alias("object_path"))
-    all_images = images.unionByName(blank.select(*images.columns))
+    all_images = images.unionByName(blank, allowMissingColumns=True).select(*images.columns)
     sighted = seen.join(all_images.select("hash"), "hash", "left_semi").select("hash", "group_id", "row_id", "sent_at", "speaker", F.col("sender").alias("speaker_uin"), F.lit("").alias("group_name"), F.lit(1).cast("long").alias("seq"))
     stored = store["requests"].columns
     outcome = parsed.select("hash", F.when(F.col("generator") == "unknown", "stripped").otherwise("parsed").alias("outcome")).unionByName(

@@ -54,12 +54,13 @@ def marks_to_latest(messages: DataFrame, stored: DataFrame) -> DataFrame:
 
 def upsert_images(stored: DataFrame, delta: DataFrame, order: str = "parsed_at") -> DataFrame:
     """Latest record per hash replaces the stored one and clears its missing flag; the
-    durable path stays as it was."""
+    durable path stays as it was, as do stored columns that the delta lacks."""
     fields = [c for c in delta.columns if c not in ("hash", "object_path", "file_missing")]
     fresh = delta.groupBy("hash").agg(F.max_by(F.struct(*fields), order).alias("n"))
     merged = stored.join(fresh, "hash", "full")
     pick = [F.when(F.col("n").isNotNull(), F.col(f"n.{c}")).otherwise(F.col(c)).alias(c) for c in fields]
-    return merged.select("hash", *pick, F.when(F.col("n").isNotNull(), 0).otherwise(F.col("file_missing")).cast("long").alias("file_missing"), F.coalesce("object_path", F.lit("")).alias("object_path"))
+    kept = [c for c in stored.columns if c not in ("hash", "file_missing", "object_path", *fields)]
+    return merged.select("hash", *pick, *kept, F.when(F.col("n").isNotNull(), 0).otherwise(F.col("file_missing")).cast("long").alias("file_missing"), F.coalesce("object_path", F.lit("")).alias("object_path"))
 
 
 def replace_children(stored: DataFrame, touched: DataFrame, fresh: DataFrame) -> DataFrame:

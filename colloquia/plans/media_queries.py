@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from colloquia import fixed_values as fv
@@ -158,10 +160,9 @@ query("empty_state", duck("", "SELECT group_id, CASE WHEN coverage_ratio<=0 THEN
     lambda s, d: v.table(s, d, "orders").select(F.col("o_orderkey").alias("group_id"), (F.col("o_orderkey") % 4 / 3.0).alias("coverage_ratio"), (F.col("o_custkey") % 3).alias("message_count"), F.expr("(o_orderkey div 4) % 2").alias("media_count")).select("group_id", val.empty_state(F.col("coverage_ratio"), F.col("message_count"), F.col("media_count")).alias("state")))
 
 # ---- ask / answer ----
-_MARKERS = "(?i)(?:Negative prompt:|Steps:\\s*\\d+|Sampler:|CFG scale:|Model hash:)"
-_VOCAB = [r"(?i)\b(?:masterpiece|best quality|amazing quality|absurdres|highres|lowres|very aesthetic)\b", r"(?i)\b(?:worst quality|low quality|normal quality|jpeg artifacts|bad anatomy|extra digits)\b",
-          r"(?i)\b\d?(?:girl|boy)s?\b", r"(?i)\b(?:solo|looking at viewer|full body|upper body|cowboy shot|portrait)\b", r"(?i)<lora:[^>]+>", r"(?i)\b(?:score_\d|source_anime|rating:\s*\w+)\b",
-          r"(?i)\b(?:artist:|year 20\d\d)\b", r"(?i)(?:^|[,，])\s*(?:1girl|1boy|2girls)\b"]
+_MARKERS = fv.PARAMETER_MARKERS
+# DuckDB has no look-around; here each one stands for a word border
+_VOCAB = [re.sub(r"\(\?(?:<!|!|=)\[A-Za-z0-9_\]\)", r"\\b", p) for p in fv.PROMPT_VOCABULARY]
 _HITS = " + ".join(f"CAST(regexp_matches(t,'{p}') AS INT)" for p in _VOCAB)
 SHAPED = f"""SELECT *, length(t)>=24 AND (regexp_matches(t,'{_MARKERS}') OR (NOT (regexp_matches(t,'[。！？!?；]') AND length(regexp_replace(t,'[^\\p{{Han}}]','','g'))/CAST(greatest(length(t),1) AS DOUBLE)>0.3)
   AND {_HITS} >= 2 AND len(seg)>=4 AND len(list_filter(seg, lambda x: length(x)<=40))>=4)) AS is_prompt FROM (SELECT *, list_filter(list_transform(regexp_split_to_array(t,'[,，\\n]'), lambda x: {trim_sql('x')}), lambda x: x<>'') AS seg FROM (

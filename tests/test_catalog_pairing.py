@@ -140,3 +140,10 @@ def test_harvest_twice_changes_nothing(spark):
     assert {r.counter: r.value for r in second["stats"].collect()}["skipped"] == 1
     for part in ("scan_state", "loras"):
         assert sorted(map(tuple, first[part].collect())) == sorted(map(tuple, second[part].collect())) and first[part].count() == 1
+
+
+def test_upsert_keeps_stored_image_columns(spark):
+    stored = spark.createDataFrame([("a", "p", "webui", 1, 1, "o", 640, "raw"), ("b", "q", "nai", 1, 0, "", 512, None)], "hash string, file_path string, generator string, parsed_at long, file_missing long, object_path string, width long, chunks string")
+    delta = spark.createDataFrame([("a", "new", "forge", 5), ("c", "c", "nai", 5)], "hash string, file_path string, generator string, parsed_at long")
+    got = {r.hash: (r.file_path, r.width, r.chunks, r.file_missing, r.object_path) for r in upserts.upsert_images(stored, delta).collect()}
+    assert got == {"a": ("new", 640, "raw", 0, "o"), "b": ("q", 512, None, 0, ""), "c": ("c", None, None, 0, "")}
