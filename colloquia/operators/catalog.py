@@ -134,9 +134,16 @@ def f_text(images: DataFrame, tokens: DataFrame, query: str) -> DataFrame:
     return images.join(found.select("hash"), "hash", "left_semi")
 
 
-def f_selection(images: DataFrame, hashes: Sequence[str]) -> DataFrame:
-    """Hand-picked hashes on top of the filters; malformed ones are ignored."""
-    good = [h for h in hashes if re.fullmatch(r"[a-f0-9]{32}", str(h))]
+def f_selection(images: DataFrame, hashes: Sequence[str] | DataFrame) -> DataFrame:
+    """Hand-picked hashes on top of the filters: a short list, or a table with a ``hash`` column.
+
+    Malformed ones are ignored; without any well-formed one nothing was selected, and all rows stay.
+    """
+    form = "^[a-f0-9]{32}$"
+    if isinstance(hashes, DataFrame):
+        picked = hashes.select("hash").filter(F.col("hash").rlike(form))
+        return images if picked.isEmpty() else images.join(picked.distinct(), "hash", "left_semi")
+    good = [h for h in hashes if re.fullmatch(form[1:-1], str(h))]
     return images.filter(F.col("hash").isin(good)) if good else images
 
 

@@ -28,3 +28,11 @@ def test_index_equals_scan_and_follows_changes(spark, tmp_path):
         assert hits(index.search(now, text)) == hits(cat.f_text(now, cat.search_tokens(now, loras), text)), text
     plan = index.tokens(spark, "violet sk")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [" in plan and "_bucket" in plan.split("PartitionFilters: [")[1].split("]")[0]
+
+
+def test_selection_by_list_or_table(spark):
+    hashes = ["a" * 32, "b" * 32, "c" * 32]
+    images = spark.createDataFrame([(h,) for h in hashes], "hash string")
+    table = lambda *picked: spark.createDataFrame([(p,) for p in picked], "hash string")
+    for picked, want in ((hashes[:2], hashes[:2]), ([hashes[2], "bad"], hashes[2:]), (["bad"], hashes), ([], hashes)):
+        assert hits(cat.f_selection(images, picked)) == hits(cat.f_selection(images, table(*picked, *picked))) == want
