@@ -197,7 +197,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.nd
             cols = list(zip(*rows)) or [[]] * 2
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.list_(pa.list_(pa.int64()))), pa.array(cols[1], pa.int64())], ["sentences", "toxic"])
 
-    got = chosen.mapInArrow(places, "sentences array<array<long>>, toxic long").orderBy("toxic", F.xxhash64("sentences")).toArrow()
+    got = chosen.mapInArrow(places, "sentences array<array<long>>, toxic long").filter(F.size("sentences") > 0).orderBy("toxic", F.xxhash64("sentences")).toArrow()
     sentences = [(doc, features) for doc, each in enumerate(got["sentences"].to_pylist()) for features in each]
     if not sentences:
         return known[:0], np.empty(0)
