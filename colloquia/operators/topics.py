@@ -1,4 +1,4 @@
-"""Greedy topic mining: all groups advance together, one topic per round."""
+"""Greedy topic mining: all groups advance together, several topics per pass."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from colloquia import fixed_values as fv
 from colloquia.functions.text import tokens
+from colloquia.operators import greedy
 from colloquia.operators.content import last_n, token_order, token_stats, top_tokens
 from colloquia.operators.ordered import top_per_key
 from colloquia.session import durable
@@ -51,37 +52,66 @@ def score(seeds: DataFrame, rows: DataFrame) -> DataFrame:
                          (F.col("overlap") * 30 + time_score(F.abs(F.col("sent_at") - F.col("seed_at")))).cast("long").alias("score"))
 
 
-def assign_topics(messages: DataFrame, rounds: int = MAX_TOPICS) -> DataFrame:
+def token_masks(messages: DataFrame, important: DataFrame, words: list[str]) -> DataFrame:
+    """Messages holding important tokens, as bit masks over the ranks of those tokens, without their text.
+    ``important``: group_id, listed (the tokens of a group in rank order)."""
+    places = F.transform(F.array_intersect(tokens("text"), F.col("listed")), lambda t: F.array_position("listed", t).cast("int") - 1)
+    one = F.lit(1).cast("long")
+    mask = lambda i: F.aggregate("_places", F.lit(0).cast("long"), lambda acc, p: acc + F.when(
+        F.floor(p / greedy.WORD) == i, F.call_function("shiftleft", one, p % greedy.WORD)).otherwise(F.lit(0).cast("long")))
+    placed = messages.join(important, "group_id").select(
+        "group_id", "row_id", "sent_at", "input_order", F.length("text").cast("long").alias("text_length"), places.alias("_places")).filter(F.size("_places") > 0)
+    return placed.select("group_id", "row_id", "sent_at", "input_order", "text_length", *[mask(i).alias(w) for i, w in enumerate(words)])
+
+
+def best_of_plan(rows: DataFrame, plan: DataFrame, words: list[str], longest: int) -> DataFrame:
+    """The best-scored rows of every planned seed (``need`` of them, in order), used rows included."""
+    seeds = plan.select("group_id", "number", F.col("sent_at").alias("_at"), F.col("score").alias("_bound"), F.col("need").alias("_need"),
+                        *[F.col(w).alias(f"_{w}") for w in words])
+    overlap = sum((F.bit_count(F.col(w).bitwiseAND(F.col(f"_{w}"))) for w in words[1:]), F.bit_count(F.col(words[0]).bitwiseAND(F.col(f"_{words[0]}"))))
+    points = (overlap * 30 + time_score(F.abs(F.col("sent_at") - F.col("_at")))).cast("long")
+    scored = rows.join(seeds, "group_id").filter((overlap > 0) & (points >= F.col("_bound"))).withColumn("score", points)
+    order = [F.col("score").desc(), F.col("sent_at").asc(), F.col("input_order").asc(), F.col("row_id").asc()]
+    return top_per_key(scored, ["group_id", "number"], order, longest, "need").filter("need <= _need").withColumn("kind", F.lit("listed"))
+
+
+def assign_topics(messages: DataFrame, rounds: int = MAX_TOPICS, important: int = IMPORTANT_TOKENS, size: int = TOPIC_SIZE) -> DataFrame:
     """(group_id, topic, row_id): members of every group's greedy topics.
 
-    A seed can found a topic exactly when it is unused and shares a token with another
-    unused message. Each round finds every group's next such seed and takes its best-scored
-    unused messages. Per group only small rows travel: the token counts (80 at most), the
-    chosen seed, the members (80 at most). State is cut by checkpoints; nothing is collected.
+    A seed can found a topic exactly when it is unused and shares a token with another unused
+    message. Before the last topic at most ``(rounds - 1) * size`` rows are used, and seeds passed
+    over for want of a partner hold disjoint tokens, so they are at most ``important``: the first
+    ``rounds * (size + 1) + important`` seeds of a group contain all that are ever taken.
+
+    Each pass guesses the remaining topics from those seeds alone, finds the best rows of all
+    guessed seeds in one scan of the slim rows, and takes topics in order while the guesses hold
+    (``greedy.topic_step``). The first guess of a pass is always right, so there are at most
+    ``rounds`` passes; usually two or three. A group's extract is bounded by the three numbers,
+    whatever the group's size, and groups that are done leave.
     """
-    rows = durable(seed_order(marked(messages, important_tokens(messages))))
-    topics: DataFrame | None = None
-    tried: DataFrame | None = None
-    for number in range(1, rounds + 1):
-        unused = rows if topics is None else rows.join(topics.select("group_id", "row_id"), ["group_id", "row_id"], "left_anti")
-        shared = unused.select("group_id", F.explode("tokens").alias("token")).groupBy("group_id", "token").agg(
-            F.count(F.lit(1)).alias("n")).filter("n >= 2").groupBy("group_id").agg(F.collect_set("token").alias("shared"))
-        able = unused.join(shared, "group_id").filter(F.arrays_overlap("tokens", "shared"))
-        if tried is not None:
-            last = tried.groupBy("group_id").agg(F.max("seed_key").alias("last"))
-            able = able.join(last, "group_id").filter(F.col("seed_key") > F.col("last"))
-        chosen = durable(able.groupBy("group_id").agg(
-            F.min_by(F.struct("tokens", "sent_at"), "seed_key").alias("s"), F.min("seed_key").alias("seed_key")))
-        if chosen.isEmpty():
+    words = greedy.word_names(important)
+    state = [c.split()[0] for c in greedy.state_schema(important).split(", ")]
+    zero = F.lit(0).cast("long")
+    listed = durable(top_tokens(messages, important).groupBy("group_id").agg(F.sort_array(F.collect_list(F.struct("token_rank", "token", "messages"))).alias("t")))
+    rows = durable(token_masks(messages, listed.select("group_id", F.col("t.token").alias("listed")), words))
+    held = sum((F.bit_count(w) for w in words[1:]), F.bit_count(words[0]))
+    seeds = top_per_key(rows, ["group_id"], [held.desc(), F.col("text_length").desc(), F.col("input_order").asc(), F.col("row_id").asc()],
+                        rounds * (size + 1) + important, "number")
+    shaped = lambda df, kind: df.withColumn("kind", F.lit(kind)).select(*[
+        F.col(c) if c in (*df.columns, "kind") else (F.lit("") if c == "row_id" else zero).alias(c) for c in state])
+    counts = listed.select("group_id", F.posexplode("t").alias("number", "t")).select("group_id", F.col("number").cast("long").alias("number"), F.col("t.messages").alias("score"))
+    fixed = durable(shaped(seeds, "seed").unionByName(shaped(counts, "count")))
+    step, schema = greedy.topic_step(important, rounds, size), greedy.state_schema(important)
+    known, found = fixed, None
+    while True:
+        turn = durable(known.groupBy("group_id").applyInPandas(step, schema))
+        found = turn.filter("kind <> 'plan'") if found is None else found.unionByName(turn.filter("kind <> 'plan'"))
+        plan = turn.filter("kind = 'plan'")
+        if plan.isEmpty():
             break
-        seeds = chosen.select("group_id", F.col("s.tokens").alias("seed_tokens"), F.col("s.sent_at").alias("seed_at"))
-        ranked = top_per_key(score(seeds, unused), ["group_id"], [F.col("score").desc(), F.col("sent_at").asc(), F.col("input_order").asc()], TOPIC_SIZE)
-        members = durable(ranked.select("group_id", F.lit(number).cast("long").alias("topic"), "row_id"))
-        tried = chosen if tried is None else tried.unionByName(chosen)
-        topics = members if topics is None else topics.unionByName(members)
-    if topics is None:
-        return messages.select("group_id", F.lit(1).cast("long").alias("topic"), "row_id").limit(0)
-    return topics
+        known = fixed.unionByName(found).join(plan.select("group_id").distinct(), "group_id", "left_semi").unionByName(
+            best_of_plan(rows, plan, words, size * rounds).select(*state))
+    return found.filter("kind = 'member'").select("group_id", F.col("number").alias("topic"), "row_id")
 
 
 def with_residual(messages: DataFrame, topics: DataFrame) -> DataFrame:

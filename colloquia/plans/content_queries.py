@@ -164,7 +164,26 @@ def _topic_score(s, d):
     return tp.score(seeds, rows(s, d)).select("group_id", "row_id", "score")
 
 
-@query("topics")
+# one row per group and topic: the rows used so far and the place of the last seed
+_PLACED = f"SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY token_count DESC, text_length DESC, input_order, row_id) AS place FROM (SELECT group_id, row_id, sent_at, input_order, text_length, count(*) AS token_count, list(token) AS held FROM pairs GROUP BY ALL)"
+_GREEDY = """WITH RECURSIVE placed AS MATERIALIZED (SELECT * FROM placed0), found AS (
+  SELECT group_id, 0 AS topic, 0 AS place, []::VARCHAR[] AS used, []::VARCHAR[] AS best FROM placed GROUP BY 1
+  UNION ALL
+  SELECT group_id, topic + 1, place, list_concat(used, best), best FROM (
+    WITH free AS (SELECT r.*, f.topic, f.place AS after, f.used FROM found f JOIN placed r ON r.group_id=f.group_id WHERE f.topic < 12 AND NOT list_contains(f.used, r.row_id)),
+      shared AS (SELECT group_id, list(token) AS tokens FROM (SELECT group_id, token FROM (SELECT group_id, unnest(held) AS token FROM free) GROUP BY ALL HAVING count(*) >= 2) GROUP BY 1),
+      seed AS (SELECT f.group_id, min(f.place) AS place FROM free f JOIN shared h ON h.group_id=f.group_id WHERE f.place > f.after AND list_has_any(f.held, h.tokens) GROUP BY 1),
+      chosen AS (SELECT p.group_id, p.place, p.held, p.sent_at FROM seed JOIN placed p ON p.group_id=seed.group_id AND p.place=seed.place),
+      scored AS (SELECT f.group_id, f.topic, c.place, f.used, f.row_id, row_number() OVER (PARTITION BY f.group_id ORDER BY
+          len(list_intersect(f.held, c.held)) * 30 + CASE WHEN abs(f.sent_at-c.sent_at)<=10800 THEN 10 WHEN abs(f.sent_at-c.sent_at)<=43200 THEN 4 ELSE 0 END DESC, f.sent_at, f.input_order, f.row_id) AS r
+        FROM free f JOIN chosen c ON c.group_id=f.group_id WHERE list_has_any(f.held, c.held))
+    SELECT group_id, topic, place, used, list(row_id) AS best FROM scored WHERE r <= 80 GROUP BY group_id, topic, place, used))
+  , members AS (SELECT group_id, CAST(topic AS BIGINT) AS topic, unnest(best) AS row_id FROM found WHERE topic > 0)
+  SELECT group_id, topic, row_id FROM members UNION ALL
+  SELECT group_id, CAST(0 AS BIGINT), row_id FROM messages m WHERE NOT EXISTS (SELECT 1 FROM members x WHERE x.group_id=m.group_id AND x.row_id=m.row_id)"""
+
+
+@query("topics", duck("messages", f"SELECT group_id, topic, row_id FROM ({_GREEDY})", imp=IMPORTANT, pairs=_PAIRS, placed0=_PLACED))
 def _topics(s, d):
     m = v.messages(s, d)
     return tp.with_residual(m, tp.assign_topics(m))

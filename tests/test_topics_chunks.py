@@ -2,6 +2,7 @@ import json
 import random
 import re
 
+import pytest
 
 from colloquia import fixed_values as fv
 from colloquia.operators import chunks as ch
@@ -14,7 +15,7 @@ def words_of(text):
     return [w for w in re.findall(r"[a-z][a-z0-9_-]{2,}|[0-9]{3,}", text) if w not in fv.STOP_WORDS]
 
 
-def greedy(messages):
+def greedy(messages, rounds=12, important=80, size=80):
     """Straight-line topic mining of one group: (row_id, sent_at, order, text) rows."""
     count, seen = {}, {}
     for m in messages:
@@ -22,12 +23,12 @@ def greedy(messages):
             count[w] = count.get(w, 0) + 1
         for w in set(words_of(m[3])):
             seen[w] = seen.get(w, 0) + 1
-    ranked = sorted([w for w in count if seen[w] >= 2 or count[w] >= 3], key=lambda w: (-seen[w], -count[w], w))[:80]
+    ranked = sorted([w for w in count if seen[w] >= 2 or count[w] >= 3], key=lambda w: (-seen[w], -count[w], w))[:important]
     tokens = {m[0]: set(words_of(m[3])) & set(ranked) for m in messages}
     seeds = sorted([m for m in messages if tokens[m[0]]], key=lambda m: (-len(tokens[m[0]]), -len(m[3]), m[2]))
     used, topics = set(), []
     for s in seeds:
-        if s[0] in used or len(topics) == 12:
+        if s[0] in used or len(topics) == rounds:
             continue
         scored = []
         for m in messages:
@@ -35,7 +36,7 @@ def greedy(messages):
             points = 30 * len(tokens[m[0]] & tokens[s[0]]) + (10 if gap <= 10800 else 4 if gap <= 43200 else 0)
             if points >= 30 and m[0] not in used:
                 scored.append((-points, m[1], m[2], m[0]))
-        best = [x[3] for x in sorted(scored)[:80]]
+        best = [x[3] for x in sorted(scored)[:size]]
         if len(best) >= 2:
             used |= set(best)
             topics.append(set(best))
@@ -60,6 +61,30 @@ def test_topics_equal_the_greedy_loop(spark):
     assert tp.with_residual(df, topics).count() == len(rows)
 
 
+@pytest.mark.parametrize("rounds,important,size", [(4, 6, 3), (6, 70, 2), (9, 3, 5)])
+def test_topics_whose_members_are_not_among_the_first_seeds(spark, rounds, important, size):
+    """Far more rows than the seeds that are kept, many alike: guesses of later topics fail and are made again."""
+    rng = random.Random(rounds)
+    rows = []
+    for group, many in (("a", 400), ("b", 90)):
+        for i in range(many):
+            text = " ".join(rng.choice(WORDS) + rng.choice(["", "1", "2"]) for _ in range(rng.choice([1, 1, 1, 1, 2, 3, 5])))
+            rows.append((group, f"{group}{i}", rng.randrange(0, 200000), i, text))
+    df = spark.createDataFrame(rows, "group_id string, row_id string, sent_at long, input_order long, text string")
+    got = {}
+    for r in tp.assign_topics(df, rounds, important, size).collect():
+        got.setdefault(r.group_id, {}).setdefault(r.topic, set()).add(r.row_id)
+    for group in "ab":
+        want = greedy([r[1:] for r in rows if r[0] == group], rounds, important, size)
+        assert [got[group][k] for k in sorted(got[group])] == want
+
+
+def test_topics_of_no_messages_and_of_messages_without_tokens(spark):
+    df = spark.createDataFrame([("a", "1", None, 0, ""), ("a", "2", 5, 1, None), (None, "3", 5, 1, "alpha beta")], "group_id string, row_id string, sent_at long, input_order long, text string")
+    assert tp.assign_topics(df).collect() == []
+    assert tp.assign_topics(df.limit(0)).collect() == []
+
+
 def pack(lengths, n, c, limit):
     out, chunk, count, used = [], 1, 0, 0
     for x in lengths:
