@@ -60,7 +60,8 @@ def token_masks(messages: DataFrame, important: DataFrame, words: list[str]) ->
     mask = lambda i: F.aggregate("_places", F.lit(0).cast("long"), lambda acc, p: acc + F.when(
         F.floor(p / greedy.WORD) == i, F.call_function("shiftleft", one, p % greedy.WORD)).otherwise(F.lit(0).cast("long")))
     placed = messages.join(important, "group_id").select(
-        "group_id", "row_id", "sent_at", "input_order", F.length("text").cast("long").alias("text_length"), places.alias("_places")).filter(F.size("_places") > 0)
+        "group_id", "row_id", "sent_at", "input_order", F.length("text").cast("long").alias("text_length"),
+        F.explode(F.array(places)).alias("_places")).filter(F.size("_places") > 0)  # a generator: the filter must not compute the tokens again
     return placed.select("group_id", "row_id", "sent_at", "input_order", "text_length", *[mask(i).alias(w) for i, w in enumerate(words)])
 
 
