@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquia.operators.activity import coverage_health
 from colloquia.operators.intervals import current_window, gaps
-from colloquia.operators.ordered import range_buckets, split_window, top_per_key
+from colloquia.operators.ordered import DAY_SECONDS, top_per_key
 from colloquia.session import durable
 
 PAGE_DEFAULT, PAGE_MAX = 300, 500
@@ -142,26 +146,74 @@ def selection(messages: DataFrame, group: str, start: int, end: int, limit: int
     return span.orderBy("sent_at", "row_id").limit(limit).filter((F.col("is_media") == 0) & (F.trim("text") != ""))
 
 
+LOCAL_SHIFT = 8 * 3600
+
+
+def _segments_inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Breaks of ordered rows against the row before them in the same partition and group.
+
+    The first row of a group in the partition is a ``head`` and gets no break of its own;
+    ``bubble`` counts the breaks since it.
+    """
+    held, count = None, 0
+    for batch in batches:
+        rows = batch.to_pandas()
+        if rows.empty:
+            continue
+        at, marks = rows["sent_at"].to_numpy(np.int64), rows["mark_at"].to_numpy(float)
+        who, group = rows["speaker"].to_numpy(object), rows["group_id"].to_numpy(object)
+        last_group, last_at, last_who = held or (None, 0, None)
+        before = np.concatenate([[last_at], at[:-1]])
+        follows = np.concatenate([[last_group], group[:-1]]) == group
+        day = follows & ((at + LOCAL_SHIFT) // DAY_SECONDS != (before + LOCAL_SHIFT) // DAY_SECONDS)
+        divider = follows & (at > marks) & (before <= marks)  # no mark: not a number, so no divider
+        other = np.concatenate([[last_who], who[:-1]]) != who
+        bubble = follows & (day | divider | other | (at - before >= BUBBLE_GAP_SECONDS))
+        run = np.cumsum(bubble)
+        start = np.maximum.accumulate(np.where(follows, -1, np.arange(len(rows))))
+        number = run + count
+        inside = start >= 0
+        number[inside] = run[inside] - run[start[inside]]
+        held, count = (group[-1], at[-1], who[-1]), int(number[-1])
+        flags = {"head": ~follows, "new_day": day, "unread_divider": divider, "new_bubble": bubble, "bubble": number.astype(np.int64)}
+        for name, values in flags.items():
+            batch = batch.append_column(name, pa.array(values))
+        yield batch
+
+
 def chat_segments(messages: DataFrame, marks: DataFrame) -> DataFrame:
     """Rendering breaks of a chat: new day, unread divider, new bubble, bubble number.
 
-    Needs the full row order, so rows are range-partitioned evenly over (group, time, row)
-    instead of sorting a whole group in one task.
+    Needs the full row order, so rows are range-partitioned evenly over (group, time, row), sorted
+    and cut once. A pass over the sorted partitions settles all rows but the first of each
+    (partition, group); one summary row for each of those (first row, last row, breaks between)
+    settles the rest. Rows are not shuffled again. Messages without a group or time are left out;
+    two missing speakers are alike.
     """
-    marked = messages.select("group_id", "sent_at", "row_id", "speaker").join(
+    order = ["group_id", "sent_at", "row_id"]
+    marked = messages.select(*order, "speaker").filter("group_id IS NOT NULL AND sent_at IS NOT NULL").join(
         marks.select("group_id", F.col("sent_at").alias("mark_at")), "group_id", "left")
-    rows = range_buckets(marked, ["group_id", "sent_at", "row_id"])
-    before = split_window(rows, ["group_id"], "_bucket", ["sent_at", "row_id"],
-                          prev_at=("prev", F.col("sent_at")), prev_speaker=("prev", F.col("speaker")))
-    local_day = lambda c: F.floor((c + 8 * 3600) / 86400)
-    first = F.col("prev_at").isNull()
-    new_day = first | (local_day(F.col("sent_at")) != local_day(F.col("prev_at")))
-    divider = (F.col("sent_at") > F.col("mark_at")) & (first | (F.col("prev_at") <= F.col("mark_at")))
-    flagged = before.withColumn("new_day", new_day).withColumn("unread_divider", F.coalesce(divider, F.lit(False))).withColumn(
-        "new_bubble", F.col("new_day") | F.col("unread_divider") | (F.col("prev_speaker") != F.col("speaker"))
-        | (F.col("sent_at") - F.col("prev_at") >= BUBBLE_GAP_SECONDS))
-    numbered = split_window(durable(flagged), ["group_id"], "_bucket", ["sent_at", "row_id"], bubble=("sum_through", F.col("new_bubble").cast("long")))
-    return numbered.select("group_id", "row_id", "sent_at", "new_day", "unread_divider", "new_bubble", "bubble")
+    cut = durable(marked.repartitionByRange(*order).sortWithinPartitions(*order)).withColumn("_part", F.spark_partition_id())
+    fields = "group_id string, sent_at long, row_id string, speaker string, mark_at long, _part int, head boolean, new_day boolean, unread_divider boolean, new_bubble boolean, bubble long"
+    rows = cut.mapInArrow(_segments_inside, fields)
+    ends = F.struct("sent_at", "speaker")
+    place = F.struct("sent_at", "row_id")
+    parts = rows.groupBy("group_id", "_part").agg(
+        F.min("sent_at").alias("at"), F.min_by("speaker", place).alias("who"), F.max("mark_at").alias("mark_at"),
+        F.max_by(ends, place).alias("last"), F.max("bubble").alias("breaks"))
+    across = Window.partitionBy("group_id").orderBy("_part")
+    local_day = lambda c: F.floor((c + LOCAL_SHIFT) / DAY_SECONDS)
+    linked = parts.withColumn("prev", F.lag("last").over(across))
+    first = F.col("prev").isNull()
+    day = first | (local_day(F.col("at")) != local_day(F.col("prev.sent_at")))
+    divider = F.coalesce((F.col("at") > F.col("mark_at")) & (first | (F.col("prev.sent_at") <= F.col("mark_at"))), F.lit(False))
+    bubble = day | divider | ~F.col("prev.speaker").eqNullSafe(F.col("who")) | (F.col("at") - F.col("prev.sent_at") >= BUBBLE_GAP_SECONDS)
+    heads = linked.select("group_id", "_part", day.alias("_day"), divider.alias("_divider"), bubble.alias("_bubble"), "breaks")
+    through = F.sum(F.col("_bubble").cast("long")).over(across) + F.coalesce(F.sum("breaks").over(across.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = heads.withColumn("_offset", through).drop("breaks")
+    return rows.join(offsets, ["group_id", "_part"]).select(
+        "group_id", "row_id", "sent_at", *[F.when(F.col("head"), F.col(mine)).otherwise(F.col(c)).alias(c) for c, mine in (
+            ("new_day", "_day"), ("unread_divider", "_divider"), ("new_bubble", "_bubble"))], (F.col("bubble") + F.col("_offset")).alias("bubble"))
 
 
 def group_sections(groups: DataFrame, health: DataFrame, watch: DataFrame, activity: DataFrame, recent: int = 20) -> DataFrame:

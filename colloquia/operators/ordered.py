@@ -23,16 +23,6 @@ def time_bucket(column: str | Column, width: int = DAY_SECONDS) -> Column:
     return F.floor(value / F.lit(width)).cast("long")
 
 
-def range_buckets(df: DataFrame, order: Sequence[str], name: str = "_bucket") -> DataFrame:
-    """Split rows into evenly sized, ordered buckets by sampling (Spark's range partitioning).
-
-    The result is durable: bucket numbers come from sampled bounds and must not be
-    drawn again when a lost task is retried.
-    """
-    ranged = df.repartitionByRange(*[F.col(c) for c in order])
-    return durable(ranged.withColumn(name, F.spark_partition_id().cast("long")))
-
-
 def split_window(df: DataFrame, keys: Sequence[str], bucket: str, order: Sequence[str], **outputs: tuple[str, Column]) -> DataFrame:
     """Window results over (keys, order) computed per (keys, bucket) plus carried summaries.
 
