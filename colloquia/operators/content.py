@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquia import fixed_values as fv
-from colloquia.functions.text import contains_any, extract_urls, message_line, tokens
+from colloquia.functions.rules import read_rules, signals_of
+from colloquia.functions.text import extract_urls, message_line, tokens
 from colloquia.functions.values import local_day, to_local
 from colloquia.operators.ordered import time_bucket, top_per_key
 from colloquia.session import durable
@@ -94,12 +95,11 @@ def last_n(df: DataFrame, keys: Sequence[str], n: int, order: Sequence[str] = ("
     return top_per_key(df, list(keys), [F.col(c).desc() for c in order], n, "from_end")
 
 
-def signals(messages: DataFrame, keep: int = 80) -> DataFrame:
-    """Latest action and risk messages per group; a message can be both."""
-    action, risk = contains_any(F.col("text"), fv.ACTION_WORDS), contains_any(F.lower("text"), fv.RISK_WORDS)
-    kinds = F.array_compact(F.array(F.when(F.col("_a"), F.lit("action")), F.when(F.col("_r"), F.lit("risk"))))
-    found = messages.select("group_id", "row_id", "sent_at", "input_order", action.alias("_a"), risk.alias("_r")).filter("_a or _r").select(
-        "group_id", "row_id", "sent_at", "input_order", F.explode(kinds).alias("signal"))
+def signals(messages: DataFrame, keep: int = 80, rules: DataFrame | None = None) -> DataFrame:
+    """Latest messages per group and signal (action and risk where no ``rules`` are given); a message can
+    have several. ``rules``: see ``functions.rules``; an empty set finds nothing."""
+    keys = ["group_id", "row_id", "sent_at", "input_order"]
+    found = signals_of(messages, keys, read_rules(rules, "signal")).select(*keys, F.explode("signals").alias("signal"))
     return last_n(found, ["group_id", "signal"], keep)
 
 

@@ -7,23 +7,24 @@ from pyspark.sql import functions as F
 
 from colloquia import fixed_values as fv
 from colloquia.functions.asks import classify_ask, looks_like_prompt
+from colloquia.functions.rules import read_rules
 from colloquia.functions.text import clean_extracted
 from colloquia.operators.media import image_owners
 from colloquia.operators.ordered import first_after, recent_before
 from colloquia.session import durable
 
 
-def find_asks(messages: DataFrame, quotes: DataFrame) -> DataFrame:
-    """Messages that ask, with intent, rule and the first quoted hash if they quote."""
+def find_asks(messages: DataFrame, quotes: DataFrame, rules: DataFrame | None = None) -> DataFrame:
+    """Messages that ask, with intent, rule and the first quoted hash if they quote. ``rules``: see ``functions.rules``."""
     quoted = quotes.select("group_id", "row_id", F.get("quoted_hashes", F.lit(0)).alias("quoted_hash"), F.lit(True).alias("_q"))
     joined = messages.join(quoted, ["group_id", "row_id"], "left")
-    verdict = classify_ask("text", F.coalesce("_q", F.lit(False)))
+    verdict = classify_ask("text", F.coalesce("_q", F.lit(False)), read_rules(rules, "ask"))
     return joined.withColumn("_v", verdict).filter("_v is not null").select(
         "group_id", "row_id", "sent_at", "sender", "speaker", "input_order", clean_extracted("text").alias("ask_text"), "_v.intent", "_v.rule", "quoted_hash")
 
 
-def text_candidates(messages: DataFrame) -> DataFrame:
-    cleaned = messages.withColumn("text", clean_extracted("text")).filter(looks_like_prompt("text"))
+def text_candidates(messages: DataFrame, rules: DataFrame | None = None) -> DataFrame:
+    cleaned = messages.withColumn("text", clean_extracted("text")).filter(looks_like_prompt("text", read_rules(rules, "answer")))
     return cleaned.select("group_id", "sent_at", F.col("input_order").alias("ord"), "sender", F.struct("speaker", "text").alias("payload"))
 
 
@@ -36,9 +37,9 @@ def media_candidates(refs: DataFrame) -> DataFrame:
         "group_id", "sent_at", F.col("input_order").alias("ord"), "sender", F.struct("speaker", "media").alias("payload"))
 
 
-def first_answer(asks: DataFrame, messages: DataFrame) -> DataFrame:
+def first_answer(asks: DataFrame, messages: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     """First prompt-shaped text of somebody else within half an hour."""
-    return first_after(asks.select("group_id", "sent_at", "sender"), text_candidates(messages), fv.ANSWER_WINDOW)
+    return first_after(asks.select("group_id", "sent_at", "sender"), text_candidates(messages, rules), fv.ANSWER_WINDOW)
 
 
 def first_media_answer(asks: DataFrame, refs: DataFrame) -> DataFrame:
@@ -46,16 +47,16 @@ def first_media_answer(asks: DataFrame, refs: DataFrame) -> DataFrame:
     return first_after(asks.select("group_id", "sent_at", "sender"), media_candidates(refs), fv.ORIGINAL_ANSWER_WINDOW)
 
 
-def pair_requests(messages: DataFrame, refs: DataFrame, quotes: DataFrame) -> DataFrame:
+def pair_requests(messages: DataFrame, refs: DataFrame, quotes: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     """One row per ask, answered or not, with the target image and how it was found.
 
     Every lookup is an as-of window over reduced rows; asks and candidates of a busy group
     are never paired with each other. Asks and image owners are small next to the messages
     and used several times, so they are cut once and the texts are read only twice.
     """
-    asks = durable(find_asks(messages, quotes))
+    asks = durable(find_asks(messages, quotes, rules))
     at = ["group_id", "sent_at", "sender"]
-    texts = first_answer(asks.filter("intent = 'prompt'"), messages).select(
+    texts = first_answer(asks.filter("intent = 'prompt'"), messages, rules).select(
         *at, F.lit("prompt").alias("intent"), "answer_at", "answer_sender", F.col("payload.speaker").alias("answer_by"), F.col("payload.text").alias("answer_text"))
     shown = first_media_answer(asks.filter("intent = 'original'"), refs).select(
         *at, F.lit("original").alias("intent"), "answer_at", "answer_sender", F.col("payload.speaker").alias("answer_by"), F.col("payload.media").alias("answer_media"))

@@ -121,6 +121,18 @@ def asked(s, d):
 query("signals", duck("messages", f"""SELECT group_id, row_id, sent_at, input_order, signal, from_end FROM (SELECT *, row_number() OVER (PARTITION BY group_id, signal ORDER BY sent_at DESC, input_order DESC) AS from_end FROM (
   SELECT group_id, row_id, sent_at, input_order, 'action' AS signal FROM asked WHERE regexp_matches(text,'(?i){"|".join(fv.ACTION_WORDS)}') UNION ALL SELECT group_id, row_id, sent_at, input_order, 'risk' FROM asked WHERE regexp_matches(text,'(?i){"|".join(fv.RISK_WORDS)}'))) WHERE from_end<=80""", asked=_ASKED))(
     lambda s, d: ct.signals(asked(s, d)))
+
+
+def keyword_rules(s, d):
+    """A rule table: the eight leading keywords of every group, their first character is the signal."""
+    words = ct.top_tokens(v.messages(s, d), 8).select("token").distinct()
+    return words.select(F.lit("signal").alias("ruleset"), F.lit(0).alias("position"), F.lit("folded").alias("kind"), F.col("token").alias("pattern"), F.substring("token", 1, 1).alias("value"))
+
+
+query("signals_by_rules", duck("messages", """SELECT group_id, row_id, signal, from_end FROM (SELECT *, row_number() OVER (PARTITION BY group_id, signal ORDER BY sent_at DESC, input_order DESC) AS from_end FROM (
+  SELECT DISTINCT m.group_id, m.row_id, m.sent_at, m.input_order, substr(w.token,1,1) AS signal FROM messages m JOIN words w ON contains(lower(m.text), w.token))) WHERE from_end<=80""",
+    words=f"SELECT DISTINCT token FROM ({IMPORTANT}) WHERE token_rank<=8"))(
+    lambda s, d: ct.signals(v.messages(s, d), rules=keyword_rules(s, d)).select("group_id", "row_id", "signal", "from_end"))
 query("last_n", duck("heads", "SELECT group_id, row_id, from_end FROM (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY sent_at DESC, input_order DESC) AS from_end FROM heads) WHERE from_end<=40"))(
     lambda s, d: ct.last_n(v.heads(s, d), ["group_id"], 40).select("group_id", "row_id", "from_end"))
 query("filter_group", duck("heads", "SELECT row_id, sent_at FROM heads WHERE group_id='1007'"))(lambda s, d: ct.filter_group(v.heads(s, d), "1007").select("row_id", "sent_at"))

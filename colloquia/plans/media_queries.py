@@ -10,6 +10,7 @@ from colloquia import fixed_values as fv
 from colloquia.functions import asks as fa
 from colloquia.functions import media as fm
 from colloquia.functions import values as val
+from colloquia.functions.rules import rule_table
 from colloquia.operators import media as md
 from colloquia.operators import pairing as pr
 from colloquia.operators.ordered import positions
@@ -173,6 +174,8 @@ ASKS = """SELECT c.*, q.quoted_hash, CASE WHEN text='kkt' THEN 'prompt' WHEN tex
   WHERE text IN ('kkt','kko 谢谢','求tag','原图呢？') OR (text='发我原图' AND q.quoted_hash IS NOT NULL)"""
 query("find_asks", duck("chat_text quote_links", f"SELECT group_id, row_id, intent, rule, quoted_hash, text AS ask_text FROM ({ASKS})"))(
     lambda s, d: pr.find_asks(v.chat_text(s, d), v.quote_links(s, d)).select("group_id", "row_id", "intent", "rule", "quoted_hash", "ask_text"))
+query("find_asks_by_rules", duck("chat_text quote_links", f"SELECT group_id, row_id, intent, rule, quoted_hash, text AS ask_text FROM ({ASKS})"))(
+    lambda s, d: pr.find_asks(v.chat_text(s, d), v.quote_links(s, d), rule_table(s)).select("group_id", "row_id", "intent", "rule", "quoted_hash", "ask_text"))
 query("classify_ask", duck("chat_text quote_links", f"SELECT rule, intent, count(*) AS n FROM ({ASKS}) GROUP BY 1,2"))(
     lambda s, d: pr.find_asks(v.chat_text(s, d), v.quote_links(s, d)).groupBy("rule", "intent").agg(F.count(F.lit(1)).alias("n")))
 
