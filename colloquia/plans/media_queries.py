@@ -17,7 +17,7 @@ from colloquia.operators.ordered import positions
 from colloquia.plans import views as v
 from colloquia.plans.content_queries import PAGE_TEXT, SPACE, local_sql, page_text, trim_sql
 from colloquia.plans.coverage_queries import _RANGE, R0, R1, _range
-from colloquia.plans.registry import query
+from colloquia.plans.registry import ORACLES, query
 from colloquia.plans.views import END, START, duck
 
 CAP = 45  # below and above the window's rows of a group at the small scales, so both outcomes occur
@@ -208,3 +208,23 @@ query("pair_requests", duck(CHAT, """SELECT group_id, row_id AS ask_row_id, sent
     lambda s, d: pr.pair_requests(v.chat_text(s, d), v.chat_media(s, d), v.quote_links(s, d)).withColumn("answer_media", F.array_join(F.transform("answer_media", lambda m: m["hash"]), ",")))
 query("target_via", duck(CHAT, "SELECT target_via, confidence, count(*) AS n FROM pairs GROUP BY 1,2", **ANSWERS, pairs=PAIRS))(
     lambda s, d: pr.pair_requests(v.chat_text(s, d), v.chat_media(s, d), v.quote_links(s, d)).groupBy("target_via", "confidence").agg(F.count(F.lit(1)).alias("n")))
+
+
+# ---- the same exchange sixty times as fast: asks now have images and answers near them, so every way to find a target occurs ----
+def _busy_sql(sql):
+    for ts in ("epoch_us(e.ts)//1000000", "epoch_us(ts)//1000000"):
+        sql = sql.replace(ts, f"{START}+({ts[:-9]}//1000000-{START})//60")
+    return sql
+
+
+def _busy(df):
+    return df.withColumn("sent_at", F.expr(f"{START} + (sent_at - {START}) div 60"))
+
+
+def _busy_pairs(s, d):
+    return pr.pair_requests(_busy(v.chat_text(s, d)), _busy(v.chat_media(s, d)), v.quote_links(s, d))
+
+
+query("pair_requests_busy", _busy_sql(ORACLES["pair_requests"]))(lambda s, d: _busy_pairs(s, d).withColumn("answer_media", F.array_join(F.transform("answer_media", lambda m: m["hash"]), ",")))
+query("target_via_busy", _busy_sql(ORACLES["target_via"]))(lambda s, d: _busy_pairs(s, d).groupBy("target_via", "confidence").agg(F.count(F.lit(1)).alias("n")))
+query("withdrawn_busy", duck("", "SELECT ask_row_id FROM p WHERE target_via='guess-contradicted'", p=_busy_sql(ORACLES["pair_requests"])))(lambda s, d: pr.withdrawn(_busy_pairs(s, d)).select("ask_row_id"))
