@@ -34,3 +34,22 @@ def test_fields_are_read_once_however_many_there_are(spark):
     assert got.params == {"steps": "4"} and len(got.extra) == 1500 and got.extra["K1499"] == "1499"
     text = df._jdf.queryExecution().analyzed().toString()
     assert text.count("lower(") < 12  # the key of a field is judged once a list, not once a key
+
+
+def test_tokens_of_a_text_are_computed_before_it_meets_its_messages(spark):
+    from colloquia.functions.text import token_counts
+    from colloquia.operators.content import token_stats
+    from colloquia.plans import views
+
+    counts = spark.createDataFrame([("bb aaa bbb aaa AAA",), ("",)], "t string").select(token_counts("t").alias("c")).collect()
+    assert [[tuple(x) for x in r.c] for r in counts] == [[("aaa", 3), ("bbb", 1)], []]
+    optimized = token_stats(views.tokened(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().optimizedPlan().toString()
+    above, below = optimized.split("+- Join", 1)
+    computing = [line for line in below.splitlines() if "regexp_extract_all" in line]
+    assert "regexp_extract_all" not in above and len(computing) == 1
+
+
+def test_every_good_label_is_trusted(spark):
+    from colloquia.llm.quality import trusted_ids
+
+    assert trusted_ids(spark.range(60000).selectExpr("id as doc_id", "cast(id % 2 as int) as quality")).count() == 30000
