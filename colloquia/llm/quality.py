@@ -21,6 +21,7 @@ SMOOTHING = 0.5
 DIGITS = 4  # of a bucket's weight; scores of good prose spread over some hundredths
 QUANTILE, REACH = 0.01, 3.0
 MIN_WORDS, REPEAT_PERCENT = 50, 50
+MASK_ROWS = 1 << 17  # of 1,024 ids each: about 20 MB
 SYMBOLS = "#*$%&|<>"
 
 
@@ -73,14 +74,32 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return pick(labels, "doc_id", "quality").groupBy("doc_id").agg(F.min("quality").alias("quality")).filter("quality = 1 and doc_id is not null").select("doc_id")
 
 
+def marked(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, text, target) of all documents; target is 1 where the id is trusted, else 0.
+
+    Texts are not shuffled for it: ids become bits, 1,024 neighbours a row, and these rows are
+    broadcast while there are at most ``MASK_ROWS`` of them. Ids that are no whole numbers, and more rows, join plainly.
+    """
+    rows, good = pick(docs, "doc_id", "text"), trusted_ids(labels)
+    if all(f.dataType.typeName() in ("byte", "short", "integer", "long") for f in (rows.schema["doc_id"], good.schema["doc_id"])):
+        at = F.col("doc_id").cast("long")
+        cell, word = F.shiftright(at, 10), F.shiftright(at, 6).bitwiseAND(F.lit(15))
+        mask = lambda i: F.coalesce(F.bit_or(F.when(word == i, F.expr("shiftleft(1L, cast(doc_id & 63 as int))"))), F.lit(0).cast("long"))
+        masks = durable(good.groupBy(cell.alias("_cell")).agg(F.array(*[mask(i) for i in range(16)]).alias("_masks")))
+        if masks.count() <= MASK_ROWS:
+            hit = F.expr("shiftrightunsigned(_word, cast(doc_id & 63 as int)) & 1L")
+            found = rows.withColumn("_cell", cell).join(F.broadcast(masks), "_cell", "left").withColumn("_word", F.get("_masks", word.cast("int")))
+            return found.select("doc_id", "text", F.coalesce(hit, F.lit(0)).cast("long").alias("target"))
+    return rows.join(good.withColumn("target", F.lit(1)), "doc_id", "left").select("doc_id", "text", F.coalesce("target", F.lit(0)).cast("long").alias("target"))
+
+
 def ratio_weights(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) -> Column:
     """log p(bucket | trusted) - log p(bucket | corpus) as one array literal.
 
     Both sides count all n-grams of all their documents, summed map-side; only the fixed
     number of bucket sums comes to the driver.
     """
-    grams = pick(docs, "doc_id", "text").join(trusted_ids(labels).withColumn("target", F.lit(1)), "doc_id", "left").select(
-        F.coalesce("target", F.lit(0)).cast("long").alias("target"), F.explode(let(words(F.col("text")), lambda w: gram_buckets(w, buckets))).alias("bucket"))
+    grams = marked(docs, labels).select("target", F.explode(let(words(F.col("text")), lambda w: gram_buckets(w, buckets))).alias("bucket"))
     sums = durable(grams.groupBy("bucket").agg(F.sum("target").alias("target"), F.count(F.lit(1)).alias("raw")))
     total = sums.agg(F.coalesce(F.sum("target"), F.lit(0)).alias("target"), F.coalesce(F.sum("raw"), F.lit(0)).alias("raw")).first()
     share = lambda n, c: F.log((F.coalesce(c, F.lit(0)) + SMOOTHING) / F.lit(total[n] + SMOOTHING * buckets))
@@ -111,7 +130,7 @@ def judge(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, quantile:
     counted = lambda w: F.struct(*[c.alias(n) for n, c in base_counts(whole(F.col(at["text"])), w).items()], mean_ratio(w, weights, buckets).alias("score"))
     stats = flat.select(F.struct(*marks).alias("row"), F.col(at["doc_id"]).alias("doc_id"), let(words(F.col(at["text"])), counted).alias("s"))
     failed = (F.col("s.n_words") < MIN_WORDS) | (100 * F.col("s.n_repeat_words") > REPEAT_PERCENT * F.col("s.n_words"))
-    good = pick(docs, "doc_id", "text").join(trusted_ids(labels), "doc_id")
+    good = marked(docs, labels).filter("target = 1")
     cut = good.select(let(words(F.col("text")), lambda w: F.when(F.size(w) >= MIN_WORDS, mean_ratio(w, weights, buckets))).alias("score")).agg(
         F.percentile_approx("score", [quantile, 0.5], 100000)).first()[0]
     keep = F.col("s.score") >= F.lit(cut[1] - REACH * (cut[1] - cut[0]) if cut else float("-inf"))

@@ -53,3 +53,18 @@ def test_every_good_label_is_trusted(spark):
     from colloquia.llm.quality import trusted_ids
 
     assert trusted_ids(spark.range(60000).selectExpr("id as doc_id", "cast(id % 2 as int) as quality")).count() == 30000
+
+
+def test_trusted_documents_are_marked_without_a_shuffle_of_texts(spark, monkeypatch):
+    from colloquia.llm import quality
+
+    ids = [*range(-130, 130), 2 ** 31 + 5, -(2 ** 40), 2 ** 62, None]
+    docs = spark.createDataFrame([(i, f"t{i}") for i in ids], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(n % 3 == 0)) for n, i in enumerate(ids)] + [(7, 1), (7, 0)], "doc_id long, quality int")
+    want = {(i, f"t{i}", int(n % 3 == 0 and i is not None and i != 7)) for n, i in enumerate(ids)}
+    found = quality.marked(docs, labels)
+    assert {tuple(r) for r in found.collect()} == want and "SortMergeJoin" not in plan(found) and "ShuffledHashJoin" not in plan(found)
+    names = quality.marked(docs.withColumn("doc_id", docs.doc_id.cast("string")), labels.withColumn("doc_id", labels.doc_id.cast("string")))
+    assert sum(r.target for r in names.collect()) == sum(t for _, _, t in want)
+    monkeypatch.setattr(quality, "MASK_ROWS", 0)
+    assert {tuple(r) for r in quality.marked(docs, labels).collect()} == want
