@@ -68,3 +68,15 @@ def test_trusted_documents_are_marked_without_a_shuffle_of_texts(spark, monkeypa
     assert sum(r.target for r in names.collect()) == sum(t for _, _, t in want)
     monkeypatch.setattr(quality, "MASK_ROWS", 0)
     assert {tuple(r) for r in quality.marked(docs, labels).collect()} == want
+
+
+def test_only_messages_that_may_ask_meet_the_quotes(spark):
+    from colloquia.operators.pairing import find_asks
+
+    said = [("g", str(i), 1, "s", "S", i, t) for i, t in enumerate(["kkt", "发我原图", "发我原图", "x" * 5000, None])]
+    messages = spark.createDataFrame(said, "group_id string, row_id string, sent_at long, sender string, speaker string, input_order long, text string")
+    quotes = spark.createDataFrame([("g", "1", ["h"]), ("g", "3", ["h"])], "group_id string, row_id string, quoted_hashes array<string>")
+    found = find_asks(messages, quotes)
+    assert [(r.row_id, r.rule, r.quoted_hash) for r in found.orderBy("row_id").collect()] == [("0", "kk:t", None), ("1", "contextual", "h")]
+    left = found._jdf.queryExecution().optimizedPlan().toString().split("Join LeftOuter", 1)[1]
+    assert "Filter isnotnull(_beside" in left
