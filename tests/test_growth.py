@@ -80,3 +80,23 @@ def test_only_messages_that_may_ask_meet_the_quotes(spark):
     assert [(r.row_id, r.rule, r.quoted_hash) for r in found.orderBy("row_id").collect()] == [("0", "kk:t", None), ("1", "contextual", "h")]
     left = found._jdf.queryExecution().optimizedPlan().toString().split("Join LeftOuter", 1)[1]
     assert "Filter isnotnull(_beside" in left
+
+
+def test_references_without_a_path_are_spread_over_the_tasks(spark):
+    from pyspark.sql import functions as F
+
+    from colloquia.operators.media import resolve_sources
+
+    refs = spark.range(4000).selectExpr("cast(id as string) as row_id", "case when id = 7 then 'a/x.png' end as local_path", "cast(null as string) as hash", "cast(null as string) as file_name")
+    files = spark.createDataFrame([("a/x.png", 1), (None, 2)], "path string, size long")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        for k, value in zip(before, ("false", "-1")):
+            spark.conf.set(k, value)
+        found = resolve_sources(refs, files, ["png"])
+        rows = found.select("row_id", "source_path", "via", F.spark_partition_id().alias("part")).collect()
+    finally:
+        for k, value in before.items():
+            spark.conf.set(k, value)
+    assert [(r.row_id, r.source_path, r.via) for r in rows if r.via != "none"] == [("7", "a/x.png", "path")] and len(rows) == 4000
+    assert max(sum(r.part == p for r in rows) for p in range(4)) < 1500
