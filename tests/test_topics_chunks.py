@@ -155,6 +155,20 @@ def test_parts_merge_deterministically(spark):
     assert out["risks"].count() == 1 and out["timeline"].count() == 1 and out["uncategorized"].count() == 1
 
 
+def test_answers_of_short_texts_equal_the_sql(spark, tmp_path):
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    texts = ["", " ", "one", "two words", "  leads", "tail  ", "a \n b", "\t \n", "three whole words", " " * 250 + "late", None]
+    rows = [(i * 7 + j, turn, "user", text) for i, text in enumerate(texts) for j in range(7) for turn in (0, 1, 2, 3, 4, None)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(str(tmp_path / "conversations.parquet"))
+    got = entry.queries()["normalize_summary"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    assert {tuple(r) for r in got.collect()} == set(con.execute(entry.oracle_sql()["normalize_summary"]).fetchall())
+
+
 def test_user_summariser_failures_stay_local(spark):
     requests = spark.createDataFrame([("g", 1, "ok"), ("g", 2, "bad")], "group_id string, chunk long, request string")
 
