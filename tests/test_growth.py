@@ -100,3 +100,12 @@ def test_references_without_a_path_are_spread_over_the_tasks(spark):
             spark.conf.set(k, value)
     assert [(r.row_id, r.source_path, r.via) for r in rows if r.via != "none"] == [("7", "a/x.png", "path")] and len(rows) == 4000
     assert max(sum(r.part == p for r in rows) for p in range(4)) < 1500
+
+
+def test_nodes_are_told_apart_without_a_shuffle(spark):
+    odd = '{"2":{"class_type":"A","inputs":{"x":1,"y":["1",0]}},"x":{"inputs":{"t":"a"}},"1":{"class_type":"B","inputs":{}},"7":{"class_type":"C"},"8":[1],"9":{"inputs":"no"},"2":{"class_type":"A","inputs":{"z":2}}}'
+    graphs = spark.createDataFrame([("g", odd), ("h", '{"3":{"class_type":"KSampler","inputs":{"seed":NaN}}}'), ("i", "no"), ("j", None)], "hash string, graph string")
+    nodes, columns = gr.graph_tables(graphs)[0], ["hash", "node_id", "node_ord", "class_type"]
+    wanted = gr.graph_inputs(graphs).select(*columns).distinct()
+    assert sorted(map(tuple, nodes.select(*columns).collect())) == sorted(map(tuple, wanted.collect()))
+    assert {tuple(r) for r in nodes.collect()} >= {("h", "3", 3, "KSampler")} and "Exchange" not in plan(nodes)
