@@ -169,6 +169,30 @@ def test_answers_of_short_texts_equal_the_sql(spark, tmp_path):
     assert {tuple(r) for r in got.collect()} == set(con.execute(entry.oracle_sql()["normalize_summary"]).fetchall())
 
 
+def test_requests_move_a_shared_text_once_to_a_part(spark):
+    bodies = spark.createDataFrame([(0, "\"zero\" \u2028 text"), (1, "one"), (2, None)], "body_id long, body string")
+    said = [("g" if i % 3 else "h", str(i), 100 + i, i, "S", i % 4) for i in range(60)]
+    messages = spark.createDataFrame(said, "group_id string, row_id string, sent_at long, input_order long, speaker string, body_id long")
+    names = spark.createDataFrame([("g", "G"), ("h", "")], "group_id string, name string")
+    lines = ch.line_heads(messages, names, bodies)
+    whole = {r.row_id: r for r in ch.summary_lines(messages.join(bodies, "body_id", "left").selectExpr("*", "coalesce(body, '') as text"), names).collect()}
+    assert {r.row_id: r.line_length for r in lines.collect()} == {k: r.line_length for k, r in whole.items()}
+    packed = ch.pack_chunks(lines, 7, 200)
+    header = spark.createDataFrame([("g", "a", "b", 40, 0)], "group_id string, first_local string, last_local string, text_messages long, media_messages long")
+    topics = spark.createDataFrame([("g", 1, "t", 3, "a:2,b:1")], "group_id string, topic long, name string, message_count long, keywords string")
+    blocks = spark.createDataFrame([("h", 100, 160, 20)], "group_id string, start_unix long, end_unix long, message_count long")
+    got = {p: sorted(map(tuple, ch.summary_requests(lines, packed, header, topics, blocks, bodies, p).collect())) for p in (100, 1 << 25)}
+    assert got[100] == got[1 << 25] and len(got[100]) > 8
+    order = {}
+    for r in packed.collect():
+        order.setdefault((r.group_id, r.chunk), []).append((r.line_no, whole[r.row_id].line))
+    for group, chunk, parts, count, request in got[100]:
+        asked = json.loads(request)
+        assert asked["messages"] == [line for _, line in sorted(order[group, chunk])] and count == len(asked["messages"])
+        assert list(asked) == ["part", "parts", "context", "messages"] and asked["part"] == chunk and asked["parts"] == parts == max(c for g, c in order if g == group)
+        assert set(asked["context"]) == ({"first_local", "last_local", "text_messages", "media_messages", "topics"} if group == "g" else {"blocks"})
+
+
 def test_user_summariser_failures_stay_local(spark):
     requests = spark.createDataFrame([("g", 1, "ok"), ("g", 2, "bad")], "group_id string, chunk long, request string")
 
