@@ -193,6 +193,29 @@ def test_requests_move_a_shared_text_once_to_a_part(spark):
         assert set(asked["context"]) == ({"first_local", "last_local", "text_messages", "media_messages", "topics"} if group == "g" else {"blocks"})
 
 
+def test_leading_tokens_are_exact_for_any_cells(spark):
+    from colloquia.operators import content as ct
+
+    dice = random.Random(5)
+    vocabulary = [f"word{i}" for i in range(300)]
+    said = [(dice.choice(["g", "h", None]), dice.choice([1, 2]), " ".join(vocabulary[int(300 * dice.random() ** 3)] for _ in range(dice.choice([1, 30])))) for _ in range(200)] + [("few", 1, "alone"), ("few", 1, "alone")]
+    messages = spark.createDataFrame(said, "group_id string, topic long, text string")
+    by = ["group_id", "topic"]
+    want = sorted(map(repr, ct.top_tokens(messages, 5, by).select(*by, "token", "messages", "count", "token_rank").collect()))
+    for cells, first, most in ((64, 16, 1 << 18), (64, 4, 1 << 18), (4, 1, 1 << 18), (4096, 256, 1 << 18), (64, 16, 1)):
+        got = ct.leading_tokens(messages, 5, by, cells, first, most).select(*by, "token", "messages", "count", "token_rank").collect()
+        assert sorted(map(repr, got)) == want
+
+
+def test_heads_not_texts_are_sorted_for_the_name_of_a_topic(spark):
+    from colloquia.plans import views
+    from colloquia.plans.content_queries import members
+
+    text = tp.topic_names(members(spark, "/root/testdata/sf0.001", views.tokened))._jdf.queryExecution().executedPlan().toString()
+    picking = [line for line in text.splitlines() if "min_by(" in line]
+    assert picking and not any("regexp_replace" in line or "text#" in line for line in picking)
+
+
 def test_user_summariser_failures_stay_local(spark):
     requests = spark.createDataFrame([("g", 1, "ok"), ("g", 2, "bad")], "group_id string, chunk long, request string")
 
