@@ -7,6 +7,7 @@ import pytest
 from colloquia.operators import content as ct
 from colloquia.operators import topics as tp
 from colloquia.plans import views
+from colloquia.plans.catalogue import QUERIES
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -62,3 +63,8 @@ def test_lists_of_many_groups_are_not_broadcast(spark, monkeypatch):
     found = tp.incidence(messages, few)
     assert "hashpartitioning(group_id" in plan(found) and sorted(map(repr, found.collect())) == want
     assert sorted(map(repr, tp.assign_topics(messages, ranked=few).collect())) == topics
+
+
+@pytest.mark.parametrize("name", ["incidence"])
+def test_no_query_moves_token_lists_by_group(spark, name):
+    assert "hashpartitioning(group_id" not in plan(QUERIES[name](spark, SMALL))
