@@ -65,6 +65,6 @@ def test_lists_of_many_groups_are_not_broadcast(spark, monkeypatch):
     assert sorted(map(repr, tp.assign_topics(messages, ranked=few).collect())) == topics
 
 
-@pytest.mark.parametrize("name", ["incidence"])
+@pytest.mark.parametrize("name", ["incidence", "seed_order"])
 def test_no_query_moves_token_lists_by_group(spark, name):
     assert "hashpartitioning(group_id" not in plan(QUERIES[name](spark, SMALL))
