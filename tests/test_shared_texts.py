@@ -68,3 +68,8 @@ def test_lists_of_many_groups_are_not_broadcast(spark, monkeypatch):
 @pytest.mark.parametrize("name", ["incidence", "seed_order"])
 def test_no_query_moves_token_lists_by_group(spark, name):
     assert "hashpartitioning(group_id" not in plan(QUERIES[name](spark, SMALL))
+
+
+def test_topic_score_moves_marked_messages_only(spark):
+    text = plan(QUERIES["topic_score"](spark, SMALL))
+    assert "hashpartitioning(group_id" in text and "hashpartitioning(group_id#" not in text.split("array_intersect")[-1].split("Exchange hashpartitioning(doc_id")[0]
