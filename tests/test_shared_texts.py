@@ -73,3 +73,26 @@ def test_no_query_moves_token_lists_by_group(spark, name):
 def test_topic_score_moves_marked_messages_only(spark):
     text = plan(QUERIES["topic_score"](spark, SMALL))
     assert "hashpartitioning(group_id" in text and "hashpartitioning(group_id#" not in text.split("array_intersect")[-1].split("Exchange hashpartitioning(doc_id")[0]
+
+
+def test_every_token_of_a_topic_is_counted(spark, monkeypatch):
+    """Keywords by a plain count over many equally rare tokens, by the operator and by the registered queries."""
+    def skipping(*_, **__):
+        raise AssertionError("tokens would be left out")
+
+    monkeypatch.setattr(ct, "leading_tokens", skipping)
+    monkeypatch.setattr(tp, "leading_tokens", skipping, raising=False)
+    dice = random.Random(3)
+    said = [("g", dice.choice([1, 2]), "p", i, i, " ".join({f"rare{dice.randrange(3000):04d}" for _ in range(60)})) for i in range(200)]
+    messages = spark.createDataFrame(said, "group_id string, topic long, speaker string, sent_at long, input_order long, text string")
+    got = {r.topic: r.keywords for r in tp.topic_summary(messages).collect()}
+    names = {r.topic: r.name for r in tp.topic_names(messages).collect()}
+    for topic in (1, 2):
+        seen = {}
+        for row in said:
+            for word in row[5].split() if row[1] == topic else ():
+                seen[word] = seen.get(word, 0) + 1
+        best = sorted((-n, w) for w, n in seen.items() if n >= 2)[:10]
+        assert got[topic] == ",".join(f"{w}:{-n}" for n, w in best) and names[topic] == " / ".join(w for _, w in best[:4])
+    assert QUERIES["topic_summary"](spark, SMALL).count() == QUERIES["topic_names"](spark, SMALL).count() > 50
+    assert QUERIES["group_views"](spark, SMALL).count() > 10
